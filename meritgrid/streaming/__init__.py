@@ -1,0 +1 @@
+"""Micro-batch entry points that reuse the batch operators."""
