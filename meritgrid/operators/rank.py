@@ -22,6 +22,9 @@ from meritgrid.operators.ordering import (
 )
 
 
+BLOCK = 1_000_000
+
+
 def unique_rank(scored: DataFrame) -> DataFrame:
     """Ranks 1..N by score, active certifications and lower-case name; seq settles full ties."""
     placed = place(scored, F.desc("total_score"), F.desc("active_certs"), F.lower("name"), "seq")
@@ -76,12 +79,16 @@ def regional_rank(scored: DataFrame) -> DataFrame:
 
 
 def similar_performers(scored: DataFrame, width: float = 5.0, k: int = 10) -> DataFrame:
-    """First k others, best first, whose score is within the width of the subject's score."""
+    """First k others, best first, whose score is within the width of the subject's score.
+
+    Scores and differences are compared at nine decimals.
+    """
+    scored = scored.withColumn("total_score", F.round("total_score", 9))
     indexed = unplaced(global_rank(by_score(scored), "_idx"))
     levels = indexed.groupBy("total_score").agg(F.count("*").alias("_n"))
     points = levels.select(F.col("total_score").alias("_at"), F.lit(1).alias("_kind"), "_n", F.lit(None).cast("double").alias("_score"))
     probes = levels.select(
-        (F.col("total_score") + width).alias("_at"), F.lit(0), F.lit(0).cast("long"), F.col("total_score")
+        F.round(F.col("total_score") + width, 9).alias("_at"), F.lit(0), F.lit(0).cast("long"), F.col("total_score")
     )
     # rows scoring above score + width come before the probe in the descending order
     ahead = running_sum(place(points.union(probes), F.desc("_at"), "_kind"), "_n", "_ahead")
@@ -93,7 +100,7 @@ def similar_performers(scored: DataFrame, width: float = 5.0, k: int = 10) -> Da
     )
     peers = indexed.select("_idx", F.col("seq").alias("peer"), F.col("total_score").alias("peer_score"))
     near = subject.join(peers, "_idx").filter(
-        (F.col("peer") != F.col("subject")) & (F.abs(F.col("peer_score") - F.col("subject_score")) <= width)
+        (F.col("peer") != F.col("subject")) & (F.round(F.abs(F.col("peer_score") - F.col("subject_score")), 9) <= width)
     )
     w = Window.partitionBy("subject").orderBy("_idx")
     return (
@@ -202,8 +209,8 @@ def percentile_peers(ranked: DataFrame, width: float = 5.0, k: int = 10) -> Data
 
 
 def gap_to_best(scored: DataFrame) -> DataFrame:
-    best = scored.agg(F.max("total_score").alias("best_score"))  # one row
-    return scored.crossJoin(F.broadcast(best)).withColumn("gap", F.col("best_score") - F.col("total_score"))
+    best = scored.agg(F.max("total_score")).scalar()
+    return scored.withColumn("gap", best - F.col("total_score"))
 
 
 def peer_averages(window: DataFrame) -> DataFrame:
@@ -287,15 +294,16 @@ def score_statistics(scored: DataFrame) -> DataFrame:
 def rank_check(ranked: DataFrame, rank: str = "overall_rank") -> DataFrame:
     """One row per finding: a duplicate, missing or extra rank, and one summary row."""
     per_rank = ranked.groupBy(F.col(rank).alias("rank_value")).agg(F.count("*").alias("n"))
-    n_orgs = ranked.agg(F.count("*").alias("n_orgs"))  # one row
-    expected = ranked.sparkSession.range(1).crossJoin(n_orgs).select(
-        F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n_orgs", F.lit(1)))).alias("rank_value"), "n_orgs"
-    ).filter("rank_value <= n_orgs").select("rank_value")
+    n_orgs = ranked.agg(F.count("*")).scalar()
+    # expected ranks in blocks of a million per row, so no single row holds all of them
+    blocks = ranked.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.count("*") / BLOCK))).alias("_b"))
+    expected = blocks.select(
+        F.explode(F.sequence(F.col("_b") * BLOCK + 1, (F.col("_b") + 1) * BLOCK)).alias("rank_value")
+    ).filter(F.col("rank_value") <= n_orgs)
     duplicates = per_rank.filter("n > 1").select(F.lit("duplicate").alias("finding"), "rank_value", "n")
     missing = expected.join(per_rank, "rank_value", "left_anti").select(F.lit("missing"), "rank_value", F.lit(0).cast("long"))
     extra = (
-        per_rank.crossJoin(F.broadcast(n_orgs))
-        .filter((F.col("rank_value") < 1) | (F.col("rank_value") > F.col("n_orgs")))
+        per_rank.filter((F.col("rank_value") < 1) | (F.col("rank_value") > n_orgs))
         .select(F.lit("extra"), "rank_value", "n")
     )
     summary = per_rank.agg(F.sum("n").alias("rank_value"), F.count("*").alias("n")).select(

@@ -307,9 +307,9 @@ def older_penalty_score(orgs: DataFrame, certs: DataFrame) -> DataFrame:
     gap = (len(rules.STANDARDS) - F.col("compliant_count")) / len(rules.STANDARDS)
     raw = F.col("points") + F.col("diversity_bonus") + F.col("international_bonus")
     before = F.greatest(F.lit(0.0), raw - gap * 30)
+    ceiling = 70.0 - F.col("noncompliance_penalty") * 0.5
     return scored.withColumn("noncompliance_penalty", gap * 30).withColumn(
-        "older_score",
-        F.greatest(F.lit(0.0), F.least(before, F.lit(70.0)) - F.col("noncompliance_penalty") * 0.5),
+        "older_score", F.greatest(F.lit(0.0), F.least(before, ceiling))
     )
 
 

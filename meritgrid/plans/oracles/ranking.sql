@@ -17,7 +17,7 @@ SELECT seq, region, region_rank, n_region, round((n_region - region_rank + 1) /
 -- query: similar_performers uses: o_rank
 SELECT subject, peer, peer_no, peer_score FROM (
   SELECT a.seq AS subject, b.seq AS peer, b.total_score AS peer_score, row_number() OVER (PARTITION BY a.seq ORDER BY b.idx) AS peer_no
-  FROM o_rank a JOIN o_rank b ON a.seq <> b.seq AND abs(a.total_score - b.total_score) <= 5) WHERE peer_no <= 10
+  FROM o_rank a JOIN o_rank b ON a.seq <> b.seq AND round(abs(a.total_score - b.total_score), 9) <= 5) WHERE peer_no <= 10
 -- cte: o_window uses: o_rank
 SELECT subject, peer, CASE WHEN i < p THEN 'above' ELSE 'below' END AS side, i + 1 AS rank_position, d AS score_difference FROM (
   SELECT a.seq AS subject, b.seq AS peer, b.total_score - a.total_score AS d, row_number() OVER (PARTITION BY a.seq ORDER BY b.idx) - 1 AS i,
