@@ -148,6 +148,11 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(shared / F.nullif(union, F.lit(0)))
 
 
+def word_similarity(left: Column, right: Column) -> Column:
+    """Jaccard of two distinct-word arrays; 0 when one of them is empty."""
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(jaccard(left, right))
+
+
 def word_overlap(search: Column, target: Column) -> Column:
     """Share of the search words found in the target."""
     shared = F.size(F.array_intersect(search, target))
