@@ -42,6 +42,11 @@ def page_text(html: Column | str, separator: str = "") -> Column:
     return written_out(F.regexp_replace(without_code(html), r"(?s)<[^>]*>", separator))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def text_nodes(html: Column | str) -> Column:
     """Texts between tags, cleaned, blanks dropped."""
     nodes = F.split(without_code(html), r"(?s)<[^>]*>")
@@ -284,7 +289,7 @@ def directory_blocks(
     first_line = F.left(F.when(F.length(line) > 5, line).otherwise(F.col("_t")), F.lit(100))
     name = F.coalesce(*[F.nullif(c, F.lit("")) for c in (heading, by_class, strong, attribute, first_line)])
     find = lambda patterns: F.coalesce(
-        *[F.nullif(F.trim(F.regexp_extract("_t", p, 1)), F.lit("")) for p in patterns], F.lit("")
+        *[F.nullif(stripped(F.regexp_extract("_t", p, 1)), F.lit("")) for p in patterns], F.lit("")
     )
     address = find(rules.BLOCK_ADDRESS)
     place = r"([A-Za-z\s]+),\s*([A-Za-z\s]+)$"
@@ -317,14 +322,14 @@ def directory_blocks(
 def names_in_text(texts: DataFrame, patterns: Sequence[str] = tuple(rules.NAME_PATTERNS)) -> DataFrame:
     """Distinct organisation names longer than five letters per text."""
     finds = F.flatten(F.array(*[F.regexp_extract_all(filled("text"), F.lit(p), F.lit(1)) for p in patterns]))
-    trimmed = F.array_distinct(F.filter(F.transform(finds, lambda n: F.trim(F.regexp_replace(n, r"^\s+|\s+$", ""))), lambda n: F.length(n) > 5))
+    trimmed = F.array_distinct(F.filter(F.transform(finds, stripped), lambda n: F.length(n) > 5))
     return texts.select("doc_id", F.explode(trimmed).alias("name"))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
     """Trimmed lines with their number."""
     return texts.select("doc_id", F.posexplode(F.split(filled("text"), r"\n")).alias("line_no", "_l")).select(
-        "doc_id", "line_no", F.trim(F.regexp_replace("_l", r"^\s+|\s+$", "")).alias("line")
+        "doc_id", "line_no", stripped(F.col("_l")).alias("line")
     )
 
 

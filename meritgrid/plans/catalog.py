@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meritgrid.plans import registry
 
-QUERY_MODULES = ["scoring", "ranking", "matching", "merging", "text", "report"]
+QUERY_MODULES = ["scoring", "ranking", "matching", "merging", "text", "report", "source", "extract"]
 
 
 def queries() -> dict[str, registry.QueryFn]:
