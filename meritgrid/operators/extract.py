@@ -7,6 +7,7 @@ or line, all bounded by the page itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meritgrid.functions import cleaning
-from meritgrid.functions.exprs import first_rule, has, hits
+from meritgrid.functions.exprs import col, first_rule, has, hits
 from meritgrid.functions.text import filled, squeeze
 from meritgrid.operators import merge, score_more
 from meritgrid.operators.ordering import first_rows
@@ -37,9 +38,14 @@ def without_code(html: Column | str) -> Column:
     return F.regexp_replace(text, r"(?s)<!--.*?-->", "")
 
 
+def visible(clean: Column | str, separator: str = "") -> Column:
+    """Text of code-free HTML; tags are replaced by the separator and entities written out."""
+    return written_out(F.regexp_replace(col(clean), r"(?s)<[^>]*>", separator))
+
+
 def page_text(html: Column | str, separator: str = "") -> Column:
-    """Visible text; tags are replaced by the separator and entities written out."""
-    return written_out(F.regexp_replace(without_code(html), r"(?s)<[^>]*>", separator))
+    """Visible text of a page."""
+    return visible(without_code(html), separator)
 
 
 def stripped(text: Column) -> Column:
@@ -53,25 +59,33 @@ def text_nodes(html: Column | str) -> Column:
     return F.filter(F.transform(nodes, lambda n: cleaning.clean_text(written_out(n))), lambda n: n != "")
 
 
+def staged(pages: DataFrame, *keep: str) -> DataFrame:
+    """Page rows with code-free HTML ``_clean`` and visible text ``_text``, computed once."""
+    clean = pages.select("page_id", *keep, without_code("html").alias("_clean"))
+    return clean.withColumn("_text", visible("_clean"))
+
+
 def first_hit(text: Column, patterns: Sequence[str], reach: int) -> Column:
     """struct(match, context) of the first pattern that occurs; null when none does."""
     options = []
     for p in patterns:
-        at, hit = F.regexp_instr(text, F.lit(p)), F.regexp_extract(text, p, 0)
+        hit = F.regexp_extract(text, p, 0)
+        at = F.position(hit, text)
         start = F.greatest(F.lit(1), at - reach)
         around = F.substring(text, start, at - start + F.length(hit) + reach)
-        options.append(F.when(at > 0, F.struct(hit.alias("match"), F.trim(around).alias("context"))))
+        options.append(F.when(hit != "", F.struct(hit.alias("match"), F.trim(around).alias("context"))))
     return F.coalesce(*options)
 
 
 def page_certifications(pages: DataFrame, patterns: Mapping[str, Sequence[str]] = rules.BODY_PATTERNS) -> DataFrame:
     """First hit per body in the page text with its surroundings and the last year in them."""
-    held = pages.select("page_id", F.lower(page_text("html")).alias("_t"))
-    finds = []
-    for body, options in patterns.items():
-        hit = first_hit(F.col("_t"), options, 100)
-        finds.append(F.when(hit.isNotNull(), F.struct(F.lit(body).alias("name"), hit["match"].alias("match"), hit["context"].alias("context"))))
-    rows = held.select("page_id", F.inline(F.array_compact(F.array(*finds))))
+    held = staged(pages).select("page_id", F.lower("_text").alias("_t"))
+    hits_by_body = held.select("page_id", *[first_hit(F.col("_t"), o, 100).alias(f"_h{i}") for i, o in enumerate(patterns.values())])
+    finds = [
+        F.when(F.col(f"_h{i}").isNotNull(), F.struct(F.lit(body).alias("name"), F.col(f"_h{i}.match"), F.col(f"_h{i}.context")))
+        for i, body in enumerate(patterns)
+    ]
+    rows = hits_by_body.select("page_id", F.inline(F.array_compact(F.array(*finds))))
     years = F.regexp_extract_all(F.col("context"), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
     return rows.withColumn("year", F.try_element_at(years, F.lit(-1)))
 
@@ -86,13 +100,17 @@ def logo_certifications(pages: DataFrame, bodies: Sequence[str] = tuple(rules.BO
 
 def keyword_contexts(pages: DataFrame, keywords: Sequence[str] = tuple(rules.PAGE_KEYWORDS), reach: int = 50) -> DataFrame:
     """One row per keyword in the page text with its first surroundings on one line."""
-    held = pages.select("page_id", F.lower(page_text("html")).alias("_t"))
+    held = staged(pages).select("page_id", F.lower("_text").alias("_t"))
+    found = held.select("page_id", "_t", *[F.position(F.lit(k), F.col("_t")).alias(f"_p{i}") for i, k in enumerate(keywords)])
     finds = []
-    for k in keywords:
-        literal = "".join(c if c.isalnum() or c == " " else "\\" + c for c in k)
-        context = F.regexp_extract(F.col("_t"), f".{{0,{reach}}}{literal}.{{0,{reach}}}", 0)
-        finds.append(F.when(F.contains(F.col("_t"), F.lit(k)), F.struct(F.lit(k).alias("keyword"), F.trim(context).alias("context"))))
-    return held.select("page_id", F.inline(F.array_compact(F.array(*finds))))
+    for i, k in enumerate(keywords):
+        literal = re.escape(k)
+        at = F.col(f"_p{i}")
+        # nothing outside this window can take part in the first match
+        window = F.substring(F.col("_t"), F.greatest(F.lit(1), at - reach), F.lit(3 * reach + len(k)))
+        context = F.regexp_extract(window, f".{{0,{reach}}}{literal}.{{0,{reach}}}", 0)
+        finds.append(F.when(at > 0, F.struct(F.lit(k).alias("keyword"), F.trim(context).alias("context"))))
+    return found.select("page_id", F.inline(F.array_compact(F.array(*finds))))
 
 
 def page_initiatives(
@@ -127,22 +145,23 @@ def page_initiatives(
     return first_rows(rows, ["page_id", "place"], ["rule", "node"]).drop("_n")
 
 
-def contact_details(html: Column | str) -> Column:
-    """struct(phone, email, address, city, state) of a page."""
-    text = page_text(html, " ")
+def contact_details(pages: DataFrame, *keep: str) -> DataFrame:
+    """Phone, email, address, city and state of every page."""
     classes = "|".join(rules.ADDRESS_CLASSES)
-    block = F.regexp_extract(without_code(html), rf'(?is)<[a-z]+[^>]*class="[^"]*\b(?:{classes})\b[^"]*"[^>]*>(.*?)</', 1)
-    by_class = squeeze(written_out(F.regexp_replace(block, r"(?s)<[^>]*>", " ")))
-    labelled = squeeze(F.regexp_extract(page_text(html, "\n"), rules.ADDRESS_LABEL, 1))
-    address = short_address(F.when(by_class != "", by_class).otherwise(labelled))
-    parts = F.split(by_class, ",")
-    two = F.size(parts) >= 2
-    return F.struct(
-        F.trim(F.regexp_extract(text, rules.PHONE_PATTERN, 0)).alias("phone"),
-        F.regexp_extract(text, rules.EMAIL_PATTERN, 0).alias("email"),
-        address.alias("address"),
-        F.when(two, F.trim(F.try_element_at(parts, F.lit(-2)))).otherwise("").alias("city"),
-        F.when(two, F.trim(F.try_element_at(parts, F.lit(-1)))).otherwise("").alias("state"),
+    block = F.regexp_extract("_clean", rf'(?is)<[a-z]+[^>]*class="[^"]*\b(?:{classes})\b[^"]*"[^>]*>(.*?)</', 1)
+    found = staged(pages, *keep).select(
+        "page_id",
+        *keep,
+        F.trim(F.regexp_extract(visible("_clean", " "), rules.PHONE_PATTERN, 0)).alias("phone"),
+        F.regexp_extract(visible("_clean", " "), rules.EMAIL_PATTERN, 0).alias("email"),
+        squeeze(visible(block, " ")).alias("_block"),
+        squeeze(F.regexp_extract(visible("_clean", "\n"), rules.ADDRESS_LABEL, 1)).alias("_label"),
+    )
+    parts = F.split("_block", ",")
+    part = lambda k: F.when(F.size(parts) >= 2, F.trim(F.try_element_at(parts, F.lit(k)))).otherwise("")
+    address = F.when(F.col("_block") != "", F.col("_block")).otherwise(F.col("_label"))
+    return found.select(
+        "page_id", *keep, "phone", "email", short_address(address).alias("address"), part(-2).alias("city"), part(-1).alias("state")
     )
 
 
@@ -155,23 +174,32 @@ def short_address(address: Column, limit: int = 180) -> Column:
     return F.trim(F.translate(text, '{}"', ""))
 
 
-def basic_info(html: Column | str) -> Column:
-    """struct(name, description, facility_type, services) of a page."""
-    clean = without_code(html)
-    plain = lambda c: squeeze(written_out(F.regexp_replace(c, r"(?s)<[^>]*>", "")))
-    tag = lambda t: plain(F.regexp_extract(clean, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1))
-    fits = lambda c: F.when((F.length(c) > 3) & (F.length(c) < 100), c)
-    meta = lambda attr, value: written_out(F.regexp_extract(clean, rf'(?is)<meta[^>]*{attr}="{value}"[^>]*content="([^"]*)"', 1))
-    name = F.coalesce(fits(tag("h1")), fits(tag("title")), F.trim(meta("property", "og:title")))
-    by_name, by_property = F.trim(meta("name", "description")), F.trim(meta("property", "og:description"))
-    description = F.coalesce(F.when(F.length(by_name) > 20, by_name), F.when(F.length(by_property) > 20, by_property), F.lit(""))
-    text = F.lower(page_text(html))
-    found = F.filter(F.array(*[F.lit(s) for s in rules.SERVICES]), lambda s: F.contains(text, s))
-    return F.struct(
-        name.alias("name"),
-        description.alias("description"),
-        first_rule(text, rules.PAGE_TYPES, rules.PAGE_TYPE_DEFAULT).alias("facility_type"),
-        F.transform(found, cleaning.title_case).alias("services"),
+def basic_info(pages: DataFrame, *keep: str) -> DataFrame:
+    """Name, description, facility type and services of every page."""
+    tag = lambda t: squeeze(visible(F.regexp_extract("_clean", rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)))
+    meta = lambda attr, value: F.trim(
+        written_out(F.regexp_extract("_clean", rf'(?is)<meta[^>]*{attr}="{value}"[^>]*content="([^"]*)"', 1))
+    )
+    found = staged(pages, *keep).select(
+        "page_id",
+        *keep,
+        tag("h1").alias("_h1"),
+        tag("title").alias("_title"),
+        meta("property", "og:title").alias("_og"),
+        meta("name", "description").alias("_d1"),
+        meta("property", "og:description").alias("_d2"),
+        F.lower("_text").alias("_t"),
+    )
+    fits = lambda c: F.when((F.length(c) > 3) & (F.length(c) < 100), F.col(c))
+    long = lambda c: F.when(F.length(c) > 20, F.col(c))
+    services = F.filter(F.array(*[F.lit(s) for s in rules.SERVICES]), lambda s: F.contains(F.col("_t"), s))
+    return found.select(
+        "page_id",
+        *keep,
+        F.coalesce(fits("_h1"), fits("_title"), F.col("_og")).alias("name"),
+        F.coalesce(long("_d1"), long("_d2"), F.lit("")).alias("description"),
+        first_rule(F.col("_t"), rules.PAGE_TYPES, rules.PAGE_TYPE_DEFAULT).alias("facility_type"),
+        F.transform(services, cleaning.title_case).alias("services"),
     )
 
 
@@ -184,21 +212,20 @@ def page_records(
     )
     n_certs = found.distinct().groupBy("page_id").agg(F.count("*").alias("n_certs"))
     n_init = keyword_contexts(pages, keywords).groupBy("page_id").agg(F.count("*").alias("n_initiatives"))
-    info = pages.select("page_id", "url", basic_info("html").alias("_b"), contact_details("html").alias("_c"))
-    joined = info.join(n_certs, "page_id", "left").join(n_init, "page_id", "left").fillna(0, subset=["n_certs", "n_initiatives"])
+    joined = (
+        basic_info(pages)
+        .join(contact_details(pages), "page_id")
+        .join(n_certs, "page_id", "left")
+        .join(n_init, "page_id", "left")
+        .fillna(0, subset=["n_certs", "n_initiatives"])
+    )
     given = lambda c: filled(c) != ""
-    return joined.select(
-        "page_id",
-        F.col("_b.name").alias("name"),
-        F.col("_b.facility_type").alias("facility_type"),
-        F.col("_c.phone").alias("phone"),
-        F.col("_c.email").alias("email"),
-        "n_certs",
-        "n_initiatives",
+    return joined.withColumn(
+        "confidence",
         score_more.page_confidence(
-            given("_b.name"), given("_b.description"), given("_c.phone") | given("_c.email"), given("_c.address"),
+            given("name"), given("description"), given("phone") | given("email"), given("address"),
             F.col("n_certs"), F.col("n_initiatives"),
-        ).alias("confidence"),
+        ),
     )
 
 
@@ -452,13 +479,11 @@ def indicator_tags(texts: DataFrame) -> DataFrame:
 def lexicon_sentiment(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Mean polarity of the words of a text that the lexicon knows, 0 without any.
 
-    Words are counted per text before they meet the lexicon, and a frequent word meets exactly
-    one lexicon row.
+    Words meet the lexicon before anything is shuffled; a lexicon is a word list, small enough
+    for Spark to broadcast by its size, and a larger one is joined on the word.
     """
-    token = F.explode(F.regexp_extract_all(F.lower(filled("text")), F.lit(r"(\p{L}+)"), F.lit(1)))
-    counts = texts.select("doc_id", token.alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("_n"))
-    scored = counts.join(lexicon.select("word", "polarity"), "word").groupBy("doc_id").agg(
-        (F.sum(F.col("_n") * F.col("polarity")) / F.sum("_n")).alias("_s"), F.sum("_n").alias("n_words")
-    )
+    token = F.explode(F.split(F.lower(filled("text")), r"[^\p{L}]+"))
+    known = texts.select("doc_id", token.alias("word")).join(lexicon.select("word", "polarity"), "word")
+    scored = known.groupBy("doc_id").agg(F.avg("polarity").alias("_s"), F.count("*").alias("n_words"))
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("_s", F.lit(0.0))))
     return texts.select("doc_id").join(scored, "doc_id", "left").select("doc_id", value.alias("sentiment"), F.coalesce("n_words", F.lit(0)).alias("n_words"))

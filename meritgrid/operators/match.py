@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from meritgrid.functions import text
 from meritgrid.functions.exprs import first_rule, has
@@ -284,13 +286,11 @@ def loose_registry_match(orgs: DataFrame, registry: DataFrame) -> DataFrame:
 # --- lookups of search texts ---------------------------------------------------------------
 
 
-@pandas_udf("double")
-def char_similarity(a, b):
+@pandas_udf(DoubleType())
+def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts (Ratcliff and Obershelp)."""
     import difflib
 
-    import pandas as pd
-
     seen: dict[tuple[str, str], float] = {}
 
     def ratio(x: str, y: str) -> float:

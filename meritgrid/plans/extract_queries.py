@@ -59,14 +59,14 @@ def _contacts(v: Views) -> DataFrame:
         F.lit('<div class="contact-address">'), F.col("page_id").cast("string"), F.lit(" High Street, Springfield, Ohio</div><p>Call (555) 010-"),
         F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"), F.lit(" or desk@site"), (F.col("page_id") % 7).cast("string"), F.lit(".example.org</p>"),
     )
-    found = extract.contact_details(F.concat(F.lit("<html><body>"), extra, F.col("url"), F.lit("</body></html>")))
-    return v.pages.select("page_id", found["phone"].alias("phone"), found["email"].alias("email"), found["address"].alias("address"), found["city"].alias("city"), found["state"].alias("state"))
+    html = F.concat(F.lit("<html><body>"), extra, F.col("url"), F.lit("</body></html>"))
+    return extract.contact_details(v.pages.select("page_id", html.alias("html")))
 
 
 @query("page_basics")
 def _basics(v: Views) -> DataFrame:
-    info = extract.basic_info("html")
-    return v.pages.select("page_id", info["name"].alias("name"), info["facility_type"].alias("facility_type"), F.array_join(info["services"], "|").alias("services"))
+    info = extract.basic_info(v.pages)
+    return info.select("page_id", "name", "facility_type", F.array_join("services", "|").alias("services"))
 
 
 @query("page_records")

@@ -54,3 +54,12 @@ SELECT seq AS doc_id, 'nabh' AS tag, 1 AS n_phrases FROM fx_orgs WHERE seq % 4 =
 SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents
 -- query: lexicon_sentiment uses: o_words
 SELECT d.doc_id, round(coalesce(avg(l.p), 0), 6)::DOUBLE AS sentiment, count(l.p) AS n_words FROM documents d LEFT JOIN o_words w USING (doc_id) LEFT JOIN (VALUES ('the', 0.5::DOUBLE), ('of', -0.25), ('de', 0.75), ('und', -1.0), ('was', 0.1)) l(word, p) ON l.word = w.word GROUP BY 1
+-- cte: o_clean
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS c FROM pages
+-- cte: o_spaced uses: o_clean
+SELECT page_id, regexp_replace(c, '(?s)<[^>]*>', ' ', 'g') AS s, regexp_replace(c, '(?s)<[^>]*>', chr(10), 'g') AS nl FROM o_clean
+-- query: page_records uses: o_page_hits o_ctx o_spaced o_heads
+SELECT p.page_id, coalesce(c.n, 0) AS n_certs, coalesce(i.n, 0) AS n_initiatives, round(least(1, CASE WHEN length(replace(h, '&amp;', '&')) BETWEEN 4 AND 99 OR length(replace(ti, '&amp;', '&')) BETWEEN 4 AND 99 THEN 0.2 ELSE 0 END
+ + CASE WHEN regexp_matches(replace(s, '&amp;', '&'), '(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}') OR regexp_matches(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 0.1 ELSE 0 END + CASE WHEN trim(regexp_extract(nl, '(?i)Address[:\s]+([^\n]+)', 1)) <> '' THEN 0.1 ELSE 0 END
+ + least(0.3, coalesce(c.n, 0) * 0.1) + least(0.2, coalesce(i.n, 0) * 0.05)), 6)::DOUBLE AS confidence
+FROM o_spaced p JOIN o_heads USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM o_page_hits GROUP BY 1) c USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM o_ctx GROUP BY 1) i USING (page_id)

@@ -196,3 +196,17 @@ WITH p AS (SELECT a.seq, count(*) FILTER (st IN ('Active', 'In Progress')) AS n,
 s AS (SELECT o.seq, least(75, coalesce(pts, 0) + CASE WHEN n > 1 THEN least(2 * n, 10) ELSE 0 END + least(3 * coalesce(k, 0), 12)) AS cs, coalesce(rec, 0) AS rec, pen FROM fx_orgs o LEFT JOIN p USING (seq) JOIN o_bc_pen USING (seq))
 SELECT s.seq, coalesce(c.n, 0) AS certification_count, round(CAST(cs AS DOUBLE), 6) AS certification_score, round(CAST(CASE WHEN rec > 0 AND greatest(0, cs - pen) < 12 THEN 12 ELSE greatest(0, cs - pen) END AS DOUBLE), 6) AS total_score
 FROM s LEFT JOIN (SELECT seq, count(*) FILTER (status IN ('Active', 'Accredited')) AS n FROM o_unique_certs GROUP BY 1) c USING (seq)
+-- cte: o_reg3 uses: o_keys
+SELECT seq, registry_key AS k1, trim(regexp_replace(regexp_replace(regexp_replace(lower(concat_ws(' ', country, name)), '\b(ltd|limited|pvt|private|inc|incorporated|corp|corporation|co|company|hospital|hospitals|healthcare|medical|centre|center|institute|clinic)\b\.?', '', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k2 FROM o_keys WHERE data_source = 'supplier'
+-- query: match_report uses: o_keys o_reg3
+WITH p AS (SELECT a.seq, max((contains(b.k1, a.registry_key) OR contains(b.k2, a.registry_key))::INT) AS d, max(len(list_intersect(list_distinct(string_split(a.registry_key, ' ')), list_distinct(string_split(b.k1, ' ')))) * 1.0 / len(list_distinct(list_concat(string_split(a.registry_key, ' '), string_split(b.k1, ' '))))) AS s FROM o_keys a CROSS JOIN o_reg3 b GROUP BY 1)
+SELECT count(*) AS n_orgs, count(*) FILTER (d = 1 OR s > 0.7) AS n_matched, round(count(*) FILTER (d = 1 OR s > 0.7) / count(*) * 100, 6) AS match_pct, count(*) FILTER (d = 1) AS n_high, count(*) FILTER (d = 0 AND s > 0.8) AS n_medium, count(*) FILTER (d = 0 AND s > 0.7 AND s <= 0.8) AS n_low FROM p
+-- cte: o_lab_final uses: o_lab_clean
+SELECT seq, CASE WHEN regexp_matches(l, 'hospital|nursing home') THEN 'Hospital' WHEN regexp_matches(l, 'laboratory|labs|diagnostics|pathology') THEN 'Laboratory' WHEN regexp_matches(l, 'clinic|center') THEN 'Clinic' WHEN contains(l, 'institute') THEN 'Institute' ELSE 'Laboratory' END AS kind,
+ CASE WHEN seq % 4 = 0 THEN [city] WHEN seq % 3 = 0 THEN ['Pune'] WHEN seq % 3 = 2 THEN ['Agra', 'Noida'] ELSE [] END AS places,
+ 40 + least(30, 10 * (contains(l, 'hospital')::INT + contains(l, 'clinic')::INT + contains(l, 'laboratory')::INT + contains(l, 'labs')::INT + contains(l, 'medical')::INT + contains(l, 'healthcare')::INT + contains(l, 'diagnostics')::INT + contains(l, 'pathology')::INT + contains(l, 'center')::INT + contains(l, 'institute')::INT + contains(l, 'nursing')::INT + contains(l, 'dental')::INT + contains(l, 'eye')::INT + contains(l, 'cancer')::INT))
+  + CASE WHEN seq % 4 = 0 OR seq % 3 <> 1 THEN 15 ELSE 0 END + CASE WHEN phone <> '' THEN 10 ELSE 0 END + CASE WHEN seq % 3 = 0 THEN 5 ELSE 0 END AS conf
+FROM (SELECT *, lower(cname) AS l FROM o_lab_clean WHERE NOT regexp_matches(lname, '(?i)^National') QUALIFY row_number() OVER (PARTITION BY lower(cname) ORDER BY seq) = 1)
+-- query: lab_cleaning_report uses: o_lab_final
+SELECT 'confidence' AS what, CASE WHEN conf >= 80 THEN 'high' WHEN conf >= 60 THEN 'medium' ELSE 'low' END AS value, count(*) AS n FROM o_lab_final GROUP BY 2 UNION ALL SELECT 'type', kind, count(*) FROM o_lab_final GROUP BY 2
+UNION ALL (SELECT 'location', p, count(*) AS n FROM (SELECT unnest(places) AS p FROM o_lab_final) GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20)
