@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from meritgrid.functions import text
 from meritgrid.functions.exprs import first_rule, has
@@ -447,3 +448,10 @@ def region_peers(orgs: DataFrame, subjects: DataFrame, k: int = 8) -> DataFrame:
     pairs = subjects.select(F.col("seq").alias("subject"), lower_name("name").alias("_own"), "region_key").join(head, "region_key")
     others = pairs.filter(F.col("_n") != F.col("_own"))
     return first_rows(others, ["subject"], ["seq"], k).select("subject", F.col("seq").alias("peer"))
+
+
+def peers_by_score(peers: DataFrame, scored: DataFrame) -> DataFrame:
+    """Region peers with their scores, placed best first per subject."""
+    joined = peers.join(scored.select(F.col("seq").alias("peer"), "total_score"), "peer")
+    w = Window.partitionBy("subject").orderBy(F.desc("total_score"), "peer")
+    return joined.withColumn("place", F.row_number().over(w))

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from meritgrid.functions import cleaning
 from meritgrid.functions.exprs import band, first_rule, has
 from meritgrid.functions.text import filled, lower_name
+from meritgrid.operators import blocking
+from meritgrid.operators.match import query_table
 from meritgrid.operators.ordering import first_rows
 
 # --- counts --------------------------------------------------------------------------------
@@ -477,8 +479,6 @@ def initiatives_of(orgs: DataFrame, extracted: DataFrame, known: DataFrame) -> D
     ``extracted(seq, pos, initiative)``; ``known(key, pos, initiative)`` applies by equal name,
     else by the first key contained either way.
     """
-    from meritgrid.operators import blocking
-
     keyed = orgs.select(F.col("seq").alias("lid"), lower_name("name").alias("key"))
     order = known.groupBy("key").agg(F.min("known_no").alias("ord"))
     exact = blocking.equal_key(keyed, order)
@@ -507,13 +507,14 @@ def largest(df: DataFrame, column: str, k: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(column), *ties).limit(k)
 
 
-def suggestions(orgs: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame:
+def suggestions(orgs: DataFrame, typed: Sequence[str], k: int = 10) -> DataFrame:
     """Suggestions for typed texts: name start, then name part, then original name.
 
     One per name and location key (better class, then shorter name, then file order), ordered by
-    class and name. ``texts(query_no, typed)`` is a small list; texts under two letters are left out.
+    class and name. The list of texts is checked for size; texts under two letters are left out.
     """
-    asked = F.broadcast(texts.filter(F.length("typed") >= 2).select("query_no", lower_name("typed").alias("_q")))
+    texts = query_table(orgs, typed).filter(F.length("name") >= 2)
+    asked = F.broadcast(texts.select(F.col("seq").alias("query_no"), F.lower("name").alias("_q")))
     name, original = lower_name("name"), lower_name("original_name")
     kind = (
         F.when(F.startswith(name, F.col("_q")), 0)

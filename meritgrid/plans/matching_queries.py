@@ -39,7 +39,12 @@ def _name_keys(v: Views) -> DataFrame:
 
 @query("canonical_names")
 def _canonical(v: Views) -> DataFrame:
-    return v.orgs.select("seq", text.canonical_name("name", "city", "state", "country").alias("canonical_name"))
+    place = ("city", "state", "country")
+    return v.orgs.select(
+        "seq",
+        text.canonical_name("name", *place).alias("canonical_name"),
+        text.loader_name("name", *place).alias("loader_name"),
+    )
 
 
 @query("cert_keys")
@@ -195,7 +200,9 @@ def _regions(v: Views) -> DataFrame:
 @query("region_peers")
 def _region_peers(v: Views) -> DataFrame:
     subjects = v.orgs.select("seq", "name", F.lower("country").alias("region_key"))
-    return match.region_peers(v.orgs, subjects)
+    scored = v.orgs.select("seq", F.col("prior_score_src").alias("total_score"))
+    out = match.peers_by_score(match.region_peers(v.orgs, subjects), scored)
+    return out.select("subject", "peer", F.col("place").cast("long").alias("place"))
 
 
 @query("branch_groups")

@@ -25,7 +25,7 @@ SELECT seq, lower(trim(regexp_replace(regexp_replace(CASE WHEN ends_with(lower(t
 FROM (SELECT seq, city, state, country, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(name, '\([^)]*\)', '', 'g')), '\s+', ' ', 'g'),
   '\bprivate\s+limited\b', 'pvt. ltd.', 'gi'), '\bpvt\.?\s*ltd\b', 'pvt. ltd.', 'gi') AS t0 FROM fx_orgs)
 -- query: canonical_names uses: o_canon
-SELECT seq, canonical_name FROM o_canon
+SELECT seq, canonical_name, canonical_name AS loader_name FROM o_canon
 -- query: cert_keys uses: fx_certs
 SELECT name, CASE WHEN name LIKE 'Joint Commission%' THEN 'JCI' WHEN name LIKE '%NABH%' THEN 'NABH' WHEN name LIKE 'CAP%' OR name LIKE 'College%' THEN 'CAP'
   WHEN name LIKE 'ISO%' THEN concat('ISO', regexp_extract(name, '([0-9]+)', 1)) WHEN name = 'NABL Testing' THEN 'NABL TEST G'
@@ -112,7 +112,7 @@ SELECT seq, coalesce(e, p) AS match_seq FROM (
 SELECT seq, CASE WHEN seq % 2 = 0 THEN 'Global' WHEN seq % 5 = 0 THEN 'Asia-Pacific' WHEN seq % 5 = 1 THEN 'North America' WHEN seq % 5 = 2 THEN 'Europe' WHEN seq % 5 = 3 THEN 'Middle East' ELSE 'Global' END AS broad_region,
  CASE WHEN seq % 2 = 0 THEN 'developing' WHEN seq % 5 IN (1, 2) THEN 'developed' ELSE 'developing' END AS region_type FROM fx_orgs
 -- query: region_peers uses: fx_orgs
-SELECT subject, peer FROM (SELECT a.seq AS subject, b.seq AS peer, row_number() OVER (PARTITION BY a.seq ORDER BY b.seq) AS k
+SELECT subject, peer, row_number() OVER (PARTITION BY subject ORDER BY s DESC, peer) AS place FROM (SELECT a.seq AS subject, b.seq AS peer, b.prior_score_src AS s, row_number() OVER (PARTITION BY a.seq ORDER BY b.seq) AS k
  FROM fx_orgs a JOIN fx_orgs b ON (lower(a.country) = lower(b.country) OR lower(a.country) = lower(b.region)) AND lower(a.name) <> lower(b.name)) WHERE k <= 8
 -- query: branch_groups uses: fx_orgs
 SELECT seq, CASE WHEN seq % 4 = 0 THEN CASE WHEN contains(lower(split_part(name, ' ', 1)), 'max') THEN 'max healthcare' ELSE 'narayana health' END WHEN seq % 4 = 1 THEN 'max healthcare' END AS group_name,

@@ -65,8 +65,10 @@ SELECT 'total' AS metric, CAST(count(DISTINCT seq) AS BIGINT) AS n FROM o_unique
 -- query: dual_accreditation uses: fx_orgs
 SELECT count(*) AS n_orgs, count(*) FILTER (seq % 3 = 0) AS n_jci, count(*) FILTER (seq % 5 <> 0 AND seq % 4 = 0) AS n_nabh, count(*) FILTER (seq % 5 <> 0 AND seq % 12 = 0) AS n_both FROM fx_orgs
 -- query: specialty_counts uses: fx_orgs
+SELECT specialty, n FROM (
 SELECT 'Medical Laboratory Testing' AS specialty, count(*) AS n FROM fx_orgs UNION ALL SELECT 'Anatomic Pathology', count(*) FROM fx_orgs WHERE lower(name) LIKE '%pathology%' UNION ALL SELECT 'Clinical Diagnostics', count(*) FROM fx_orgs WHERE regexp_matches(lower(name), 'clinical|diagnostic')
 UNION ALL SELECT 'Cardiovascular Testing', count(*) FROM fx_orgs WHERE lower(name) LIKE '%cardiac%' UNION ALL SELECT 'Oncology Testing', count(*) FROM fx_orgs WHERE lower(name) LIKE '%cancer%'
+) WHERE n > 0
 -- query: lab_summary uses: fx_orgs
 SELECT count(*) AS n_labs, round(avg(prior_score_src / 100), 6) AS avg_score, count(*) FILTER (phone <> '') AS with_phone, count(website) AS with_website, count(*) FILTER (length(concat(city, ', ', state, ', ', country)) > 20) AS with_address FROM fx_orgs
 -- query: top_hundred uses: o_rank

@@ -312,8 +312,7 @@ TYPED = ["apex", "Hosp", "uni", "x"]
 @query("suggestions")
 def _suggestions(v: Views) -> DataFrame:
     orgs = v.orgs.select("seq", "name", F.concat_ws(" ", "name", "region").alias("original_name"), F.concat_ws(", ", "city", "state").alias("location"))
-    typed = v.spark.createDataFrame(list(enumerate(TYPED)), "query_no long, typed string")
-    return report.suggestions(orgs, typed, 10).select("query_no", F.col("place").cast("long").alias("place"), "seq", "match_type")
+    return report.suggestions(orgs, TYPED, 10).select("query_no", F.col("place").cast("long").alias("place"), "seq", "match_type")
 
 
 @query("merged_suggestions")
