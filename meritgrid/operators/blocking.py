@@ -41,21 +41,25 @@ def _lengths(keys: DataFrame) -> Column:
     return keys.agg(F.array_sort(F.collect_set(F.length("key")))).scalar()
 
 
-def _pieces(key: Column, lengths: Column) -> Column:
-    """Distinct substrings of the key with one of the lengths; length 0 gives the empty text."""
-    fitting = F.filter(lengths, lambda n: n <= F.length(key))
-    cut = lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n)
-    )
-    return F.array_distinct(F.flatten(F.transform(fitting, cut)))
+def _pieces(df: DataFrame, lengths: Column) -> DataFrame:
+    """One row per substring of ``_whole`` with one of the lengths, as ``key``.
+
+    The rows are many times the input that Spark's size estimate sees, so a sort-merge join is
+    asked for and this side is never broadcast by that estimate.
+    """
+    sized = df.withColumn("_len", F.explode(lengths)).filter(F.col("_len") <= F.length("_whole"))
+    last = F.when(F.col("_len") == 0, 1).otherwise(F.length("_whole") - F.col("_len") + 1)
+    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), last)))
+    cut = placed.withColumn("key", F.substring(F.col("_whole"), F.col("_at"), F.col("_len")))
+    return cut.drop("_len", "_at").hint("merge")
 
 
 def right_in_left(
     left: DataFrame, right: DataFrame, on: Sequence[str] = (), allowed: Pairwise | None = None
 ) -> DataFrame:
     """Right keys that occur inside the left key; ``allowed(part, whole)`` may restrict the pair."""
-    subjects = left.select("key", *on).distinct().withColumn("_lens", _lengths(right))
-    pieces = subjects.select(F.col("key").alias("_whole"), *on, F.explode(_pieces(F.col("key"), F.col("_lens"))).alias("key"))
+    subjects = left.select(F.col("key").alias("_whole"), *on).distinct()
+    pieces = _pieces(subjects, _lengths(right))
     if allowed is not None:
         pieces = pieces.filter(allowed(F.col("key"), F.col("_whole")))
     first = right.groupBy("key", *on).agg(F.min("ord").alias("ord"))
@@ -67,11 +71,12 @@ def left_in_right(
     left: DataFrame, right: DataFrame, on: Sequence[str] = (), allowed: Pairwise | None = None
 ) -> DataFrame:
     """Right keys that contain the left key."""
-    wholes = right.groupBy("key", *on).agg(F.min("ord").alias("ord")).withColumn("_lens", _lengths(left))
-    pieces = wholes.select(F.col("key").alias("_whole"), *on, "ord", F.explode(_pieces(F.col("key"), F.col("_lens"))).alias("key"))
+    wholes = right.groupBy(F.col("key").alias("_whole"), *on).agg(F.min("ord").alias("ord"))
+    pieces = _pieces(wholes, _lengths(left))
     if allowed is not None:
         pieces = pieces.filter(allowed(F.col("key"), F.col("_whole")))
-    first = pieces.groupBy("key", *on).agg(F.min("ord").alias("ord"))
+    # the merge hint again: the size estimate of the grouped pieces is as low as that of the pieces
+    first = pieces.groupBy("key", *on).agg(F.min("ord").alias("ord")).hint("merge")
     return left.join(first, ["key", *on]).select("lid", "ord")
 
 
@@ -114,7 +119,7 @@ def word_jaccard(left: DataFrame, right: DataFrame, threshold: float, strict: bo
     def keyed(df: DataFrame, *carry: str) -> DataFrame:
         part = F.explode(_subsets(F.col("_words"), F.col("_n"), drop)).alias("_s")
         rows = df.filter(F.col("_n") <= SHORT_SET).select(*carry, "_n", part)
-        return rows.select(*carry, "_n", "_s.part", "_s.size")
+        return rows.select(*carry, "_n", "_s.part", "_s.size").hint("merge")
 
     best = keyed(targets, "ord").groupBy("part", "size", F.col("_n").alias("_m")).agg(F.min("ord").alias("ord"))
     score = F.col("size") / (F.col("_n") + F.col("_m") - F.col("size"))
@@ -147,7 +152,7 @@ def _long_jaccard(subjects: DataFrame, targets: DataFrame, threshold: float) ->
         )
 
     a = prefixes(subjects)
-    b = prefixes(targets, "ord").select(F.col("_words").alias("_other"), F.col("_n").alias("_m"), "ord", "w")
+    b = prefixes(targets, "ord").select(F.col("_words").alias("_other"), F.col("_n").alias("_m"), "ord", "w").hint("merge")
     shared = F.size(F.array_intersect("_words", "_other"))
     long_pair = (F.col("_n") > SHORT_SET) | (F.col("_m") > SHORT_SET)
     sized = F.least("_n", "_m") >= F.greatest("_n", "_m") * threshold - 1e-9
@@ -167,7 +172,7 @@ def two_shared_words(left: DataFrame, right: DataFrame, min_length: int = 4) ->
         rows = df.withColumn("_w", long_words)
         first = rows.select("key", *carry, "_w", F.posexplode("_w").alias("_i", "a"))
         rest = F.slice("_w", F.col("_i") + 2, F.size("_w"))
-        return first.select("key", *carry, "a", F.explode(rest).alias("b"))
+        return first.select("key", *carry, "a", F.explode(rest).alias("b")).hint("merge")
 
     first = pairs(right, "ord").groupBy("a", "b").agg(F.min("ord").alias("ord"))
     found = pairs(left.select("key").distinct()).join(first, ["a", "b"]).groupBy("key").agg(F.min("ord").alias("ord"))

@@ -29,7 +29,7 @@ def group_level_names(orgs: DataFrame) -> DataFrame:
         F.explode(F.transform(cuts, lambda i: F.substring(F.col("_o"), F.lit(1), i - 1))).alias("_name")
     )
     bare = ~(prefixes["_name"].contains(",") | (prefixes["_name"].contains("(") & prefixes["_name"].contains(")")))
-    heads = prefixes.filter(bare).distinct().withColumn("_head", F.lit(1))
+    heads = prefixes.filter(bare).distinct().withColumn("_head", F.lit(1)).hint("merge")
     worded = has(F.lower(name), *GROUP_WORDS)
     joined = orgs.withColumn("_name", name).join(heads, "_name", "left")
     flag = (name != "") & (worded | F.col("_head").isNotNull())

@@ -22,6 +22,7 @@ from meritgrid.functions.text import filled, lower_name, word_list, words
 from meritgrid.operators import blocking
 from meritgrid.operators.ordering import first_rows
 from meritgrid.rules import names as rules
+from meritgrid.session import small_table
 
 
 def _left(incoming: DataFrame, key: Column, **extra: Column) -> DataFrame:
@@ -309,7 +310,7 @@ def query_table(orgs: DataFrame, queries: Sequence[str]) -> DataFrame:
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} search texts, got {len(queries)}")
     rows = [(i, q.strip()) for i, q in enumerate(queries) if q.strip()]
-    return orgs.sparkSession.createDataFrame(rows, "seq long, name string")
+    return small_table(orgs.sparkSession, rows, seq="bigint", name="string")
 
 
 def _shared_word_pairs(asked: DataFrame, orgs: DataFrame) -> DataFrame:

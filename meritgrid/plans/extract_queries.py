@@ -13,6 +13,7 @@ from meritgrid.functions.exprs import num
 from meritgrid.operators import extract
 from meritgrid.plans.registry import Views, query
 from meritgrid.plans.text_queries import pick
+from meritgrid.session import small_table
 
 PATTERNS = {
     "ALPHA": [r"zzz never", r"of the\w*", r"and the"],
@@ -173,5 +174,5 @@ def _public_tags(v: Views) -> DataFrame:
 @query("lexicon_sentiment")
 def _sentiment(v: Views) -> DataFrame:
     rows = [("the", 0.5), ("of", -0.25), ("de", 0.75), ("und", -1.0), ("was", 0.1)]
-    lexicon = v.spark.createDataFrame(rows, "word string, polarity double")
+    lexicon = small_table(v.spark, rows, word="string", polarity="double")
     return extract.lexicon_sentiment(v.documents, lexicon).select("doc_id", num("sentiment").alias("sentiment"), F.col("n_words").cast("long").alias("n_words"))

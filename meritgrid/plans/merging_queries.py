@@ -10,6 +10,7 @@ from meritgrid.functions.exprs import num
 from meritgrid.operators import filters, match, merge
 from meritgrid.plans.matching_queries import base, incoming
 from meritgrid.plans.registry import Views, query
+from meritgrid.session import small_table
 
 FIELDS = ["name", "city", "state", "country", "hospital_type", "website", "phone"]
 
@@ -347,9 +348,10 @@ def _superseded(v: Views) -> DataFrame:
 @query("insert_absent")
 def _insert_absent(v: Views) -> DataFrame:
     orgs = v.orgs.select("seq", "name", "country")
-    curated = v.spark.createDataFrame(
+    curated = small_table(
+        v.spark,
         [(-1, "Apex Hospital", "INDIA", "apex hospital"), (-2, "Quiet Harbour Home", "USA", "quiet harbour")],
-        "seq long, name string, country string, phrase string",
+        seq="bigint", name="string", country="string", phrase="string",
     )
     return merge.insert_absent(orgs, curated)
 

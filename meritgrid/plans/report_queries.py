@@ -14,6 +14,7 @@ from meritgrid.plans.ranking_queries import ranked_table, score_table
 from meritgrid.plans.registry import Views, query
 from meritgrid.plans.scoring_queries import scored_orgs
 from meritgrid.plans.text_queries import lab_rows, pick, registry_rows
+from meritgrid.session import small_table
 
 
 def typed_certs(v: Views) -> DataFrame:
@@ -302,7 +303,7 @@ def _validated_reviews(v: Views) -> DataFrame:
 def _org_initiatives(v: Views) -> DataFrame:
     found = v.initiatives.select("seq", "pos", F.col("category").alias("initiative"))
     rows = [(1, "apex hospital", 1, "Hand Hygiene"), (1, "apex hospital", 2, "Research"), (2, "royal", 1, "Green Campus"), (3, "no such", 1, "Nothing")]
-    known = v.spark.createDataFrame(rows, "known_no int, key string, pos long, initiative string")
+    known = small_table(v.spark, rows, known_no="int", key="string", pos="bigint", initiative="string")
     return report.initiatives_of(v.orgs, found, known).select("seq", "initiative", "prio")
 
 

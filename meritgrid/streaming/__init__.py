@@ -1 +1 @@
-"""Micro-batch entry points that reuse the batch operators."""
+"""No stream operators are in scope; batch operators take and return DataFrames and can be called per micro-batch."""
