@@ -398,10 +398,11 @@ def _piped_rows(lines: DataFrame, gazetteer: Sequence[str]) -> DataFrame:
             .when(c.rlike(rules.LINE_SCOPE), "scope")
         )
 
-    rows = rows.withColumn("_o", others)
-    last = lambda k: F.try_element_at(F.filter("_o", lambda c: kind(c) == k), F.lit(-1))
+    rows = rows.withColumn("_o", F.transform(others, lambda c: F.struct(c.alias("c"), kind(c).alias("k"))))
+    of_kind = lambda k: F.transform(F.filter("_o", lambda o: o["k"] == k), lambda o: o["c"])
+    last = lambda k: F.try_element_at(of_kind(k), F.lit(-1))
     name = cleaning.document_name(F.try_element_at("_c", F.col("_at") + 1))
-    spots = F.array_join(F.filter("_o", lambda c: kind(c) == "place"), " ")
+    spots = F.array_join(of_kind("place"), " ")
     out = rows.select(
         "doc_id", "line_no", name.alias("name"),
         F.coalesce(last("number"), F.lit("")).alias("accreditation_number"),

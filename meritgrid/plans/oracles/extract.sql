@@ -20,7 +20,7 @@ SELECT page_id, concat('(555) 010-', lpad(CAST(page_id % 10000 AS VARCHAR), 4, '
 -- cte: o_heads
 SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS h, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS ti FROM pages
 -- query: page_basics uses: o_heads o_text
-SELECT page_id, replace(CASE WHEN length(replace(h, '&amp;', '&')) BETWEEN 4 AND 99 THEN h WHEN length(replace(ti, '&amp;', '&')) BETWEEN 4 AND 99 THEN ti ELSE '' END, '&amp;', '&') AS name,
+SELECT page_id, replace(replace(CASE WHEN length(replace(h, '&amp;', '&')) BETWEEN 4 AND 99 THEN h WHEN length(replace(ti, '&amp;', '&')) BETWEEN 4 AND 99 THEN ti ELSE '' END, '&quot;', '"'), '&amp;', '&') AS name,
  CASE WHEN regexp_matches(lower(t), 'university|medical school|teaching hospital|academic') THEN 'Academic Medical Center' WHEN regexp_matches(lower(t), 'general hospital|multi-specialty|full service') THEN 'General Hospital' WHEN regexp_matches(lower(t), 'specialty|specialized|cardiac|cancer|orthopedic') THEN 'Specialty Hospital'
  WHEN regexp_matches(lower(t), 'clinic|medical center|outpatient') THEN 'Clinic' WHEN regexp_matches(lower(t), 'laboratory|lab|diagnostic|pathology') THEN 'Laboratory' WHEN regexp_matches(lower(t), 'dental|dentist|orthodontic|oral health') THEN 'Dental Facility' ELSE 'Healthcare Organization' END AS facility_type, '' AS services FROM o_heads JOIN o_text USING (page_id)
 -- query: element_counts
