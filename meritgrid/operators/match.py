@@ -318,7 +318,6 @@ def _shared_word_pairs(asked: DataFrame, orgs: DataFrame) -> DataFrame:
     q = asked.select(F.col("seq").alias("lid"), F.lower("name").alias("query"), F.explode(words(F.lower("name"))).alias("w"))
     tokens = q.groupBy("w").agg(F.collect_list(F.struct("lid", "query")).alias("_q"))
     hits = orgs.select("seq", "name", F.explode(words(lower_name("name"))).alias("w")).join(F.broadcast(tokens), "w")
-    # words of one organisation stay in one row of the scan, so the pair is unique per row group
     return hits.select("seq", "name", F.explode("_q").alias("_p")).select("_p.lid", "_p.query", "seq", "name").distinct()
 
 

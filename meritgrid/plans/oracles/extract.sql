@@ -43,13 +43,13 @@ SELECT seq AS doc_id, 0 AS line_no, concat(split_part(name, ' ', 1), ' Care Priv
 UNION ALL SELECT seq, 3, c, '01/02/2024', 'ISO 15189', '', 'Pathology', 'Pune', 'table' FROM (SELECT seq, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '\bPvt\.?\s*Ltd\.?', 'Private Limited', 'gi'), '\bLtd\.?', 'Limited', 'gi'), '\bHosp\.?', 'Hospital', 'gi'), '\bLab\.?', 'Laboratory', 'gi'), '\bMed\.?', 'Medical', 'gi'), '\bClin\.?', 'Clinic', 'gi')) AS c FROM fx_orgs WHERE NOT contains(name, 'Laboratory'))
 UNION ALL SELECT seq, 5, concat(region, ' Centre'), 'ISO 17025', 'ISO 15189', '', '', '', 'table' FROM fx_orgs
 -- query: laboratory_entries uses: fx_orgs
-SELECT seq AS doc_id, 1 AS entry_no, concat(name, ' Laboratory') AS name, concat('12 Long Way ', country, ', Suite 4') AS address, concat('555-010-', lpad(CAST(seq % 10000 AS VARCHAR), 4, '0')) AS phone, 'Website' AS website FROM fx_orgs
+SELECT seq AS doc_id, CAST(1 AS BIGINT) AS entry_no, concat(name, ' Laboratory') AS name, concat('12 Long Way ', country, ', Suite 4') AS address, concat('555-010-', lpad(CAST(seq % 10000 AS VARCHAR), 4, '0')) AS phone, 'Website' AS website FROM fx_orgs
 UNION ALL SELECT seq, 2, concat(region, ' Pathology Unit'), '', NULL, NULL FROM fx_orgs
 -- query: phrase_tags
-SELECT doc_id, tag, n AS n_phrases FROM (SELECT doc_id, 'english' AS tag, contains(l, 'of the')::INT + contains(l, 'and the')::INT + contains(l, 'was ')::INT AS n FROM (SELECT doc_id, lower(text) AS l FROM documents) UNION ALL SELECT doc_id, 'french', contains(l, 'que ')::INT + contains(l, ' de la')::INT FROM (SELECT doc_id, lower(text) AS l FROM documents)
+SELECT doc_id, tag, CAST(n AS BIGINT) AS n_phrases FROM (SELECT doc_id, 'english' AS tag, contains(l, 'of the')::INT + contains(l, 'and the')::INT + contains(l, 'was ')::INT AS n FROM (SELECT doc_id, lower(text) AS l FROM documents) UNION ALL SELECT doc_id, 'french', contains(l, 'que ')::INT + contains(l, ' de la')::INT FROM (SELECT doc_id, lower(text) AS l FROM documents)
  UNION ALL SELECT doc_id, 'german', contains(l, ' und ')::INT + contains(l, ' der ')::INT FROM (SELECT doc_id, lower(text) AS l FROM documents)) WHERE n > 0
 -- query: public_tags uses: fx_orgs
-SELECT seq AS doc_id, 'nabh' AS tag, 1 AS n_phrases FROM fx_orgs WHERE seq % 4 = 0 UNION ALL SELECT seq, 'rankings', 1 FROM fx_orgs WHERE seq % 4 = 1 UNION ALL SELECT seq, 'jci', 1 FROM fx_orgs WHERE seq % 4 = 2 UNION ALL SELECT seq, 'technology', 1 FROM fx_orgs WHERE seq % 4 = 2
+SELECT seq AS doc_id, 'nabh' AS tag, CAST(1 AS BIGINT) AS n_phrases FROM fx_orgs WHERE seq % 4 = 0 UNION ALL SELECT seq, 'rankings', 1 FROM fx_orgs WHERE seq % 4 = 1 UNION ALL SELECT seq, 'jci', 1 FROM fx_orgs WHERE seq % 4 = 2 UNION ALL SELECT seq, 'technology', 1 FROM fx_orgs WHERE seq % 4 = 2
 -- cte: o_words
 SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents
 -- query: lexicon_sentiment uses: o_words

@@ -75,4 +75,4 @@ UNION ALL SELECT 'extra', r, n FROM p WHERE r < 1 OR r > (SELECT count(*) FROM d
 UNION ALL SELECT 'summary', (SELECT count(*) FROM d), (SELECT count(*) FROM p)
 -- query: rank_level_check uses: o_rank
 SELECT total_score, count(*) AS n, min(overall_rank) AS first_rank, max(overall_rank) AS last_rank, round(min((n_orgs - overall_rank + 1) / n_orgs * 100), 6) AS low_pct,
- round(max((n_orgs - overall_rank + 1) / n_orgs * 100), 6) AS high_pct, 0 AS off_rows, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END AS several_ranks FROM o_rank GROUP BY total_score
+ round(max((n_orgs - overall_rank + 1) / n_orgs * 100), 6) AS high_pct, CAST(0 AS BIGINT) AS off_rows, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END AS several_ranks FROM o_rank GROUP BY total_score

@@ -23,7 +23,7 @@ LEFT JOIN o_score_table s ON s.total_score BETWEEN CAST(lo AS DOUBLE) AND CAST(h
 SELECT 'Missing certification status' AS issue FROM o_typed WHERE status = '' UNION ALL SELECT 'Missing certification type' FROM o_typed WHERE type IS NULL
 UNION ALL SELECT 'Invalid date format in accreditation_date' FROM o_typed WHERE try_strptime(accreditation_date, '%Y-%m-%d') IS NULL
 -- query: cert_quality uses: o_typed
-SELECT count(*) AS n_certs, count(*) FILTER (status <> '' AND type IS NOT NULL) AS complete, 0 AS missing_name, count(*) FILTER (status = '') AS missing_status, count(*) FILTER (type IS NULL) AS missing_type, count(*) FILTER (try_strptime(accreditation_date, '%Y-%m-%d') IS NULL) AS invalid_dates FROM o_typed
+SELECT count(*) AS n_certs, count(*) FILTER (status <> '' AND type IS NOT NULL) AS complete, CAST(0 AS BIGINT) AS missing_name, count(*) FILTER (status = '') AS missing_status, count(*) FILTER (type IS NULL) AS missing_type, count(*) FILTER (try_strptime(accreditation_date, '%Y-%m-%d') IS NULL) AS invalid_dates FROM o_typed
 -- query: cert_issues uses: o_issue_rows
 SELECT issue, count(*) AS n FROM o_issue_rows GROUP BY 1
 -- query: country_types uses: o_typed fx_orgs

@@ -58,6 +58,6 @@ SELECT region, 'Known registry' AS source, count(*) AS n, count(DISTINCT name) A
 SELECT overall_rank AS rank, replace(name, ',', ';') AS name, country, total_score, active_certs AS certification_count FROM o_rank
 -- query: audit_rows uses: fx_orgs o_unique_certs
 WITH c AS (SELECT seq, sum(n) AS n, string_agg(name, '; ' ORDER BY p, name) AS names, max((name LIKE '%JCI%')::INT) AS j FROM (SELECT seq, name, min(pos) AS p, count(*) AS n FROM o_unique_certs GROUP BY 1, 2) GROUP BY 1)
-SELECT seq AS id, o.name, concat(data_source, '; ', region) AS sources, 2 AS source_count, CAST(coalesce(c.n, 0) AS BIGINT) AS certifications_count, coalesce(c.names, '') AS certification_names, CASE WHEN c.j = 1 THEN 'yes' ELSE 'no' END AS has_jci FROM fx_orgs o LEFT JOIN c USING (seq)
+SELECT seq AS id, o.name, concat(data_source, '; ', region) AS sources, CAST(2 AS BIGINT) AS source_count, CAST(coalesce(c.n, 0) AS BIGINT) AS certifications_count, coalesce(c.names, '') AS certification_names, CASE WHEN c.j = 1 THEN 'yes' ELSE 'no' END AS has_jci FROM fx_orgs o LEFT JOIN c USING (seq)
 -- query: status_columns uses: fx_orgs
 SELECT seq, CASE WHEN seq % 2 = 0 THEN 'Accredited' ELSE 'Applied' END AS nabh_status, CASE WHEN seq % 3 = 0 THEN 'Unknown' END AS jci_status FROM fx_orgs

@@ -140,7 +140,7 @@ SELECT *, array_to_string(list_transform(list_filter(string_split_regex(regexp_r
    '\bDiag\.?', 'Diagnostics', 'gi'), '\bPath\.?', 'Pathology', 'gi'), '\s+'), lambda w: w <> ''), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ') AS cname FROM o_lab_rows
 -- query: enriched_labs uses: o_lab_clean
 SELECT seq, cname AS name, CASE WHEN seq % 4 = 0 THEN city WHEN seq % 3 = 0 THEN 'Pune' WHEN seq % 3 = 2 THEN 'Agra|Noida' ELSE '' END AS locations,
- CASE WHEN regexp_matches(l, 'hospital|nursing home') THEN 'Hospital' WHEN regexp_matches(l, 'laboratory|labs|diagnostics|pathology') THEN 'Laboratory' WHEN regexp_matches(l, 'clinic|center') THEN 'Clinic' WHEN contains(l, 'institute') THEN 'Institute' ELSE 'Laboratory' END AS organization_type, 1 AS n_services,
+ CASE WHEN regexp_matches(l, 'hospital|nursing home') THEN 'Hospital' WHEN regexp_matches(l, 'laboratory|labs|diagnostics|pathology') THEN 'Laboratory' WHEN regexp_matches(l, 'clinic|center') THEN 'Clinic' WHEN contains(l, 'institute') THEN 'Institute' ELSE 'Laboratory' END AS organization_type, CAST(1 AS BIGINT) AS n_services,
  CAST(least(100, CASE WHEN regexp_matches(cname, '(?i)^National') THEN 0 ELSE 40 END + least(30, 10 * (contains(l, 'hospital')::INT + contains(l, 'clinic')::INT + contains(l, 'laboratory')::INT + contains(l, 'labs')::INT + contains(l, 'medical')::INT + contains(l, 'healthcare')::INT + contains(l, 'diagnostics')::INT + contains(l, 'pathology')::INT
    + contains(l, 'center')::INT + contains(l, 'institute')::INT + contains(l, 'nursing')::INT + contains(l, 'dental')::INT + contains(l, 'eye')::INT + contains(l, 'cancer')::INT))
   + CASE WHEN seq % 4 = 0 OR seq % 3 <> 1 THEN 15 ELSE 0 END + CASE WHEN phone <> '' THEN 10 ELSE 0 END + CASE WHEN seq % 3 = 0 THEN 5 ELSE 0 END) AS DOUBLE) AS confidence_score

@@ -236,14 +236,19 @@ def _largest(v: Views) -> DataFrame:
     return report.largest(country_table(v), "score", 5, "country").select("country", num("score").alias("score"))
 
 
+def monthly(v: Views) -> DataFrame:
+    """Monthly counts with wide year and month numbers."""
+    return v.monthly.withColumns({"y": F.col("y").cast("long"), "m": F.col("m").cast("long")})
+
+
 @query("running_by_type")
 def _running(v: Views) -> DataFrame:
-    return report.running_by_type(v.monthly).select("y", "m", "cert_type", "running")
+    return report.running_by_type(monthly(v)).select("y", "m", "cert_type", "running")
 
 
 @query("monthly_growth")
 def _monthly_growth(v: Views) -> DataFrame:
-    return report.growth_by_month(v.monthly).select("y", "m", "running", num("growth").alias("growth"))
+    return report.growth_by_month(monthly(v)).select("y", "m", "running", num("growth").alias("growth"))
 
 
 @query("type_totals")
@@ -253,7 +258,7 @@ def _type_totals(v: Views) -> DataFrame:
 
 @query("year_totals")
 def _year_totals(v: Views) -> DataFrame:
-    return report.year_totals(v.monthly).select("y", "total", num("monthly_avg").alias("monthly_avg"), num("growth").alias("growth"))
+    return report.year_totals(monthly(v)).select("y", "total", num("monthly_avg").alias("monthly_avg"), num("growth").alias("growth"))
 
 
 @query("growth_metrics")
@@ -264,7 +269,7 @@ def _growth_metrics(v: Views) -> DataFrame:
 
 @query("year_month_matrix")
 def _matrix(v: Views) -> DataFrame:
-    return report.year_month_matrix(v.monthly)
+    return report.year_month_matrix(monthly(v))
 
 
 @query("source_reconciliation")
