@@ -8,39 +8,64 @@ from pyspark.sql import functions as F
 from meritgrid.llm.common import remove, stored_at
 
 
+def _roots(pointers: DataFrame, path: str, rounds: int) -> tuple[DataFrame, str]:
+    """Follow pointers to smaller nodes, twice as far each round, until all end at a root."""
+    spark = pointers.sparkSession
+    for _ in range(rounds):
+        ahead = pointers.select(F.col("node").alias("top"), F.col("top").alias("next"))
+        jumped = pointers.join(ahead, "top").select(
+            "node", F.col("next").alias("top"), (F.col("next") != F.col("top")).alias("moved")
+        )
+        following, next_path = stored_at(jumped, "cc-pointers")
+        moved = following.where("moved").limit(1).count()
+        remove(spark, path)
+        pointers, path = following.select("node", "top"), next_path
+        if not moved:
+            return pointers, path
+    raise RuntimeError(f"pointers still move after {rounds} rounds")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node of the component of every node that has an edge: node, component.
 
-    ``edges``: a, b. Labels move along edges and then jump to the label of the label, so the rounds
-    grow with the logarithm of a component's diameter. Every table is written to the shared folder;
-    the driver only sees how many labels changed.
+    ``edges``: a, b. Each round points every node at its smallest neighbour, follows the pointers to
+    their roots and contracts the edges to edges between roots, which soon leaves none. Every table
+    is written to the shared folder; the driver only sees whether edges are left.
     """
     spark = edges.sparkSession
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both, edge_path = stored_at(both.where("a <> b").distinct(), "cc-edges")
-    first = both.groupBy("a").agg(F.min("b").alias("b"))
-    labels, path = stored_at(
-        first.select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "cc-labels"
-    )
+    edges, edge_path = stored_at(edges.select("a", "b").where("a <> b").distinct(), "cc-edges")
+    labels, label_path = None, None
     for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b")
-        near = seen.groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
-        moved = labels.join(near, "node").select(
-            "node",
-            F.least("component", "near").alias("component"),
-            F.col("component").alias("old"),
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        nearest = both.groupBy("a").agg(F.min("b").alias("b"))
+        pointers, path = stored_at(
+            nearest.select(F.col("a").alias("node"), F.least("a", "b").alias("top")), "cc-pointers"
         )
-        moved, moved_path = stored_at(moved, "cc-moved")
-        top = moved.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        jumped = moved.join(top, "component", "left").select(
-            "node", F.least("component", F.coalesce("top", "component")).alias("component"), "old"
+        roots, path = _roots(pointers, path, rounds)
+        if labels is None:
+            labels, label_path = roots.withColumnRenamed("top", "component"), path
+        else:
+            above = roots.withColumnsRenamed({"node": "component", "top": "above"})
+            labels, next_path = stored_at(
+                labels.join(above, "component", "left").select(
+                    "node", F.coalesce("above", "component").alias("component")
+                ),
+                "cc-labels",
+            )
+            remove(spark, label_path)
+            label_path = next_path
+        first = roots.withColumnsRenamed({"node": "a", "top": "root_a"})
+        second = roots.withColumnsRenamed({"node": "b", "top": "root_b"})
+        between = edges.join(first, "a").join(second, "b").where("root_a <> root_b")
+        contracted, next_path = stored_at(
+            between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(),
+            "cc-edges",
         )
-        following, next_path = stored_at(jumped, "cc-labels")
-        changed = following.where("component <> old").limit(1).count()
-        remove(spark, path)
-        remove(spark, moved_path)
-        labels, path = following.select("node", "component"), next_path
-        if not changed:
+        remove(spark, edge_path)
+        if path != label_path:
+            remove(spark, path)
+        edges, edge_path = contracted, next_path
+        if not edges.limit(1).count():
             remove(spark, edge_path)
             return labels
-    raise RuntimeError(f"labels still move after {rounds} rounds")
+    raise RuntimeError(f"edges are left after {rounds} rounds")

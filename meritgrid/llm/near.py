@@ -314,9 +314,10 @@ def near_duplicates(
         signed.select("doc_id", "key", "n_shingles", *named).join(per_set, named, "left"),
         "near-rows",
     )
-    names = rows.groupBy("class").agg(
+    names = rows.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
     )
+    names = stored(names, "near-classes")  # a join of two tables can split a large class
     out = rows.where("class IS NOT NULL").join(names, "class")
     single = rows.where("class IS NULL")
     columns = ["doc_id", "class_id", "class_size", "n_links", "n_text_links", "n_copies"]
