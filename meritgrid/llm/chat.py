@@ -59,22 +59,21 @@ def _hops(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     hops, reach = [], 1
     while reach <= largest and state.where(F.col("jump").isNotNull()).limit(1).count():
-        hops.append(state.where(F.col("jump").isNotNull()).select("tree", "node", "jump"))
-        low, high = state.alias("a"), state.alias("b")
-        state = stored(
-            low.join(
-                high,
-                (F.col("a.tree").eqNullSafe(F.col("b.tree"))) & (F.col("a.jump") == F.col("b.node")),
-                "left",
-            ).select(
-                F.col("a.tree").alias("tree"),
-                F.col("a.node").alias("node"),
-                F.col("b.jump").alias("jump"),
-                (F.col("a.depth") + F.coalesce(F.col("b.depth"), F.lit(0))).alias("depth"),
-                (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total"),
-            ),
-            "chat-hops",
+        moving = state.where(F.col("jump").isNotNull())
+        hops.append(moving.select("tree", "node", "jump"))
+        low, high = moving.alias("a"), state.alias("b")
+        moved = low.join(
+            high,
+            (F.col("a.tree").eqNullSafe(F.col("b.tree"))) & (F.col("a.jump") == F.col("b.node")),
+            "left",
+        ).select(
+            F.col("a.tree").alias("tree"),
+            F.col("a.node").alias("node"),
+            F.col("b.jump").alias("jump"),
+            (F.col("a.depth") + F.coalesce(F.col("b.depth"), F.lit(0))).alias("depth"),
+            (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total"),
         )
+        state = stored(moved.unionByName(state.where(F.col("jump").isNull())), "chat-hops")
         reach *= 2
     return hops, state.where(F.col("jump").isNull()).select("tree", "node", "depth", "total")
 
