@@ -170,7 +170,7 @@ def quality_rules(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     groups of their own; repeated rows are judged each; an empty table gives an empty result.
     """
     measured = stored(signals(docs), "quality-signals")
-    s, f = measured.alias("s"), fences(measured, least_group).alias("f")
+    s, f = measured.alias("s"), stored(fences(measured, least_group), "quality-fences").alias("f")
     joined = s.join(
         f,
         F.col("s.lang").eqNullSafe(F.col("f.lang"))
