@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meritgrid.llm.common import new_path, text_slices, write_bytes
+from meritgrid.llm.common import new_path, stored, text_slices, write_bytes
 
 NO_MERGE = np.int64(1 << 40)
 LONG_WORD = 192
@@ -34,9 +34,10 @@ SLOT_BITS = 20
 PACKED = "<u4"
 FIRST_UNASSIGNED = 0x378
 BEYOND = re.compile("[\u0378-\U0010ffff]")
-PIECE_CHARS = 1 << 23
-MEMO_WORDS = 500_000
+PIECE_CHARS = 1 << 22
+MEMO_WORDS = 400_000
 LEXICON_WORDS = 1 << 16
+CLASSES = 16  # of word counts, for each doubling
 
 
 def byte_characters() -> list[str]:
@@ -506,7 +507,7 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> bytes:
 
 
 def frequent_words(docs: DataFrame, vocab_path: str, size: int = LEXICON_WORDS) -> DataFrame:
-    """The ``size`` most frequent words of all texts, with counts.
+    """The most frequent words of all texts, ``size`` at most, with counts.
 
     Counting is lossy in the usual bounded way: a run between spaces is counted where a piece has
     it three times or more, so its count is short by two per piece at most. The lexicon only
@@ -534,8 +535,17 @@ def frequent_words(docs: DataFrame, vocab_path: str, size: int = LEXICON_WORDS)
             )
 
     words = docs.select("text").mapInArrow(counted, "word string, n long")
-    totals = words.groupBy("word").agg(F.sum("n").alias("n"))
-    return totals.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(size)
+    totals = words.where(F.octet_length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n"))
+    totals = stored(totals, "word-counts")
+    class_of = F.floor(F.log2("n") * CLASSES).cast("int")  # a few hundred classes of counts
+    sizes = totals.groupBy(class_of.alias("c")).agg(F.count("*").alias("size")).collect()
+    held, least = 0, None
+    for row in sorted(sizes, key=lambda r: -r.c):
+        held += row.size
+        if held > size:
+            break
+        least = row.c
+    return totals.where(class_of >= least) if least is not None else totals.limit(0)
 
 
 def ship_lexicon(docs: DataFrame, vocab_path: str, size: int = LEXICON_WORDS) -> str:
