@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meritgrid.llm.common import new_path, stored, text_slices, write_bytes
+from meritgrid.llm.common import new_path, small_batches, stored, text_slices, write_bytes
 
 NO_MERGE = np.int64(1 << 40)
 LONG_WORD = 192
@@ -35,7 +35,7 @@ PACKED = "<u4"
 FIRST_UNASSIGNED = 0x378
 BEYOND = re.compile("[\u0378-\U0010ffff]")
 PIECE_CHARS = 1 << 22
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 LEXICON_WORDS = 1 << 16
 CLASSES = 16  # of word counts, for each doubling
 
@@ -516,7 +516,7 @@ def frequent_words(docs: DataFrame, vocab_path: str, size: int = LEXICON_WORDS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        for batch in batches:
+        for batch in small_batches(batches):
             often: Counter = Counter()
             texts = batch.column("text").to_pylist()
             for start, stop in text_slices(texts, PIECE_CHARS):
@@ -580,7 +580,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocab_path, SparkFiles.get(name))
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, ids, decoded = [], [], []
             for found, shown in own.encode(batch.column("text").to_pylist()):
                 digest = hashlib.sha256(found.astype(PACKED).tobytes()).hexdigest()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,17 +92,18 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def arrow_pass(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
-) -> DataFrame:
-    """Map each Arrow batch on its own; nothing is kept between batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
+def small_batches(
+    batches: Iterator[pa.RecordBatch], limit: int = 1 << 22, column: str = "text"
+) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of about ``limit`` bytes of text, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            yield batch.slice(start, stop - start)
 
 
 def text_slices(texts: list, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritgrid.llm.common import text_slices
+from meritgrid.llm.common import small_batches, text_slices
 
 HASHED = 1 << 16
 LEXICON_WORDS = 20_000
@@ -27,7 +27,7 @@ LEXICON_COUNT = 3
 WINDOW_WORDS = 32
 UNKNOWN = "und"
 NOT_LETTERS = regex.compile(r"[^\p{L}\n]+")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -92,7 +92,7 @@ def forward_backward(
     if not len(scores):
         return scores, np.zeros((k, k))
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
-    step = np.exp(transitions - transitions.max())
+    step = np.exp(transitions - transitions.max()).astype(emit.dtype)
     sizes = np.diff(starts)
     order = np.argsort(-sizes, kind="stable")
     begin, sizes = starts[:-1][order], sizes[order]
@@ -184,14 +184,14 @@ class Tagger:
     def __init__(self, model: Model):
         self.model = model
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
+        self.scores = np.zeros((0, len(model.languages)), np.float32)
 
     def _word_scores(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.rows]
         if len(self.rows) + len(new) > MEMO_WORDS:
             self.rows, self.scores, new = {}, self.scores[:0], words
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        fresh = emissions(self.model.weights, new, self.model.lexicon)
+        fresh = emissions(self.model.weights, new, self.model.lexicon).astype(np.float32)
         self.scores = np.concatenate([self.scores, fresh]) if len(new) else self.scores
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         return self.scores[at]
@@ -228,7 +228,7 @@ class Tagger:
                 continue
             share = sizes @ post / sizes.sum()
             best = int(share.argmax())
-            out.append((self.model.languages[best], float(min(1.0, share[best]))))
+            out.append((self.model.languages[best], min(1.0, float(share[best]))))
         return out
 
 
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             found = tagger.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -290,7 +290,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             at = batch.schema.get_field_index("text")
             found = tagger.predict(batch.column(at).to_pylist())
             good = [lang != UNKNOWN and score >= least_score for lang, score in found]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritgrid.llm.common import row_key, stored, text_slices
+from meritgrid.llm.common import row_key, small_batches, stored, text_slices
 from meritgrid.llm.components import components
 
 WORDS = 5
@@ -119,7 +119,7 @@ def sign(docs: DataFrame, trees: int, length: int, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(trees * length)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             rows = []
             for start, stop in text_slices(texts):

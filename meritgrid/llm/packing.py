@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from meritgrid.llm.bpe import encoder
+from meritgrid.llm.common import small_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -173,7 +174,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, length: int = LENGTH) -> Da
         context = TaskContext.get()
         partition = context.partitionId() if context else 0
         stream = Stream(partition, length, sentence_enders(own.vocab))
-        for batch in batches:
+        for batch in small_batches(batches):
             names = batch.column("doc_id").to_pylist()
             for doc_id, (ids, _) in zip(names, own.encode(batch.column("text").to_pylist())):
                 stream.add(doc_id, np.append(ids, np.uint32(END_ID)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritgrid.llm.common import remove, row_key, stored, stored_at
+from meritgrid.llm.common import remove, row_key, small_batches, stored, stored_at
 
 LENGTH = 400
 GRAM = 64
@@ -144,7 +144,7 @@ def find_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             keys = batch.column("key").to_numpy()
             for data, marks in _buffers(batch.column("text").to_pylist(), length):
                 row, offset, begin = (np.array(c, np.int64) for c in zip(*marks))
@@ -203,7 +203,7 @@ def slice_entries(docs: DataFrame, wanted: DataFrame, length: int, gram: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [*[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary()]
-        for batch in batches:
+        for batch in small_batches(batches):
             rows: list[tuple] = []
             for text, anchors in zip(
                 batch.column("text").to_pylist(), batch.column("anchors").to_pylist()
@@ -479,7 +479,7 @@ def remove_passages(
     joined = texts.join(lists, "key", "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, spans, kept_bytes = [], [], []
             for text, found in zip(
                 batch.column("text").to_pylist(), batch.column("ranges").to_pylist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritgrid.llm.common import stored
+from meritgrid.llm.common import small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -216,7 +216,7 @@ def _span_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
         )
     )
-    for batch in batches:
+    for batch in small_batches(batches):
         lists = [candidate_spans(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(lists, kind)], names=["doc_id", "found"]
@@ -368,7 +368,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     accepted = train(find_candidates(docs))
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             at = batch.schema.get_field_index("text")
             texts = [
                 None if t is None else mask_text(t, accepted)
