@@ -323,6 +323,11 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def _count_of_kind(kind: int) -> Column:
+    own = F.filter("found", lambda s: s["base"] & (s["kind"] == kind))
+    return F.size(own).cast("long")
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """Personal data of every document.
 
@@ -337,12 +342,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     allowed = F.array(*[F.lit(f) for f in forms]).cast("array<int>")
     base = F.filter("found", lambda s: s["base"])
     every = F.filter("found", lambda s: s["base"] | F.array_contains(allowed, s["form"]))
-    counted = [
-        F.size(F.filter("found", lambda s, k=k: s["base"] & (s["kind"] == k)))
-        .cast("long")
-        .alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
-    ]
+    counted = [_count_of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counted,
