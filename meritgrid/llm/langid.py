@@ -284,8 +284,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, PREDICTED)
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is found with ``least_score`` or more."""
+def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose language is found; code-switched ones share their score and stay."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
