@@ -20,19 +20,19 @@ SELECT seq, data_source,
 FROM w JOIN nation ON nk=n_nationkey JOIN region ON n_regionkey=r_regionkey
 
 -- cte: fx_certs
-SELECT o_custkey AS seq, l_orderkey AS pos,
+SELECT o_custkey AS seq, l_orderkey*8 + l_linenumber AS pos,
   split_part('Joint Commission International (JCI)|ISO 9001:2015|ISO 15189|CAP Accreditation|NABH Full Accreditation|NABL Testing|Magnet Recognition|ISO13485|ISO 27001|ISO 45001:2018|ISO-14001|State License|Joint Commission|Local Permit|ISO 50001|College of American Pathologists','|',CAST((l_partkey+l_suppkey)%16+1 AS INT)) AS name,
   CASE WHEN l_partkey%13=0 THEN '' WHEN l_partkey%11=0 THEN 'Pending' WHEN l_returnflag='A' THEN 'Active' WHEN l_returnflag='N' THEN 'Accredited' ELSE 'Expired' END AS status,
   CASE l_suppkey%4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(floor(l_quantity/2) AS INT) END AS score_impact,
   CASE l_partkey%3 WHEN 0 THEN concat(CAST(year(l_shipdate) AS STRING),'-',lpad(CAST(month(l_shipdate) AS STRING),2,'0'),'-',lpad(CAST(day(l_shipdate) AS STRING),2,'0'))
     WHEN 1 THEN concat(lpad(CAST(day(l_shipdate) AS STRING),2,'0'),' ',split_part('Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec','|',CAST(month(l_shipdate) AS INT)),' ',CAST(year(l_shipdate) AS STRING)) ELSE 'N/A' END AS accreditation_date,
   l_shipdate + INTERVAL 1095 DAY AS expiry_ts
-FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber=1 AND l_partkey%3<>2
+FROM lineitem JOIN orders ON l_orderkey=o_orderkey
 
 -- cte: fx_initiatives
 SELECT o_custkey AS seq, o_orderkey AS pos, split_part('Patient Safety|Quality Improvement|Clinical Excellence|Technology Innovation|Staff Development|Community Health|Research|Unlisted','|',CAST(o_orderkey%8+1 AS INT)) AS category,
  CAST(floor(o_totalprice) AS BIGINT)%10 AS impact_score, CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'F' THEN 'In Progress' ELSE 'Closed' END AS status
-FROM orders WHERE o_orderkey%7=0
+FROM orders
 
 -- cte: fx_reviews
 SELECT user_id AS seq, event_id, event_type AS platform, CASE WHEN event_id%5=0 THEN NULL ELSE CAST(1+event_id%5 AS DOUBLE) END AS rating,

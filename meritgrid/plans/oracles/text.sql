@@ -101,7 +101,7 @@ SELECT DISTINCT CASE pos % 6 WHEN 0 THEN concat_ws('/', pos % 28 + 1, pos % 12 +
 -- query: date_parse uses: o_dates
 SELECT raw, CAST(CAST(coalesce(try_strptime(raw, '%d %b %Y'), try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%d-%m-%Y'), try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d.%m.%Y')) AS DATE) AS VARCHAR) AS portal_date,
  CAST(CAST(coalesce(try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%d-%m-%Y'), try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d.%m.%Y'), try_strptime(raw, '%d %b %Y'), try_strptime(raw, '%b %d, %Y')) AS DATE) AS VARCHAR) AS list_date,
- CASE WHEN raw LIKE '%/%' OR try_strptime(raw, '%d %b %Y') IS NOT NULL THEN CAST(CAST(coalesce(try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%d %b %Y')) AS DATE) AS VARCHAR) ELSE raw END AS found_date,
+ CASE WHEN regexp_matches(raw, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') OR try_strptime(raw, '%d %b %Y') IS NOT NULL THEN CAST(CAST(coalesce(try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%d %b %Y')) AS DATE) AS VARCHAR) ELSE raw END AS found_date,
  CASE WHEN try_strptime(raw, '%d %b %Y') IS NOT NULL THEN strftime(try_strptime(raw, '%d %b %Y'), '%Y-%m-%dT%H:%M:%S') ELSE raw END AS iso_or_same FROM o_dates
 -- query: certificate_status uses: fx_certs
 SELECT CASE r WHEN 1 THEN 'Suspended' WHEN 2 THEN 'Active' WHEN 3 THEN 'Expired' WHEN 4 THEN 'Revoked' ELSE CASE WHEN e IS NULL THEN 'Unknown' WHEN e > n THEN 'Active' ELSE 'Expired' END END AS remarks_first,
