@@ -17,6 +17,17 @@ TREND_POINTS = {"improving": 2.0, "stable": 1.0, "declining": 0.0}
 TREND_SHIFT = {"improving": 0.1, "stable": 0.0, "declining": -0.1}
 
 
+EXACT = "decimal(28,12)"  # sums that feed bands and roundings must not depend on their order
+
+
+def exact_sum(value: Column) -> Column:
+    return F.sum(value.cast(EXACT)).cast("double")
+
+
+def _exact_mean(value: Column) -> Column:
+    return exact_sum(value) / F.nullif(F.count(value), F.lit(0))
+
+
 def half_split_trend(reviews: DataFrame) -> DataFrame:
     """Later half minus earlier half of the mean sentiment, by time; under four rows is stable."""
     placed = place(reviews.select("seq", "ts", "event_id", "sentiment"), "ts", "event_id")
@@ -24,8 +35,8 @@ def half_split_trend(reviews: DataFrame) -> DataFrame:
     later = F.col("_i") > F.floor(F.col("_n") / 2)
     halves = ordered.groupBy("seq").agg(
         F.count("*").alias("n_reviews"),
-        F.avg(F.when(later, F.col("sentiment"))).alias("recent_sentiment"),
-        F.avg(F.when(~later, F.col("sentiment"))).alias("older_sentiment"),
+        _exact_mean(F.when(later, F.col("sentiment"))).alias("recent_sentiment"),
+        _exact_mean(F.when(~later, F.col("sentiment"))).alias("older_sentiment"),
     )
     shift = F.col("recent_sentiment") - F.col("older_sentiment")
     return halves.withColumn(
@@ -49,8 +60,8 @@ def platform_counts(reviews: DataFrame, as_of: str) -> DataFrame:
     return reviews.groupBy("seq", "platform").agg(
         F.count("*").alias("n"),
         F.count("rating").alias("n_rated"),
-        F.sum("rating").alias("sum_rating"),
-        F.sum("sentiment").alias("sum_sentiment"),
+        F.sum(F.col("rating").cast(EXACT)).alias("sum_rating"),
+        F.sum(F.col("sentiment").cast(EXACT)).alias("sum_sentiment"),
         F.sum(F.when(recent, 1).otherwise(0)).alias("n_recent"),
     )
 
@@ -63,8 +74,8 @@ def review_summary(orgs: DataFrame, reviews: DataFrame, as_of: str) -> DataFrame
         F.sum("n").alias("n_reviews"),
         F.count("*").alias("n_platforms"),
         F.sum("n_recent").alias("n_recent"),
-        (F.sum("sum_rating") / F.nullif(F.sum("n_rated"), F.lit(0))).alias("avg_rating"),
-        (F.sum("sum_sentiment") / F.sum("n")).alias("sentiment"),
+        (F.sum("sum_rating").cast("double") / F.nullif(F.sum("n_rated"), F.lit(0))).alias("avg_rating"),
+        (F.sum("sum_sentiment").cast("double") / F.sum("n")).alias("sentiment"),
         F.array_join(F.array_sort(F.collect_list(entry)), ";").alias("platforms"),
     )
     trend = half_split_trend(reviews).select("seq", "trend")

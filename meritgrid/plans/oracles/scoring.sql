@@ -208,7 +208,7 @@ FROM (SELECT prior_score_src / 100.0 AS s FROM fx_orgs) GROUP BY 1, 2
 -- cte: o_half uses: fx_reviews
 SELECT seq, n_reviews, recent_sentiment, older_sentiment, CASE WHEN n_reviews < 4 THEN 'stable' WHEN recent_sentiment - older_sentiment > 0.1 THEN 'improving'
   WHEN recent_sentiment - older_sentiment < -0.1 THEN 'declining' ELSE 'stable' END AS trend FROM (
-  SELECT seq, count(*) AS n_reviews, avg(sentiment) FILTER (i > n // 2) AS recent_sentiment, avg(sentiment) FILTER (i <= n // 2) AS older_sentiment
+  SELECT seq, count(*) AS n_reviews, CAST(sum(CAST(sentiment AS DECIMAL(28,12))) FILTER (i > n // 2) AS DOUBLE) / nullif(count(sentiment) FILTER (i > n // 2), 0) AS recent_sentiment, CAST(sum(CAST(sentiment AS DECIMAL(28,12))) FILTER (i <= n // 2) AS DOUBLE) / nullif(count(sentiment) FILTER (i <= n // 2), 0) AS older_sentiment
   FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY seq) AS n FROM fx_reviews) GROUP BY seq)
 -- query: review_trend uses: o_half
 SELECT seq, n_reviews, round(recent_sentiment, 6) AS recent_sentiment, round(older_sentiment, 6) AS older_sentiment, trend FROM o_half
@@ -216,7 +216,7 @@ SELECT seq, n_reviews, round(recent_sentiment, 6) AS recent_sentiment, round(old
 SELECT o.seq, coalesce(r.n, 0) AS n_reviews, coalesce(r.avg_rating, 0) AS avg_rating, coalesce(r.sentiment, 0) AS sentiment, coalesce(r.n_recent, 0) AS n_recent,
   coalesce(p.platforms, '') AS platforms, coalesce(h.trend, 'stable') AS trend, coalesce(r.np, 0) AS np,
   CASE WHEN r.n > 0 THEN least(1, least(r.n / 50.0, 1) * 0.4 + CAST(r.n_recent AS DOUBLE) / r.n * 0.4 + least(r.np / 3.0, 1) * 0.2) ELSE 0 END AS confidence
-FROM fx_orgs o LEFT JOIN (SELECT seq, count(*) AS n, avg(rating) AS avg_rating, avg(sentiment) AS sentiment, count(DISTINCT platform) AS np,
+FROM fx_orgs o LEFT JOIN (SELECT seq, count(*) AS n, CAST(sum(CAST(rating AS DECIMAL(28,12))) AS DOUBLE) / nullif(count(rating), 0) AS avg_rating, CAST(sum(CAST(sentiment AS DECIMAL(28,12))) AS DOUBLE) / nullif(count(sentiment), 0) AS sentiment, count(DISTINCT platform) AS np,
    count(*) FILTER (TIMESTAMP '2024-03-31 00:00:00' - ts < INTERVAL 91 DAY) AS n_recent FROM fx_reviews GROUP BY seq) r USING (seq)
  LEFT JOIN (SELECT seq, string_agg(concat(platform, '=', n), ';' ORDER BY platform) AS platforms FROM (SELECT seq, platform, count(*) AS n FROM fx_reviews GROUP BY 1, 2) GROUP BY seq) p USING (seq)
  LEFT JOIN o_half h USING (seq)
