@@ -111,6 +111,21 @@ def _quality(certs: DataFrame) -> Column:
     )
 
 
+def _jci_order(certs: DataFrame) -> Column:
+    """Largest is best: organisation info, impact, certificate number as text, length, first place."""
+    def column(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default) if name in certs.columns else default
+
+    texts = [c for c, kind in certs.dtypes if kind == "string"]
+    return F.struct(
+        (column("organization_info", F.lit("")) != "").cast("int").alias("a"),
+        column("score_impact", F.lit(0)).cast("double").alias("b"),
+        column("certificate_number", F.lit("")).alias("c"),
+        F.length(F.concat_ws("", *texts)).alias("d"),
+        (-F.col("pos")).alias("e"),
+    )
+
+
 def best_certs(certs: DataFrame) -> DataFrame:
     """One certification per normalised name: the most complete one, at the first one's place."""
     keyed = certs.withColumn("cert_key", text.cert_key("name")).filter("cert_key != ''")
@@ -172,9 +187,9 @@ def _greedy_kept(threshold: float):
 def one_jci(certs: DataFrame) -> DataFrame:
     """Of several JCI certifications the most complete one stays and moves to the end."""
     jci = has(F.upper(filled("name")), "JCI", "JOINT COMMISSION INTERNATIONAL")
-    tagged = certs.withColumn("_jci", jci).withColumn("_q", _quality(certs))
+    tagged = certs.withColumn("_jci", jci).withColumn("_q", _jci_order(certs))
     family = tagged.filter("_jci").groupBy("seq").agg(
-        F.count("*").alias("_n"), F.min_by(F.col("pos"), F.col("_q")).alias("_best")
+        F.count("*").alias("_n"), F.max_by(F.col("pos"), F.col("_q")).alias("_best")
     )
     joined = tagged.join(family, "seq", "left")
     several = F.col("_jci") & (F.col("_n") > 1)

@@ -395,11 +395,14 @@ def growth_by_month(monthly: DataFrame) -> DataFrame:
     return running.withColumn("_b", before).withColumn("growth", growth).filter("_b is not null").drop("_b")
 
 
-def type_totals(monthly: DataFrame, months: int) -> DataFrame:
-    """Total, share and monthly mean per type."""
+def type_totals(monthly: DataFrame) -> DataFrame:
+    """Total, share and mean over the months in the data, per type."""
     totals = monthly.groupBy("cert_type").agg(F.sum("cnt").alias("total"))
     share = F.col("total") * 100.0 / F.sum("total").over(Window.partitionBy())
-    return totals.withColumn("share", share).withColumn("monthly_avg", F.col("total") / months)
+    months = monthly.agg(F.count_distinct("y", "m").alias("months"))  # one row
+    averaged = totals.join(F.broadcast(months), F.lit(True))
+    average = F.col("total") / F.col("months")
+    return averaged.withColumn("share", share).withColumn("monthly_avg", average).drop("months")
 
 
 def year_totals(monthly: DataFrame) -> DataFrame:

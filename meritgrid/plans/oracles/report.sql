@@ -90,7 +90,7 @@ SELECT y, m, CAST(sum(cnt) AS BIGINT) AS total FROM fx_monthly GROUP BY 1, 2
 -- query: monthly_growth uses: o_month
 SELECT y, m, running, round(CASE WHEN b > 0 THEN (running - b) / b * 100 ELSE 0 END, 6) AS growth FROM (SELECT y, m, running, lag(running) OVER (ORDER BY y, m) AS b FROM (SELECT y, m, CAST(sum(total) OVER (ORDER BY y, m) AS BIGINT) AS running FROM o_month)) WHERE b IS NOT NULL
 -- query: type_totals uses: fx_monthly
-SELECT cert_type, CAST(sum(cnt) AS BIGINT) AS total, round(sum(cnt) * 100.0 / (SELECT sum(cnt) FROM fx_monthly), 6)::DOUBLE AS share, round(sum(cnt) / 80, 6)::DOUBLE AS monthly_avg FROM fx_monthly GROUP BY 1
+SELECT cert_type, CAST(sum(cnt) AS BIGINT) AS total, round(sum(cnt) * 100.0 / (SELECT sum(cnt) FROM fx_monthly), 6)::DOUBLE AS share, round(sum(cnt) / (SELECT count(*) FROM (SELECT DISTINCT y, m FROM fx_monthly)), 6)::DOUBLE AS monthly_avg FROM fx_monthly GROUP BY 1
 -- query: year_totals uses: o_month
 SELECT y, total, round(total / 12, 6)::DOUBLE AS monthly_avg, round(coalesce((total - b) / b * 100, 0), 6)::DOUBLE AS growth FROM (SELECT y, total, lag(total) OVER (ORDER BY y) AS b FROM (SELECT y, CAST(sum(total) AS BIGINT) AS total FROM o_month GROUP BY 1))
 -- query: growth_metrics uses: o_month

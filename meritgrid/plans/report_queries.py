@@ -253,7 +253,7 @@ def _monthly_growth(v: Views) -> DataFrame:
 
 @query("type_totals")
 def _type_totals(v: Views) -> DataFrame:
-    return report.type_totals(v.monthly, 80).select("cert_type", "total", num("share").alias("share"), num("monthly_avg").alias("monthly_avg"))
+    return report.type_totals(v.monthly).select("cert_type", "total", num("share").alias("share"), num("monthly_avg").alias("monthly_avg"))
 
 
 @query("year_totals")

@@ -127,3 +127,18 @@ def test_review_confidence_and_score(spark):
     assert r["review_score"] == pytest.approx((0.5 + 2.5 + 3.2 + 2.0) * confidence)
     empty = one(reviews.review_score(reviews.review_summary(orgs(spark, 2), revs, "2024-02-01 00:00:00")))
     assert (empty["review_score"], empty["trend"], empty["n_reviews"]) == (0.0, "stable", 0)
+
+
+def test_one_jci_prefers_the_larger_certificate_number(spark):
+    from meritgrid.operators import merge
+
+    rows = [
+        (1, 1, "JCI", "Active and long", 20, "A1"),
+        (1, 2, "JCI", "Active", 20, "Z9"),
+        (1, 3, "ISO 9001", "Active", 5, ""),
+    ]
+    certs = spark.createDataFrame(
+        rows, "seq long, pos long, name string, status string, score_impact int, certificate_number string"
+    )
+    kept = {r.pos: r.moved_last for r in merge.one_jci(certs).collect()}
+    assert kept == {2: 1, 3: 0}
