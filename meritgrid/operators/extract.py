@@ -21,7 +21,6 @@ from meritgrid.operators import merge, score_more
 from meritgrid.operators.ordering import first_rows
 from meritgrid.rules import extraction as rules
 from meritgrid.rules import scoring as score_rules
-from meritgrid.session import broadcast_if_small
 
 # --- page text -----------------------------------------------------------------------------
 
@@ -479,14 +478,9 @@ def indicator_tags(texts: DataFrame) -> DataFrame:
 
 
 def lexicon_sentiment(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Mean polarity of the words of a text that the lexicon knows, 0 without any.
-
-    A word list within the checked size meets the words before anything is shuffled; a larger one
-    is joined on the word.
-    """
+    """Mean polarity of the words of a text that the lexicon knows, 0 without any."""
     token = F.explode(F.split(F.lower(filled("text")), r"[^\p{L}]+"))
-    held = broadcast_if_small(lexicon.select("word", "polarity"))
-    known = texts.select("doc_id", token.alias("word")).join(held, "word")
+    known = texts.select("doc_id", token.alias("word")).join(lexicon.select("word", "polarity"), "word")
     scored = known.groupBy("doc_id").agg(F.avg("polarity").alias("_s"), F.count("*").alias("n_words"))
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("_s", F.lit(0.0))))
     return texts.select("doc_id").join(scored, "doc_id", "left").select("doc_id", value.alias("sentiment"), F.coalesce("n_words", F.lit(0)).alias("n_words"))

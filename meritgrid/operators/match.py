@@ -7,7 +7,7 @@ conflicts are settled by the smallest base ``seq``. Results are one row per matc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -303,64 +303,73 @@ def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-MAX_QUERIES = 1000  # a user's search list; longer lists are a table job for ``match_cascade``
+QUERY_BLOCK = 1000  # search texts that meet the organisations in one pass
 
 
-def query_table(orgs: DataFrame, queries: Sequence[str]) -> DataFrame:
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} search texts, got {len(queries)}")
-    rows = [(i, q.strip()) for i, q in enumerate(queries) if q.strip()]
-    return small_table(orgs.sparkSession, rows, seq="bigint", name="string")
+def in_blocks(orgs: DataFrame, queries: Sequence[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over the numbered texts (``query_no, query``), a block of bounded size at a time.
 
+    Every block is one pass over the organisations; blank texts are left out.
+    """
+    found = None
+    for start in range(0, max(len(queries), 1), QUERY_BLOCK):
+        block = enumerate(queries[start : start + QUERY_BLOCK], start)
+        rows = [(i, q.strip().lower()) for i, q in block if q.strip()]
+        part = search(small_table(orgs.sparkSession, rows, query_no="bigint", query="string"))
+        found = part if found is None else found.union(part)
+    return found
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 minus the edit distance over the longer length; two empty texts are equal."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / F.nullif(longest, F.lit(0)))
 
-def _shared_word_pairs(asked: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Query and organisation rows with a word in common; the query side is a checked small list."""
-    q = asked.select(F.col("seq").alias("lid"), F.lower("name").alias("query"), F.explode(words(F.lower("name"))).alias("w"))
-    tokens = q.groupBy("w").agg(F.collect_list(F.struct("lid", "query")).alias("_q"))
-    hits = orgs.select("seq", "name", F.explode(words(lower_name("name"))).alias("w")).join(F.broadcast(tokens), "w")
-    return hits.select("seq", "name", F.explode("_q").alias("_p")).select("_p.lid", "_p.query", "seq", "name").distinct()
+
+def _similarity_bound(a: Column, b: Column) -> Column:
+    """What ``edit_similarity`` reaches at most, by the lengths alone."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, 1.0).otherwise(F.least(F.length(a), F.length(b)) / F.nullif(longest, F.lit(0)))
+
+
+def _either_contains(a: Column, b: Column) -> Column:
+    return F.contains(a, b) | F.contains(b, a)
 
 
 ALIAS = ("john hopkins", "johns hopkins")
+TIERS = ["exact", "contained", "original_name", "fuzzy"]
+SLACK = 1e-9  # bounds and scores add the same parts in another order
 
 
 def lookup_names(orgs: DataFrame, queries: Sequence[str], threshold: float = 0.6) -> DataFrame:
-    """Four tiers per search text: equal, contained, contained in the original name, fuzzy."""
-    asked = query_table(orgs, queries)
-    left = _left(asked, lower_name("name"))
-    right = _right(orgs, lower_name("name"))
-    original = _right(orgs.filter(filled("original_name") != ""), lower_name("original_name"))
-    tiers = [
-        ("exact", blocking.equal_key(left, right)),
-        ("contained", blocking.either_contains(left, right)),
-        ("original_name", blocking.either_contains(left, original)),
-    ]
-    found = None
-    for level, (method, rows) in enumerate(tiers):
-        best = blocking.best_of(rows).select("lid", F.struct(F.lit(level).alias("l"), F.lit(method).alias("m"), F.col("ord").alias("o")).alias("_t"))
-        found = best if found is None else found.union(best)
-    found = found.groupBy("lid").agg(F.min("_t").alias("_t")).select("lid", F.col("_t.m").alias("method"), F.col("_t.o").alias("match_seq"), F.lit(1.0).alias("score"))
-    rest = asked.join(found.select(F.col("lid").alias("seq")), "seq", "left_anti")
-    fuzzy = _fuzzy_lookup(rest, orgs, threshold)
-    return found.union(fuzzy).select(F.col("lid").alias("query_no"), "method", "match_seq", "score")
-
-
-def _fuzzy_lookup(asked: DataFrame, orgs: DataFrame, threshold: float) -> DataFrame:
-    """0.4 character similarity + 0.6 word overlap; a pair without a shared word cannot pass."""
-    pairs = _shared_word_pairs(asked, orgs)
-    overlap = text.word_overlap(words("query"), words(lower_name("name")))
-    size = F.length("query") + F.length(lower_name("name"))
-    ceiling = F.least(F.length("query"), F.length(lower_name("name"))) * 2 / size
-    boosted = F.col("query").contains(ALIAS[0]) & lower_name("name").contains(ALIAS[1])
-    likely = pairs.withColumn("_o", overlap).withColumn("_b", boosted).filter((ceiling * 0.4 + F.col("_o") * 0.6 >= threshold) | F.col("_b"))
-    base = char_similarity(F.col("query"), lower_name("name")) * 0.4 + F.col("_o") * 0.6
-    scored = likely.withColumn("_base", base).withColumn(
-        "score", F.when(F.col("_b"), F.greatest("_base", F.lit(0.9))).otherwise(F.col("_base"))
-    )
-    best = scored.filter(F.col("score") >= threshold).groupBy("lid").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.col("seq").alias("q"))).alias("_t")
+    """Best organisation per search text: equal, contained, contained in the original name, fuzzy.
+
+    The fuzzy tier is 0.4 character similarity + 0.6 word overlap, at least 0.9 for the alias.
+    The first tier with a hit decides; in it the best score, then file order.
+    """
+    named = orgs.filter((filled("name") != "") | (filled("original_name") != "")).select(
+        "seq", lower_name("name").alias("_n"), lower_name("original_name").alias("_o"), words(lower_name("name")).alias("_w")
     )
-    return best.select("lid", F.lit("fuzzy").alias("method"), F.col("_t.q").alias("match_seq"), (-F.col("_t.s")).alias("score"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        texts = F.broadcast(asked.withColumn("_qw", words("query")))
+        q, n, o = F.col("query"), F.col("_n"), F.col("_o")
+        overlap = text.word_overlap(F.col("_qw"), F.col("_w")) * 0.6
+        alias = F.contains(q, F.lit(ALIAS[0])) & F.contains(n, F.lit(ALIAS[1]))
+        base = edit_similarity(q, n) * 0.4 + overlap
+        fuzzy = F.when(alias, F.greatest(base, F.lit(0.9))).otherwise(base)
+        bound = _similarity_bound(q, n) * 0.4 + overlap
+        inside, original = (n != "") & _either_contains(n, q), (o != "") & _either_contains(o, q)
+        likely = inside | original | ((n != "") & (alias | (bound >= threshold - SLACK)))
+        tier = F.when(n == q, 0).when(inside, 1).when(original, 2).when(fuzzy >= threshold, 3)
+        hits = named.join(texts, likely).select("query_no", "seq", tier.alias("_t"), fuzzy.alias("_s"))
+        score = F.when(F.col("_t") < 3, 1.0).otherwise(F.col("_s"))
+        order = F.struct(F.col("_t"), (-score).alias("s"), "seq")
+        best = hits.filter("_t IS NOT NULL").groupBy("query_no").agg(F.min(order).alias("_b"))
+        method = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("_b._t") + 1)
+        return best.select("query_no", method.alias("method"), F.col("_b.seq").alias("match_seq"), (-F.col("_b.s")).alias("score"))
+
+    return in_blocks(orgs, queries, search)
 
 
 SEARCH_WEIGHTS = {  # fixed values: weight of each part of the search score
@@ -373,46 +382,39 @@ SEARCH_WEIGHTS = {  # fixed values: weight of each part of the search score
 }
 
 
-def ranked_search(orgs: DataFrame, queries: Sequence[str], threshold: float = 0.6, similarity=char_similarity) -> DataFrame:
+def ranked_search(orgs: DataFrame, queries: Sequence[str], threshold: float = 0.6) -> DataFrame:
     """All organisations whose weighted similarity to a search text reaches the threshold.
 
-    Without a shared word and without containment the score stays below 0.6, so lower thresholds
-    are refused.
+    Pairs that cannot reach it by lengths, words and containment are dropped before any edit
+    distance is computed.
     """
-    if threshold < 0.6:
-        raise ValueError("threshold below 0.6 would need a comparison with every organisation")
-    asked = query_table(orgs, queries)
-    named = orgs.filter(filled("name") != "")
-    ids = _shared_word_pairs(asked, named).select("lid", "query", "seq")
-    within = _containment_pairs(asked, named)
-    pairs = ids.union(within).distinct().join(named.select("seq", "name", "original_name"), "seq")
-    original = filled("original_name")
-    name = F.lower("name")
-    either = lambda t: F.when(F.contains(t, F.col("query")) | F.contains(F.col("query"), t), 1.0).otherwise(0.0)
-    w = SEARCH_WEIGHTS
-    parts = (
-        similarity(F.col("query"), name) * w["direct"]
-        + similarity(F.lower(text.search_key("query")), F.lower(text.search_key("name"))) * w["normalized"]
-        + text.word_overlap(words("query"), words(name)) * w["overlap"]
-        + either(name) * w["substring"]
-        + F.when(original == "", 0.0).otherwise(
-            similarity(F.col("query"), F.lower(original)) * w["original"] + either(F.lower(original)) * w["original_substring"]
-        )
-    )
-    scored = pairs.withColumn("_s", parts).withColumn(
-        "score",
-        F.when(name == F.col("query"), 1.0)
-        .when(F.contains(name, F.col("query")), F.greatest("_s", F.lit(0.9)))
-        .otherwise(F.col("_s")),
+    named = orgs.filter(filled("name") != "").select(
+        "seq",
+        F.lower("name").alias("_n"),
+        F.lower(text.search_key("name")).alias("_k"),
+        F.lower(filled("original_name")).alias("_o"),
+        words(F.lower("name")).alias("_w"),
     )
-    return scored.filter(F.col("score") >= threshold).select(F.col("lid").alias("query_no"), "seq", "score")
 
+    def search(asked: DataFrame) -> DataFrame:
+        key = F.lower(text.search_key("query"))
+        texts = F.broadcast(asked.withColumns({"_qk": key, "_qw": words("query")}))
+        q, n, o, w = F.col("query"), F.col("_n"), F.col("_o"), SEARCH_WEIGHTS
+        inside = lambda t: F.when(_either_contains(t, q), 1.0).otherwise(0.0)
+        parts = lambda alike: (
+            alike(q, n) * w["direct"]
+            + alike(F.col("_qk"), F.col("_k")) * w["normalized"]
+            + text.word_overlap(F.col("_qw"), F.col("_w")) * w["overlap"]
+            + inside(n) * w["substring"]
+            + F.when(o == "", 0.0).otherwise(alike(q, o) * w["original"] + inside(o) * w["original_substring"])
+        )
+        likely = F.contains(n, q) | (parts(_similarity_bound) >= threshold - SLACK)
+        total = parts(edit_similarity)
+        score = F.when(n == q, 1.0).when(F.contains(n, q), F.greatest(total, F.lit(0.9))).otherwise(total)
+        scored = named.join(texts, likely).select("query_no", "seq", score.alias("score"))
+        return scored.filter(F.col("score") >= threshold)
 
-def _containment_pairs(asked: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Pairs where one text contains the other; one scan against the checked small query list."""
-    q = F.broadcast(asked.select(F.col("seq").alias("lid"), F.lower("name").alias("query")))
-    name = F.lower("name")
-    return orgs.join(q, F.contains(name, F.col("query")) | F.contains(F.col("query"), name)).select("lid", "query", "seq")
+    return in_blocks(orgs, queries, search)
 
 
 def branch_group(name: Column | str) -> Column:

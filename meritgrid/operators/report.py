@@ -12,7 +12,7 @@ from meritgrid.functions import cleaning
 from meritgrid.functions.exprs import band, first_rule, has
 from meritgrid.functions.text import filled, lower_name
 from meritgrid.operators import blocking
-from meritgrid.operators.match import query_table
+from meritgrid.operators.match import in_blocks
 from meritgrid.operators.ordering import first_rows
 
 # --- counts --------------------------------------------------------------------------------
@@ -514,25 +514,26 @@ def suggestions(orgs: DataFrame, typed: Sequence[str], k: int = 10) -> DataFrame
     """Suggestions for typed texts: name start, then name part, then original name.
 
     One per name and location key (better class, then shorter name, then file order), ordered by
-    class and name. The list of texts is checked for size; texts under two letters are left out.
+    class and name. Texts under two letters are left out.
     """
-    texts = query_table(orgs, typed).filter(F.length("name") >= 2)
-    asked = F.broadcast(texts.select(F.col("seq").alias("query_no"), F.lower("name").alias("_q")))
     name, original = lower_name("name"), lower_name("original_name")
-    kind = (
-        F.when(F.startswith(name, F.col("_q")), 0)
-        .when(F.contains(name, F.col("_q")), 1)
-        .when((original != "") & F.contains(original, F.col("_q")), 2)
-    )
-    held = orgs.filter(name != "").select("seq", "name", "original_name", "location")
-    hits = held.join(asked, F.contains(name, F.col("_q")) | F.contains(original, F.col("_q"))).withColumn("_kind", kind)
-    keyed = hits.withColumn("_key", cleaning.suggestion_key("name", "location"))
-    best = first_rows(keyed, ["query_no", "_key"], ["_kind", F.length("name"), "seq"])
-    w = Window.partitionBy("query_no").orderBy("_kind", cleaning.unify_company(F.trim("name")), "seq")
-    names = F.element_at(F.array(F.lit("name_start"), F.lit("name_contains"), F.lit("original_name")), F.col("_kind") + 1)
-    return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(
-        "query_no", "place", "seq", names.alias("match_type")
-    )
+    held = orgs.filter(name != "").select(
+        "seq", "name", "location", name.alias("_n"), original.alias("_o"), cleaning.suggestion_key("name", "location").alias("_key")
+    )
+
+    def search(texts: DataFrame) -> DataFrame:
+        asked = F.broadcast(texts.filter(F.length("query") >= 2))
+        n, o, q = F.col("_n"), F.col("_o"), F.col("query")
+        kind = F.when(F.startswith(n, q), 0).when(F.contains(n, q), 1).otherwise(2)
+        hits = held.join(asked, F.contains(n, q) | F.contains(o, q)).withColumn("_kind", kind)
+        best = first_rows(hits, ["query_no", "_key"], ["_kind", F.length("name"), "seq"])
+        w = Window.partitionBy("query_no").orderBy("_kind", cleaning.unify_company(F.trim("name")), "seq")
+        names = F.element_at(F.array(F.lit("name_start"), F.lit("name_contains"), F.lit("original_name")), F.col("_kind") + 1)
+        return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(
+            "query_no", "place", "seq", names.alias("match_type")
+        )
+
+    return in_blocks(orgs, typed, search)
 
 
 def merged_suggestions(first: DataFrame, second: DataFrame, k: int = 8) -> DataFrame:

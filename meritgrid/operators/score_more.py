@@ -16,17 +16,19 @@ from meritgrid.rules import scoring as rules
 def public_text_score(orgs: DataFrame, accreditations: DataFrame, public: DataFrame) -> DataFrame:
     """Weighted public accreditations, awards, specialties and website, times confidence, minus penalties.
 
-    ``accreditations(seq, body, standard)`` is long; ``public(seq, confidence, has_awards,
+    ``accreditations(seq, body, standard[, name])`` is long; ``public(seq, confidence, has_awards,
     has_specialties, has_website)`` has a row per organisation found in public text. Others are
     scored from the default row: nothing found, confidence 0.2.
     """
     body, standard = F.upper(filled("body")), F.lower(filled("standard"))
+    name = F.lower(filled("name")) if "name" in accreditations.columns else F.lit("")
+    iso_met = (body == "ISO") & (standard.contains("iso 9001") | standard.contains("iso 15189"))
     met = {
         "CAP": body == "CAP",
         "JCI": body == "JCI",
         "ISO 9001": (body == "ISO") & standard.contains("iso 9001"),
         "ISO 15189": (body == "ISO") & ~standard.contains("iso 9001") & standard.contains("iso 15189"),
-        "MAGNET": body == "MAGNET",
+        "MAGNET": (body == "MAGNET") | (name.contains("magnet") & ~body.isin("CAP", "JCI") & ~iso_met),
     }
     slug = lambda k: k.lower().replace(" ", "")
     folded = accreditations.groupBy("seq").agg(

@@ -118,3 +118,17 @@ SELECT subject, peer, row_number() OVER (PARTITION BY subject ORDER BY s DESC, p
 SELECT seq, CASE WHEN seq % 4 = 0 THEN CASE WHEN contains(lower(split_part(name, ' ', 1)), 'max') THEN 'max healthcare' ELSE 'narayana health' END WHEN seq % 4 = 1 THEN 'max healthcare' END AS group_name,
  CAST(CASE WHEN seq % 4 = 0 THEN 23 WHEN seq % 4 = 1 THEN 17 ELSE 0 END AS BIGINT) AS branches,
  CASE WHEN seq % 4 < 2 THEN 'multi_location' WHEN seq % 4 = 2 THEN 'specific_location' ELSE 'single_location' END AS search_type FROM fx_orgs
+-- cte: o_search
+SELECT query_no, q, list_distinct(list_filter(string_split(q, ' '), lambda x: x <> '')) AS qw, lower(trim(regexp_replace(regexp_replace(regexp_replace(q, '\b(hospital|medical|center|centre|institute|research|health|care|system|ltd|limited|pvt|private|inc|corporation|corp)\b', '', 'gi'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS qk FROM (SELECT query_no, lower(t) AS q FROM (VALUES
+ (0, 'apex nursing home'), (1, 'Royal Institute'), (2, 'cardiac hospital group'), (3, 'Unity Care Network extra long branch name'), (4, 'lotus labs pathology'), (5, 'Kidny Institute'), (6, 'no such place')) v(query_no, t))
+-- cte: o_searched uses: fx_orgs o_search
+SELECT *, contains(n, q) OR contains(q, n) AS within, contains(o, q) OR contains(q, o) AS within_original FROM o_search, (SELECT seq, lower(trim(name)) AS n, lower(trim(concat(country, ' ', name))) AS o,
+ list_distinct(list_filter(string_split(lower(trim(name)), ' '), lambda x: x <> '')) AS nw, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '\b(hospital|medical|center|centre|institute|research|health|care|system|ltd|limited|pvt|private|inc|corporation|corp)\b', '', 'gi'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS nk FROM fx_orgs WHERE name <> '')
+-- query: lookup_names uses: o_searched
+SELECT CAST(query_no AS BIGINT) AS query_no, ['exact', 'contained', 'original_name', 'fuzzy'][tier + 1] AS method, seq AS match_seq, round(CASE WHEN tier < 3 THEN 1 ELSE s END, 6)::DOUBLE AS score FROM (
+SELECT *, CASE WHEN n = q THEN 0 WHEN within THEN 1 WHEN within_original THEN 2 WHEN s >= 0.6 THEN 3 END AS tier FROM (
+SELECT *, greatest(0.4 * (CASE WHEN greatest(length(q), length(n)) = 0 THEN 1 ELSE 1 - levenshtein(q, n) / greatest(length(q), length(n)) END) + 0.6 * len(list_intersect(qw, nw)) / len(qw), CASE WHEN contains(q, 'john hopkins') AND contains(n, 'johns hopkins') THEN 0.9 ELSE 0 END) AS s FROM o_searched))
+WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY tier, CASE WHEN tier < 3 THEN 0 ELSE -round(s, 12) END, seq) = 1
+-- query: ranked_search uses: o_searched
+SELECT CAST(query_no AS BIGINT) AS query_no, seq, round(s, 6)::DOUBLE AS score FROM (SELECT query_no, seq, CASE WHEN n = q THEN 1 WHEN contains(n, q) THEN greatest(p, 0.9) ELSE p END AS s FROM (
+SELECT *, 0.3 * (CASE WHEN greatest(length(q), length(n)) = 0 THEN 1 ELSE 1 - levenshtein(q, n) / greatest(length(q), length(n)) END) + 0.25 * (CASE WHEN greatest(length(qk), length(nk)) = 0 THEN 1 ELSE 1 - levenshtein(qk, nk) / greatest(length(qk), length(nk)) END) + 0.2 * len(list_intersect(qw, nw)) / len(qw) + 0.15 * within::INT + 0.05 * (CASE WHEN greatest(length(q), length(o)) = 0 THEN 1 ELSE 1 - levenshtein(q, o) / greatest(length(q), length(o)) END) + 0.05 * within_original::INT AS p FROM o_searched)) WHERE s >= 0.6

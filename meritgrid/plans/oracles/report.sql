@@ -136,7 +136,7 @@ SELECT q AS query_no, row_number() OVER (PARTITION BY q ORDER BY p, k) AS place,
 -- cte: o_public uses: fx_orgs fx_certs
 SELECT o.seq, o.seq % 4 <> 0 AS f, CASE WHEN o.seq % 4 <> 0 THEN (o.seq % 10) / 10 ELSE 0.2 END AS conf, coalesce(c.acc, 0) AS acc, coalesce(c.j, 0) AS j, coalesce(c.c, 0) AS c, coalesce(c.i9, 0) AS i9, coalesce(c.i15, 0) AS i15, coalesce(c.m, 0) AS m,
  CASE WHEN o.seq % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN o.seq % 3 = 0 THEN 10 ELSE 0 END AS q FROM fx_orgs o
-LEFT JOIN (SELECT seq, sum(CASE pos % 6 WHEN 0 THEN 30 WHEN 1 THEN 30 WHEN 2 THEN 20 WHEN 3 THEN 10 WHEN 4 THEN 20 ELSE 0 END) AS acc, max((pos % 6 = 0)::INT) AS j, max((pos % 6 = 1)::INT) AS c, max((pos % 6 = 3 AND contains(lower(name), 'iso 9001'))::INT) AS i9, max((pos % 6 = 3 AND contains(lower(name), 'iso 15189'))::INT) AS i15, max((pos % 6 = 4)::INT) AS m FROM fx_certs GROUP BY 1) c USING (seq)
+LEFT JOIN (SELECT seq, sum(CASE pos % 6 WHEN 0 THEN 30 WHEN 1 THEN 30 WHEN 2 THEN 20 WHEN 3 THEN 10 WHEN 4 THEN 20 ELSE 0 END) AS acc, max((pos % 6 = 0)::INT) AS j, max((pos % 6 = 1)::INT) AS c, max((pos % 6 = 3 AND contains(lower(name), 'iso 9001'))::INT) AS i9, max((pos % 6 = 3 AND contains(lower(name), 'iso 15189'))::INT) AS i15, max((pos % 6 = 4 OR (pos % 6 NOT IN (0, 1) AND contains(lower(name), 'magnet')))::INT) AS m FROM fx_certs GROUP BY 1) c USING (seq)
 -- query: public_text_score uses: o_public
 SELECT seq, round(CASE WHEN f THEN acc ELSE 0 END * conf, 6)::DOUBLE AS certification_score, round(CASE WHEN f THEN q ELSE 0 END * conf, 6)::DOUBLE AS quality_score, CAST(pen AS DOUBLE) AS mandatory_penalty,
  round(greatest(0, CASE WHEN f THEN (acc + q + 5) * conf ELSE 0 END - pen), 6)::DOUBLE AS total_score, CASE WHEN conf > 0.7 THEN 'High' WHEN conf > 0.4 THEN 'Medium' ELSE 'Low' END AS confidence_level

@@ -339,7 +339,7 @@ def _merged_suggestions(v: Views) -> DataFrame:
 @query("public_text_score")
 def _public(v: Views) -> DataFrame:
     body = pick(["JCI", "CAP", "NABH", "ISO", "MAGNET", "X"], F.col("pos"))
-    found = v.certs.select("seq", body.alias("body"), F.col("name").alias("standard"))
+    found = v.certs.select("seq", body.alias("body"), F.col("name").alias("standard"), "name")
     public = v.orgs.filter("seq % 4 <> 0").select(
         "seq", ((F.col("seq") % 10) / 10).alias("confidence"), (F.col("seq") % 2 == 0).alias("has_awards"),
         (F.col("seq") % 3 == 0).alias("has_specialties"), F.lit(True).alias("has_website"),

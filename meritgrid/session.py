@@ -10,28 +10,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_TABLE_ROWS = 10_000
-BROADCAST_ROWS = 100_000
-
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence], **columns: str) -> DataFrame:
     """Hand-kept rows as one literal, so that the optimizer sees how small they are.
 
     ``columns`` maps names to SQL types, in the order of the row values.
     """
-    if len(rows) > SMALL_TABLE_ROWS:
-        raise ValueError(f"{len(rows)} rows are no small table; read them from files")
     text = json.dumps([dict(zip(columns, row)) for row in rows])
     fields = ",".join(f"{name}:{kind}" for name, kind in columns.items())
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; a larger table is joined by shuffle."""
-    fits = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if fits else df.hint("merge")
-
-
 def local_session(cores: int | str = 8, app: str = "meritgrid", **conf: str) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
     builder = (

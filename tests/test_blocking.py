@@ -102,9 +102,13 @@ def test_hot_key_reaches_the_join_once(spark):
 
 
 def similarity(a, b):
-    import difflib
-
-    return difflib.SequenceMatcher(None, a, b).ratio()
+    """1 - edit distance / longer length, by the full table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
 
 
 ORGS = [
@@ -126,7 +130,8 @@ def test_lookup_tiers(spark):
     assert 6 not in got
 
 
-def test_ranked_search_equals_plain_scoring(spark):
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.6])
+def test_ranked_search_equals_plain_scoring(spark, threshold):
     import re
 
     words = "hospital|medical|center|centre|institute|research|health|care|system|ltd|limited|pvt|private|inc|corporation|corp"
@@ -148,18 +153,28 @@ def test_ranked_search_equals_plain_scoring(spark):
         return max(total, 0.9) if q.lower() in n.lower() else total
 
     rows = [(i, n, f"{n}, India" if i % 2 else "") for i, n in enumerate(ORGS)]
+    rows += [(90, "Johns Hopkins", "Johnshopkins"), (91, "hospital", None), (92, "", "eye care"), (93, None, None)]
     orgs = spark.createDataFrame(rows, "seq long, name string, original_name string")
-    texts = ["apollo hospitals", "Johns Hopkins", "north city general hospital", "mayo clinic", "eye care"]
+    texts = ["apollo hospitals", "Johns Hopkins", "north city general hospital", "mayo clinic", "eye care", "johnshopkins", "hospital"]
     want = {
-        (qi, i): round(score(q, n, o), 6) for qi, q in enumerate(texts) for i, n, o in rows if score(q, n, o) >= 0.6
+        (qi, i): round(score(q, n, o), 6) for qi, q in enumerate(texts) for i, n, o in rows if n and score(q, n, o) >= threshold
     }
-    got = {(r["query_no"], r["seq"]): round(r["score"], 6) for r in match.ranked_search(orgs, texts).collect()}
+    got = {(r["query_no"], r["seq"]): round(r["score"], 6) for r in match.ranked_search(orgs, texts, threshold).collect()}
     assert got == want
+    assert (5, 90) in got
+
+
+def test_lookup_alias_needs_no_shared_word(spark):
+    orgs = spark.createDataFrame([(4, "Johns Hopkins", "")], "seq long, name string, original_name string")
+    got = match.lookup_names(orgs, ["john hopkinsx clinicx"]).collect()
+    assert [(r["method"], r["match_seq"], r["score"]) for r in got] == [("fuzzy", 4, 0.9)]
 
 
-def test_query_lists_are_checked(spark):
-    orgs = spark.createDataFrame([(1, "a", "")], "seq long, name string, original_name string")
-    with pytest.raises(ValueError):
-        match.lookup_names(orgs, ["x"] * (match.MAX_QUERIES + 1))
-    with pytest.raises(ValueError):
-        match.ranked_search(orgs, ["x"], threshold=0.3)
+def test_search_texts_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(match, "QUERY_BLOCK", 3)
+    orgs = spark.createDataFrame([(i, f"name {i}", "") for i in range(8)], "seq long, name string, original_name string")
+    texts = [f"Name {i}" for i in range(8)] + [" ", ""]
+    assert {r["query_no"]: r["match_seq"] for r in match.lookup_names(orgs, texts).collect()} == {i: i for i in range(8)}
+    exact = {(r["query_no"], r["seq"]) for r in match.ranked_search(orgs, texts, 0.99).collect()}
+    assert exact == {(i, i) for i in range(8)}
+    assert match.lookup_names(orgs, []).count() == 0
