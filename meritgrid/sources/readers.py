@@ -73,14 +73,43 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ORG_FIELDS).json(path)
 
 
+def _csv_cells(line: str, width: int) -> Column:
+    """Cells of a CSV line, as many as the line has; empty ones are null."""
+    schema = ",".join(f"_{i} string" for i in range(width))
+    cells = F.from_csv(line, F.lit(schema))
+    return F.array(*[cells[f"_{i}"] for i in range(width)])
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of CSV files as ``source_name, record``, each file by its own first line.
+
+    Of equal header names the last cell stays, cells without a header name are dropped, missing
+    cells are null and lines equal to the header are left out. Records do not span lines.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_name").alias("source_name"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_at"),
+        F.regexp_replace("value", "^\ufeff", "").alias("_line"),
+    )
+    headers = lines.groupBy("_file").agg(F.min_by("_line", "_at").alias("_header"))
+    width = headers.agg(F.max(F.size(F.split("_header", ",", -1)))).first()[0] or 1  # a schema has a fixed width
+    joined = lines.join(headers, "_file").filter("_line <> _header")
+    names, cells = F.col("_names"), F.col("_cells")
+    split = joined.select("source_name", _csv_cells("_header", width).alias("_names"), _csv_cells("_line", width).alias("_cells"))
+    last = F.filter(
+        F.sequence(F.lit(1), F.size(names)),
+        lambda i: F.element_at(names, i).isNotNull() & (F.array_position(F.slice(F.reverse(names), 1, F.size(names) - i), F.element_at(names, i)) == 0),
+    )
+    entries = F.transform(last, lambda i: F.struct(F.element_at(names, i), F.element_at(cells, i)))
+    return split.select("source_name", F.map_from_entries(entries).alias("record"))
+
+
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """JSON documents and CSV files of a folder as flat records tagged with their file name."""
     documents = read_documents(spark, f"{folder}/*.json")
     items = documents.filter(is_readable("document")).select("source_name", F.explode(payload_items("document")).alias("record"))
-    table = spark.read.option("header", True).csv(f"{folder}/*.csv")
-    pairs = [x for c in table.columns for x in (F.lit(c), F.col(c))]
-    rows = table.select(F.col("_metadata.file_name").alias("source_name"), F.create_map(*pairs).alias("record"))
-    return items.unionByName(rows)
+    return items.unionByName(csv_records(spark, f"{folder}/*.csv"))
 
 
 def first_available(*sources: DataFrame) -> DataFrame:

@@ -42,6 +42,20 @@ def test_folder_scan_tags_rows_with_their_file(spark, tmp_path):
     ]
 
 
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "tables"
+    write(folder, "a.csv", 'name,city\n"Alpha, Inc",Goa\n\nBeta\n')
+    write(folder, "b.csv", "\ufeffcity,name,phone,name\nPune,old,1,Gamma\ncity,name,phone,name\n,Delta,,\n")
+    write(folder, "c.csv", "")
+    got = [(r["source_name"], sorted(r["record"].items(), key=str)) for r in readers.csv_records(spark, f"{folder}/*.csv").collect()]
+    assert sorted(got, key=str) == sorted([
+        ("a.csv", sorted({"name": "Alpha, Inc", "city": "Goa"}.items(), key=str)),
+        ("a.csv", sorted({"name": "Beta", "city": None}.items(), key=str)),
+        ("b.csv", sorted({"city": "Pune", "phone": "1", "name": "Gamma"}.items(), key=str)),
+        ("b.csv", sorted({"city": None, "phone": None, "name": None}.items(), key=str)),
+    ], key=str)
+
+
 def test_line_documents(spark, tmp_path):
     folder = tmp_path / "lines"
     write(folder, "a.json", '{"name":"A","city":"X"}\n{"name":"B"}\n')
