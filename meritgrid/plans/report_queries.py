@@ -14,6 +14,7 @@ from meritgrid.plans.ranking_queries import ranked_table, score_table
 from meritgrid.plans.registry import Views, query
 from meritgrid.plans.scoring_queries import scored_orgs
 from meritgrid.plans.text_queries import lab_rows, pick, registry_rows
+from meritgrid.operators.ordering import first_rows
 from meritgrid.session import small_table
 
 
@@ -326,8 +327,8 @@ def _merged_suggestions(v: Views) -> DataFrame:
     def provider(rows: DataFrame, key: str) -> DataFrame:
         from pyspark.sql.window import Window
 
-        place = F.row_number().over(Window.partitionBy("query_no").orderBy("seq"))
-        return rows.select(F.col(key).alias("query_no"), "seq", "name").withColumn("place", place)
+        few = first_rows(rows.select(F.col(key).alias("query_no"), "seq", "name"), ["query_no"], ["seq"], 8)
+        return few.withColumn("place", F.row_number().over(Window.partitionBy("query_no").orderBy("seq")))
 
     first, second = provider(incoming(v), "country"), provider(base(v), "country")
     return report.merged_suggestions(first, second).select("query_no", F.col("place").cast("long").alias("place"), "name")
