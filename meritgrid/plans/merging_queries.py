@@ -227,8 +227,7 @@ def portal_rows(v: Views) -> DataFrame:
 @query("registry_upsert")
 def _registry_upsert(v: Views) -> DataFrame:
     rows = portal_rows(v)
-    matches = match.same_place_match(rows, base(v).filter("region = 'ASIA' or region = 'EUROPE'"))
-    out = merge.registry_upsert(base(v), rows, matches)
+    out = merge.registry_upsert(base(v), rows, match.same_place_match(rows, base(v)))
     return out.select("target_seq", "action", "n_incoming", "status", num("score_impact").alias("score_impact"), "accreditation_current")
 
 
