@@ -277,11 +277,36 @@ def upload_certs(base_certs: DataFrame, new_certs: DataFrame, targets: DataFrame
     )
 
 
-def registry_upsert(base: DataFrame, incoming: DataFrame, matches: DataFrame) -> DataFrame:
+def appended(held: DataFrame, extra: DataFrame) -> DataFrame:
+    """``held(seq, pos, ...)`` and behind them ``extra(seq, source_seq, pos, ...)``, by source row.
+
+    New places go on from the target's last one and may leave gaps; nothing is gathered per target.
+    """
+    last = held.groupBy("seq").agg(F.max("pos").alias("_last"))
+    width = extra.agg(F.coalesce(F.max("pos"), F.lit(0)) + 1).scalar()
+    place = F.coalesce("_last", F.lit(0)) + 1 + F.col("source_seq") * width + F.col("pos")
+    moved = extra.join(last, "seq", "left").withColumn("pos", place).drop("_last", "source_seq")
+    return held.unionByName(moved, allowMissingColumns=True)
+
+
+def overridden_flags(flags: DataFrame, changed: DataFrame) -> DataFrame:
+    """``flags(seq, flag, value)`` with the changed ones replaced or added."""
+    return flags.join(changed.select("seq", "flag"), ["seq", "flag"], "left_anti").unionByName(changed)
+
+
+REGISTRY_CERT = "NABH Entry Level"  # fixed value: type of the certification
+REGISTRY_NAME = "National Accreditation Board for Hospitals & Healthcare Providers (NABH) - Entry Level"  # fixed value
+
+
+def registry_upsert(
+    base: DataFrame, incoming: DataFrame, matches: DataFrame, certs: DataFrame, flags: DataFrame
+) -> dict[str, DataFrame]:
     """Entry-level registry rows: the last matching row sets status, flags and impact of a target.
 
     Unmatched names already in the base (any country) are skipped; new names are inserted once.
-    Result: one row per changed or inserted target with ``action``.
+    ``certs(seq, pos, name, cert_type, status, score_impact)``, ``flags(seq, flag, value)``.
+    Tables: ``orgs``, every base row and the inserted ones with ``action``; ``certs``, where the
+    first entry-level certification of a target is replaced, else one is appended; ``flags``.
     """
     matched, fresh = split_matched(incoming, matches)
     name = lower_name("name")
@@ -295,14 +320,44 @@ def registry_upsert(base: DataFrame, incoming: DataFrame, matches: DataFrame) ->
         F.max_by(fields, F.col("seq")).alias("_f"), F.count("*").alias("n_incoming")
     )
     active = F.col("_f.status") == "Active"
-    return last.select(
-        "target_seq",
+    changed = last.select(
+        F.col("target_seq").alias("seq"),
         "action",
         "n_incoming",
         "_f.*",
         F.when(active, 15.0).otherwise(0.0).alias("score_impact"),
-        active.cast("int").alias("accreditation_current"),
+        F.coalesce(active, F.lit(False)).cast("int").alias("accreditation_current"),
+    )
+    details = set(changed.columns) - {"seq"}
+    columns = [c for c in base.columns if c in incoming.columns and c not in details]
+    first = inserted.filter("seq = target_seq")
+    orgs = (
+        base.select(columns)
+        .unionByName(first.select(columns))
+        .join(changed, "seq", "left")
+        .withColumns({"action": F.coalesce("action", F.lit("kept")), "n_incoming": F.coalesce("n_incoming", F.lit(0))})
+        .withColumnRenamed("seq", "target_seq")
+    )
+    fresh_certs = changed.select(
+        "seq", F.lit(REGISTRY_NAME).alias("name"), F.lit(REGISTRY_CERT).alias("cert_type"), "status", "score_impact",
+        "accreditation_no", "valid_upto",
     )
+    own = certs.filter(F.col("cert_type") == REGISTRY_CERT).groupBy("seq").agg(F.min("pos").alias("pos"))
+    replaced = fresh_certs.join(own, "seq")
+    added = fresh_certs.join(own.select("seq"), "seq", "left_anti").withColumns(
+        {"source_seq": F.lit(0).cast("long"), "pos": F.lit(0).cast("long")}
+    )
+    untouched = certs.join(replaced.select("seq", "pos"), ["seq", "pos"], "left_anti")
+    marks = F.array(
+        F.struct(F.lit("nabh_accredited").alias("flag"), F.lit(True).alias("value")),
+        F.struct(F.lit("nabh_entry_level").alias("flag"), F.lit(True).alias("value")),
+        F.struct(F.lit("accreditation_current").alias("flag"), (F.col("accreditation_current") == 1).alias("value")),
+    )
+    return {
+        "orgs": orgs,
+        "certs": appended(untouched.unionByName(replaced, allowMissingColumns=True), added),
+        "flags": overridden_flags(flags, changed.select("seq", F.inline(marks))),
+    }
 
 
 def portal_upsert(base: DataFrame, incoming: DataFrame, matches: DataFrame) -> DataFrame:
@@ -357,10 +412,25 @@ def lab_upsert(base: DataFrame, incoming: DataFrame, matches: DataFrame) -> dict
     return {"sources": sources, "keywords": keywords, "stats": stats}
 
 
-def pathology_upsert(base: DataFrame, incoming: DataFrame, matches: DataFrame) -> DataFrame:
+LAB_FLAGS = [
+    "cap_accredited", "iso_15189_accredited", "laboratory_accreditation", "international_accreditation", "accreditation_valid",
+]
+
+
+def laboratory_flags(seqs: DataFrame) -> DataFrame:
+    """The indicator flags that an accredited laboratory brings to its target."""
+    marks = F.array(*[F.lit(f) for f in LAB_FLAGS])
+    return seqs.select("seq").distinct().select("seq", F.explode(marks).alias("flag"), F.lit(True).alias("value"))
+
+
+def pathology_upsert(
+    base: DataFrame, incoming: DataFrame, matches: DataFrame, certs: DataFrame, flags: DataFrame
+) -> dict[str, DataFrame]:
     """Pathology-body feed: one fixed certification per matching laboratory, flags, last lab info.
 
-    Unmatched laboratories are inserted once per normalised name.
+    Unmatched laboratories are inserted once per normalised name. ``certs(seq, pos, name, ...)``,
+    ``flags(seq, flag, value)``. Tables: ``orgs``, every base row and the inserted ones with
+    ``action``; ``certs``, the held ones and one per laboratory behind them; ``flags``.
     """
     matched, fresh = split_matched(incoming, matches)
     per_target = matched.groupBy("match_seq").agg(
@@ -368,22 +438,44 @@ def pathology_upsert(base: DataFrame, incoming: DataFrame, matches: DataFrame) -
     )
     held = F.coalesce("data_source", F.lit(""))
     tagged = F.when(held == "", "CAP").when(held.contains("CAP"), held).otherwise(F.concat(held, F.lit(", CAP")))
-    updated = base.join(per_target.withColumnRenamed("match_seq", "seq"), "seq").select(
-        "seq", tagged.alias("data_source"), "added_certs", "lab_name", F.lit("updated").alias("action")
+    hit = F.col("added_certs").isNotNull()
+    merged = base.join(per_target.withColumnRenamed("match_seq", "seq"), "seq", "left").select(
+        "seq",
+        F.when(hit, tagged).otherwise(F.col("data_source")).alias("data_source"),
+        F.coalesce("added_certs", F.lit(0)).alias("added_certs"),
+        "lab_name",
+        F.when(hit, "updated").otherwise("kept").alias("action"),
     )
     firsts = batch_first(fresh, text.lab_key("name")).filter("seq = target_seq").select("seq")
     inserted = fresh.join(firsts, "seq").select(
         "seq", F.lit("CAP 15189"), F.lit(0).cast("long"), "name", F.lit("inserted")
     )
-    return updated.union(inserted)
+    routes = matched.select(F.col("match_seq").alias("seq"), F.col("seq").alias("source_seq")).union(
+        firsts.select("seq", "seq")
+    )
+    extra = routes.withColumns(
+        {"pos": F.lit(0).cast("long"), "name": F.lit("College of American Pathologists (CAP)"), "status": F.lit("Active"), "score_impact": F.lit(18.0)}
+    )
+    return {
+        "orgs": merged.union(inserted),
+        "certs": appended(certs, extra),
+        "flags": overridden_flags(flags, laboratory_flags(routes)),
+    }
 
 
-def branded_lab_upsert(base: DataFrame, labs: DataFrame, matches: DataFrame) -> DataFrame:
+def branded_lab_upsert(
+    base: DataFrame, labs: DataFrame, matches: DataFrame,
+    certs: DataFrame, lab_certs: DataFrame, initiatives: DataFrame, lab_initiatives: DataFrame, flags: DataFrame,
+) -> dict[str, DataFrame]:
     """Branded laboratories: score grows by each impact up to 100, specialties are united.
 
-    ``base(seq, quality_score, specialties)``, ``labs(seq, impact, specialties)``.
+    ``base(seq, quality_score, specialties)``, ``labs(seq, impact, specialties, quality_score)``.
+    A matched laboratory appends its first certification and all its initiatives to the target; an
+    unmatched one is inserted with its own score and lists. ``certs``, ``initiatives`` and those of
+    the laboratories are long, ``(seq, pos, ...)``. Tables: ``orgs``, every base row and the inserted
+    ones with ``action``; ``certs``; ``initiatives``; ``flags(seq, flag, value)``.
     """
-    matched, _ = split_matched(labs, matches)
+    matched, fresh = split_matched(labs, matches)
     gains = matched.groupBy("match_seq").agg(F.sum("impact").alias("_gain"), F.count("*").alias("n_labs"))
     # distinct (target, specialty) first, so the collected list is bounded by the vocabulary
     skills = (
@@ -391,16 +483,36 @@ def branded_lab_upsert(base: DataFrame, labs: DataFrame, matches: DataFrame) ->
             F.array_sort(F.collect_list("s")).alias("_new")
         )
     )
-    return (
-        base.join(gains.withColumnRenamed("match_seq", "seq"), "seq")
+    hit = F.col("n_labs").isNotNull()
+    score = F.least(F.lit(100.0), F.coalesce("quality_score", F.lit(70.0)) + F.col("_gain"))
+    united = F.array_union(F.coalesce("specialties", F.array().cast("array<string>")), F.coalesce("_new", F.array().cast("array<string>")))
+    merged = (
+        base.join(gains.withColumnRenamed("match_seq", "seq"), "seq", "left")
         .join(skills.withColumnRenamed("match_seq", "seq"), "seq", "left")
         .select(
             "seq",
-            F.least(F.lit(100.0), F.coalesce("quality_score", F.lit(70.0)) + F.col("_gain")).alias("quality_score"),
-            F.array_union("specialties", F.coalesce("_new", F.array().cast("array<string>"))).alias("specialties"),
-            "n_labs",
+            F.when(hit, score).otherwise(F.col("quality_score")).alias("quality_score"),
+            F.when(hit, united).otherwise(F.col("specialties")).alias("specialties"),
+            F.coalesce("n_labs", F.lit(0)).alias("n_labs"),
+            F.when(hit, "updated").otherwise("kept").alias("action"),
         )
     )
+    inserted = fresh.select("seq", "quality_score", "specialties", F.lit(0).cast("long").alias("n_labs"), F.lit("inserted").alias("action"))
+    routes = matched.select(F.col("seq").alias("source_seq"), F.col("match_seq").alias("seq"))
+    own = fresh.select("seq")
+
+    def moved(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("seq", "source_seq").join(routes, "source_seq")
+
+    first = lab_certs.join(lab_certs.groupBy("seq").agg(F.min("pos").alias("pos")), ["seq", "pos"])
+    return {
+        "orgs": merged.unionByName(inserted),
+        "certs": appended(certs, moved(first)).unionByName(lab_certs.join(own, "seq"), allowMissingColumns=True),
+        "initiatives": appended(initiatives, moved(lab_initiatives)).unionByName(
+            lab_initiatives.join(own, "seq"), allowMissingColumns=True
+        ),
+        "flags": overridden_flags(flags, laboratory_flags(routes.select("seq").union(own))),
+    }
 
 
 def global_targets(base: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -224,13 +224,36 @@ def portal_rows(v: Views) -> DataFrame:
     )
 
 
+def registry_tables(v: Views) -> dict[str, DataFrame]:
+    """The whole base after the entry-level registry; every seventh certification is of its kind."""
+    rows, held = portal_rows(v), base(v)
+    kind = F.when(F.col("pos") % 7 == 0, merge.REGISTRY_CERT).otherwise("Other")
+    certs = v.certs.select("seq", "pos", "name", kind.alias("cert_type"), "status", F.col("score_impact").cast("double").alias("score_impact"))
+    flags = jci_flags(v).join(held.select("seq"), "seq")
+    return merge.registry_upsert(held, rows, match.same_place_match(rows, held), certs.join(held.select("seq"), "seq"), flags)
+
+
 @query("registry_upsert")
 def _registry_upsert(v: Views) -> DataFrame:
-    rows = portal_rows(v)
-    out = merge.registry_upsert(base(v), rows, match.same_place_match(rows, base(v)))
+    out = registry_tables(v)["orgs"].filter("action <> 'kept'")
     return out.select("target_seq", "action", "n_incoming", "status", num("score_impact").alias("score_impact"), "accreditation_current")
 
 
+@query("registry_upsert_table")
+def _registry_table(v: Views) -> DataFrame:
+    return registry_tables(v)["orgs"].drop("prior_score_src")
+
+
+@query("registry_upsert_certs")
+def _registry_certs(v: Views) -> DataFrame:
+    return registry_tables(v)["certs"]
+
+
+@query("registry_upsert_flags")
+def _registry_flags(v: Views) -> DataFrame:
+    return registry_tables(v)["flags"]
+
+
 @query("portal_upsert")
 def _portal_upsert(v: Views) -> DataFrame:
     rows = portal_rows(v)
@@ -266,23 +289,79 @@ def _lab_stats(v: Views) -> DataFrame:
     return merge.lab_upsert(held, labs, match.lab_name_match(labs, held))["stats"]
 
 
+def pathology_tables(v: Views) -> dict[str, DataFrame]:
+    labs, held = incoming(v), base(v)
+    certs = v.certs.select("seq", "pos", "name", "status", F.col("score_impact").cast("double").alias("score_impact"))
+    flags = jci_flags(v).join(held.select("seq"), "seq")
+    return merge.pathology_upsert(held, labs, match.similar_name_match(labs, held), certs.join(held.select("seq"), "seq"), flags)
+
+
 @query("pathology_upsert")
 def _pathology(v: Views) -> DataFrame:
-    labs, held = incoming(v), base(v)
-    return merge.pathology_upsert(held, labs, match.similar_name_match(labs, held))
+    return pathology_tables(v)["orgs"].filter("action <> 'kept'")
 
 
-@query("branded_lab_upsert")
-def _branded(v: Views) -> DataFrame:
+@query("pathology_upsert_table")
+def _pathology_table(v: Views) -> DataFrame:
+    return pathology_tables(v)["orgs"]
+
+
+@query("pathology_upsert_certs")
+def _pathology_certs(v: Views) -> DataFrame:
+    return pathology_tables(v)["certs"]
+
+
+@query("pathology_upsert_flags")
+def _pathology_flags(v: Views) -> DataFrame:
+    return pathology_tables(v)["flags"]
+
+
+def branded_tables(v: Views) -> dict[str, DataFrame]:
+    """The whole base after the branded laboratories, with their certification and two initiatives."""
     labs = incoming(v).select(
-        "seq", "name", F.lit(18.0).alias("impact"), F.array(F.lit("Pathology"), F.col("hospital_type")).alias("specialties")
+        "seq", "name", F.lit(18.0).alias("impact"), F.array(F.lit("Pathology"), F.col("hospital_type")).alias("specialties"), F.lit(95.0).alias("quality_score")
     )
     held = base(v).select(
         "seq", "name", (F.col("prior_score_src") / 100).alias("quality_score"), F.array(F.lit("Clinic")).alias("specialties")
     )
-    matches = match.sub_brand_match(labs, held, "apex", ["hospital", "clinic", "institute"])
-    out = merge.branded_lab_upsert(held, labs, matches)
-    return out.select("seq", num("quality_score").alias("quality_score"), F.array_join("specialties", "|").alias("specialties"), "n_labs")
+    one = F.struct(F.lit(1).cast("long").alias("pos"), F.lit("CAP 15189").alias("name"))
+    both = [F.struct(F.lit(i).cast("long").alias("pos"), F.lit(c).alias("category")) for i, c in enumerate(["Laboratory Quality", "Research"], 1)]
+    mine = held.select("seq")
+    return merge.branded_lab_upsert(
+        held, labs, match.sub_brand_match(labs, held, "apex", ["hospital", "clinic", "institute"]),
+        v.certs.select("seq", "pos", "name").join(mine, "seq"), labs.select("seq", F.inline(F.array(one))),
+        v.initiatives.select("seq", "pos", "category").join(mine, "seq"), labs.select("seq", F.inline(F.array(*both))),
+        jci_flags(v).join(mine, "seq"),
+    )
+
+
+def branded_rows(out: DataFrame) -> DataFrame:
+    return out.withColumns({"quality_score": num("quality_score"), "specialties": F.array_join("specialties", "|")})
+
+
+@query("branded_lab_upsert")
+def _branded(v: Views) -> DataFrame:
+    return branded_rows(branded_tables(v)["orgs"].filter("action = 'updated'")).drop("action")
+
+
+@query("branded_lab_upsert_table")
+def _branded_table(v: Views) -> DataFrame:
+    return branded_rows(branded_tables(v)["orgs"])
+
+
+@query("branded_lab_upsert_certs")
+def _branded_certs(v: Views) -> DataFrame:
+    return branded_tables(v)["certs"]
+
+
+@query("branded_lab_upsert_initiatives")
+def _branded_initiatives(v: Views) -> DataFrame:
+    return branded_tables(v)["initiatives"]
+
+
+@query("branded_lab_upsert_flags")
+def _branded_flags(v: Views) -> DataFrame:
+    return branded_tables(v)["flags"]
 
 
 @query("global_upsert")
