@@ -38,15 +38,70 @@ class Model:
     weights: np.ndarray  # hashed features, then lexicon words, by language
     transitions: np.ndarray  # log scores, from row to column
     lexicon: dict[str, int]
+    grams: np.ndarray  # sorted codes of the learned 3-grams
+    floor: float  # least share of learned 3-grams of a text in a learned language
+
+
+def marked_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words with marks at their ends, and the word number of each."""
+    marked = "\x01" + "\x02\x01".join(words) + "\x02"
+    codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return codes, np.cumsum(codes == 1) - 1
+
+
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, code) of every 3-gram with word ends: as many as the word has letters."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    codes, owner = marked_codes(words)
+    at = np.flatnonzero(owner[:-2] == owner[2:])
+    shift = np.uint64(21)
+    return owner[at], ((codes[at] << shift) | codes[at + 1]) << shift | codes[at + 2]
+
+
+def contained(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(codes), bool)
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+
+
+def learned_grams(texts: list[str], labels: list[str]) -> tuple[np.ndarray, float]:
+    """3-grams of two documents or more, and the floor of a text's share of them.
+
+    For each language, the share its documents reach with all learned 3-grams is set against the
+    share they would reach if that language had not been learned. The floor is the lowest midpoint
+    of the two medians, so it follows the number of languages and how near they are; it stays a
+    tenth below what nearly all fitted documents reach.
+    """
+    languages = sorted(set(labels))
+    found = [np.unique(word_grams(text_words(t))[1], return_counts=True) for t in texts]
+    if not any(len(grams) for grams, _ in found):
+        return np.empty(0, np.uint64), 0.0
+    every = np.unique(np.concatenate([grams for grams, _ in found]))
+    in_docs = np.zeros((len(every), len(languages)), np.int32)
+    for (grams, _), label in zip(found, labels):
+        in_docs[np.searchsorted(every, grams), languages.index(label)] += 1
+    total = in_docs.sum(axis=1)
+    reached, middles = [], []
+    for j, language in enumerate(languages):
+        own, foreign = [], []
+        for (grams, counts), label in zip(found, labels):
+            if label == language and len(grams):
+                at = np.searchsorted(every, grams)
+                own.append((total[at] >= 2) @ counts / counts.sum())
+                foreign.append((total[at] - in_docs[at, j] >= 2) @ counts / counts.sum())
+        if own:
+            reached += own
+            middles.append((np.median(own) + np.median(foreign)) / 2)
+    return every[total >= 2], float(min(*middles, 0.9 * np.quantile(reached, 0.01)))
 
 
 def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, feature) pairs: 2- and 3-grams with word ends, 3-letter affixes, the word."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    marked = "\x01" + "\x02\x01".join(words) + "\x02"
-    codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.cumsum(codes == 1) - 1
+    codes, owner = marked_codes(words)
     mix = np.uint64(0x9E3779B97F4A7C15)
     numbers, features = [], []
     for n in (2, 3, 4):
@@ -144,8 +199,9 @@ def fit(
     lexicon = {w: i for i, w in enumerate(often)}
     weights = np.zeros((HASHED + len(lexicon), k))
     transitions = np.zeros((k, k))
+    grams, floor = learned_grams(texts, labels)
     if k < 2:
-        return Model(languages, weights.astype(np.float32), transitions, lexicon)
+        return Model(languages, weights.astype(np.float32), transitions, lexicon, grams, floor)
     vocabulary = sorted({w for s in sequences for w in s})
     number = {w: i for i, w in enumerate(vocabulary)}
     order = np.array([number[w] for s in sequences for w in s])
@@ -175,7 +231,7 @@ def fit(
         slope_t = (true_pairs - pairs) / total - 1e-3 * transitions
         square_t += slope_t**2
         transitions = transitions + rate * slope_t / np.sqrt(square_t)
-    return Model(languages, weights.astype(np.float32), transitions, lexicon)
+    return Model(languages, weights.astype(np.float32), transitions, lexicon, grams, floor)
 
 
 class Tagger:
@@ -231,6 +287,18 @@ class Tagger:
             out.append((self.model.languages[best], min(1.0, float(share[best]))))
         return out
 
+    def familiarity(self, texts: list) -> list[float]:
+        """For each text the share of its 3-grams that were learned; 0 without letters."""
+        out: list[float] = []
+        for start, stop in text_slices(texts):
+            lists = [text_words(t) for t in texts[start:stop]]
+            different = list({w for words in lists for w in words})
+            numbers, codes = word_grams(different)
+            hits = np.bincount(numbers, contained(codes, self.model.grams), len(different))
+            known = dict(zip(different, hits.tolist()))
+            out += [sum(map(known.__getitem__, words)) / max(1, sum(map(len, words))) for words in lists]
+        return out
+
 
 def held_out() -> Column:
     """Documents whose crc32 of the id's digits leaves 2 on division by 4; never learnt from."""
@@ -284,16 +352,23 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, PREDICTED)
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is found; code-switched ones share their score and stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+def keep_identified(docs: DataFrame, floor: float | None = None) -> DataFrame:
+    """The rows of ``docs`` with letters that are in learned languages, one or several mixed.
+
+    The share of a text's 3-grams that were learned must reach the floor, by default the model's.
+    The share of the top language says nothing about that: it is 1 / k at least, whatever the text.
+    """
+    model = train(docs)
+    floor = model.floor if floor is None else floor
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in small_batches(batches):
             at = batch.schema.get_field_index("text")
-            found = tagger.predict(batch.column(at).to_pylist())
-            good = [lang != UNKNOWN and score >= least_score for lang, score in found]
+            texts = batch.column(at).to_pylist()
+            found = zip(tagger.predict(texts), tagger.familiarity(texts))
+            good = [lang != UNKNOWN and share >= floor for (lang, _), share in found]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

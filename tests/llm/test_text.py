@@ -259,6 +259,22 @@ def test_language_held_out_and_code_switched(docs, odd_docs, no_docs, spark):
     assert kept.columns == odd_docs.columns and not {11, 12, 13, 15} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_stage_drops_gibberish_and_unlearned_languages(docs, spark):
+    rng = random.Random(3)
+    by_lang = {}
+    for r in docs.collect():
+        by_lang.setdefault(r.lang, r.text)
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(120))
+    polish = "W całym kraju mieszkańcy czekają na wyniki badań, które przeprowadzono w zeszłym roku przez zespół naukowców"
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto"
+    mixed = " ".join(" ".join(t.split()[:30]) for t in by_lang.values())
+    extra = spark.createDataFrame([(-1, gibberish), (-2, polish), (-3, finnish), (-4, mixed)], "doc_id long, text string")
+    given = docs.unionByName(extra, allowMissingColumns=True)
+    kept = {r.doc_id for r in langid.keep_identified(given).collect()}
+    assert not {-1, -2, -3} & kept and -4 in kept
+    assert {r.doc_id for r in docs.collect() if r.text} <= kept
+
+
 # ------------------------------------------------------------------ formatting
 
 
