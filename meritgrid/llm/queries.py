@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from meritgrid.llm import (
     bpe,
     chat,
+    curriculum,
     exact,
     langid,
+    merkle,
+    middle,
     near,
     packing,
     passages,
@@ -107,6 +110,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    fields = [F.col(f) for f in merkle.FIELDS]
+    changed = [*fields[:3], fields[3] + 1, fields[4]]
+    tampered = F.when(number % 7 == 0, merkle.leaf_digest(changed))
+    return merkle.manifest(_documents(spark, sf_dir), claimed=tampered)
+
+
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix_sources(_documents(spark, sf_dir))
+    used = curriculum.training_order(mixed).groupBy("row_id").agg(
+        F.sum("words").alias("taken"), F.count("*").alias("copies"), F.min("place").alias("first_place")
+    )
+    zero = F.lit(0).cast("long")
+    return mixed.join(used, "row_id", "left").select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", zero).alias("taken"),
+        F.coalesce("copies", zero).alias("copies"),
+        "first_place",
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(_documents(spark, sf_dir))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -120,6 +161,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_packing,
         op10_language_id,
+        op11_merkle_manifest,
+        op12_curriculum_mix,
+        op13_fill_middle,
     )
 }
 
@@ -127,6 +171,20 @@ _LOWERED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 
+
+
+def _due_sql() -> str:
+    """The inverse demand of every weight as SQL: ``share`` of a source with weight ``w``."""
+    cases = []
+    for weight, schedule in zip(curriculum.WEIGHTS, curriculum.SCHEDULES):
+        for begin, v, slope, before in reversed(curriculum.demand(schedule)):
+            rest = f"(share - {before!r}e0)"
+            root = f"sqrt({v * v!r}e0 + {2 * slope!r}e0 * {rest})"
+            time = f"{begin!r}e0 + 2e0 * {rest} / ({v!r}e0 + {root})"
+            cases.append(f"WHEN w = {weight} AND share >= {before!r}e0 THEN {time}")
+    return f"CASE {' '.join(cases)} END"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_LOWERED} AS n FROM documents),
@@ -182,5 +240,123 @@ z AS (SELECT class_id, count(*) AS class_size FROM c GROUP BY class_id),
 l AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT c.doc_id, c.class_id, z.class_size, coalesce(l.n_links, 0) AS n_links
 FROM c JOIN z ON c.class_id = z.class_id LEFT JOIN l ON c.doc_id = l.doc_id
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce([ord(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')], lambda x, y:
+    list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END,
+                xor(x, CAST(y AS BIGINT))), CAST(4294967295 AS BIGINT)) AS crc
+  FROM documents
+), v AS (
+  SELECT *, [CASE WHEN z IS NULL THEN '-' ELSE strlen(z) || ':' || z END FOR z IN
+     [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text]] AS fs,
+     CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END AS more
+  FROM d
+), l AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree,
+         sha256(array_to_string(fs, '')) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(fs[1] || fs[2] || fs[3] || more || fs[5])
+              ELSE sha256(array_to_string(fs, '')) END AS claimed
+  FROM v
+), q AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY tree) AS size, row_number() OVER () AS id
+  FROM l
+), nodes AS (
+  SELECT tree, 0 AS h, place, size, leaf AS digest FROM q
+  UNION ALL
+  SELECT tree, h + 1, place // 2, (any_value(size) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM nodes WHERE size > 1 GROUP BY tree, h, place // 2
+), subroots AS (
+  SELECT tree, h AS depth, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size
+  FROM nodes WHERE size = 1
+), tops AS (
+  SELECT '' AS tree, 0 AS h, place, size, digest FROM subroots
+  UNION ALL
+  SELECT tree, h + 1, place // 2, (any_value(size) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM tops WHERE size > 1 GROUP BY tree, h, place // 2
+), high AS (SELECT max(h) AS h, arg_max(digest, h) AS root FROM tops),
+walk AS (
+  SELECT q.id, q.tree, 0 AS h, q.place, q.claimed AS now, '' AS proof, s.depth, s.place AS top
+  FROM q JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT w.id, w.tree, w.h + 1, CASE WHEN w.h + 1 = w.depth THEN w.top ELSE w.place // 2 END,
+         sha256(CASE WHEN w.place % 2 = 1 THEN coalesce(n.digest, '') || w.now ELSE w.now || coalesce(n.digest, '') END),
+         w.proof || coalesce(n.digest, ''), w.depth, w.top
+  FROM walk w LEFT JOIN (SELECT tree, h, place, digest FROM nodes) n
+    ON n.tree = w.tree AND n.h = w.h AND n.place = xor(w.place, 1)
+  WHERE w.h < w.depth
+), climb AS (
+  SELECT id, 0 AS h, top AS place, now, proof FROM walk WHERE h = depth
+  UNION ALL
+  SELECT w.id, w.h + 1, w.place // 2,
+         sha256(CASE WHEN w.place % 2 = 1 THEN coalesce(n.digest, '') || w.now ELSE w.now || coalesce(n.digest, '') END),
+         w.proof || coalesce(n.digest, '')
+  FROM climb w LEFT JOIN tops n ON n.h = w.h AND n.place = xor(w.place, 1)
+  WHERE w.h < (SELECT h FROM high)
+)
+SELECT q.doc_id, q.leaf, s.digest AS subroot, high.root, sha256(c.proof) AS proof_sha256, c.now AS folded_root,
+       c.now = high.root AS verified
+FROM climb c JOIN q USING (id) JOIN subroots s USING (tree) CROSS JOIN high WHERE c.h = high.h
+""",
+    "op12_curriculum_mix": r"""
+WITH RECURSIVE z AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(concat_ws(':', '12', CAST(doc_id AS VARCHAR))) AS turn_key,
+         row_number() OVER () AS id
+  FROM documents
+), s AS (
+  SELECT k, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS w FROM z GROUP BY k
+), l(i, lam) AS (
+  SELECT 0, CAST((SELECT sum(source_size) FROM s) AS DOUBLE) / (SELECT sum(w) FROM s)
+  UNION ALL
+  SELECT i + 1, (SELECT CAST(sum(CASE WHEN 3 * source_size < l.lam * w THEN 0 ELSE source_size END)
+                        + sum(CASE WHEN 3 * source_size < l.lam * w THEN -2 * source_size ELSE 0 END) AS DOUBLE)
+                   / nullif(sum(CASE WHEN 3 * source_size < l.lam * w THEN 0 ELSE w END), 0) FROM s)
+  FROM l WHERE i < 40 AND lam IS NOT NULL
+), t AS (
+  SELECT s.*, least(CAST(3 * source_size AS DOUBLE), m.lam * w) AS target
+  FROM s CROSS JOIN (SELECT arg_max(lam, i) AS lam FROM l WHERE lam IS NOT NULL) m
+), q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+p AS (
+  SELECT z.*, q.source_size, q.target, q.quota, q.w,
+         coalesce(sum(size) OVER (PARTITION BY z.k ORDER BY turn_key, size, id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM z JOIN q USING (k)
+), u AS (
+  SELECT p.*, e.epoch, before + epoch * source_size AS start,
+         greatest(0, least(size, quota - before - epoch * source_size)) AS words
+  FROM p CROSS JOIN (SELECT unnest([0, 1, 2]) AS epoch) e
+), y AS (
+  SELECT *, (start + words / CAST(2 AS DOUBLE)) / quota AS share FROM u WHERE words > 0
+), o AS (SELECT *, {DUE} AS due FROM y),
+r AS (SELECT *, row_number() OVER (ORDER BY due, k, epoch, turn_key, size, id) - 1 AS place FROM o),
+g AS (SELECT id, CAST(sum(words) AS BIGINT) AS taken, count(*) AS copies, min(place) AS first_place FROM r GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(copies, 0) AS copies, first_place
+FROM p LEFT JOIN g USING (id)
+""".replace("{DUE}", _due_sql()),
+    "op13_fill_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS ls,
+         [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r
+  FROM t
+), c AS (
+  SELECT *, len(ls) AS n, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>')
+                OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, array_to_string(ls[1:a], '') AS p, array_to_string(ls[a + 1:b], '') AS m, array_to_string(ls[b + 1:], '') AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE x END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM p
 """,
 }
