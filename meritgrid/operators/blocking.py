@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritgrid.functions.text import words
+from meritgrid.operators.containment import contained_pairs
 
 SHORT_SET = 12  # word sets up to this size use the subset join, longer ones the prefix join
 Pairwise = Callable[[Column, Column], Column]
@@ -36,34 +37,16 @@ def equal_key(left: DataFrame, right: DataFrame, on: Sequence[str] = ()) -> Data
     return left.join(first, keys).select("lid", "ord")
 
 
-def _lengths(keys: DataFrame) -> Column:
-    """Distinct key lengths as a scalar subquery; bounded by the longest name."""
-    return keys.agg(F.array_sort(F.collect_set(F.length("key")))).scalar()
-
-
-def _pieces(df: DataFrame, lengths: Column) -> DataFrame:
-    """One row per substring of ``_whole`` with one of the lengths, as ``key``.
-
-    The rows are many times the input that Spark's size estimate sees, so a sort-merge join is
-    asked for and this side is never broadcast by that estimate.
-    """
-    sized = df.withColumn("_len", F.explode(lengths)).filter(F.col("_len") <= F.length("_whole"))
-    last = F.when(F.col("_len") == 0, 1).otherwise(F.length("_whole") - F.col("_len") + 1)
-    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), last)))
-    cut = placed.withColumn("key", F.substring(F.col("_whole"), F.col("_at"), F.col("_len")))
-    return cut.drop("_len", "_at").hint("merge")
-
-
 def right_in_left(
     left: DataFrame, right: DataFrame, on: Sequence[str] = (), allowed: Pairwise | None = None
 ) -> DataFrame:
     """Right keys that occur inside the left key; ``allowed(part, whole)`` may restrict the pair."""
     subjects = left.select(F.col("key").alias("_whole"), *on).distinct()
-    pieces = _pieces(subjects, _lengths(right))
-    if allowed is not None:
-        pieces = pieces.filter(allowed(F.col("key"), F.col("_whole")))
     first = right.groupBy("key", *on).agg(F.min("ord").alias("ord"))
-    found = pieces.join(first, ["key", *on]).groupBy("_whole", *on).agg(F.min("ord").alias("ord"))
+    pairs = contained_pairs(subjects, first.select("key", *on), on)
+    if allowed is not None:
+        pairs = pairs.filter(allowed(F.col("key"), F.col("_whole")))
+    found = pairs.join(first, ["key", *on]).groupBy("_whole", *on).agg(F.min("ord").alias("ord"))
     return left.join(found.withColumnRenamed("_whole", "key"), ["key", *on]).select("lid", "ord")
 
 
@@ -72,11 +55,10 @@ def left_in_right(
 ) -> DataFrame:
     """Right keys that contain the left key."""
     wholes = right.groupBy(F.col("key").alias("_whole"), *on).agg(F.min("ord").alias("ord"))
-    pieces = _pieces(wholes, _lengths(left))
+    pairs = contained_pairs(wholes.select("_whole", *on), left.select("key", *on).distinct(), on)
     if allowed is not None:
-        pieces = pieces.filter(allowed(F.col("key"), F.col("_whole")))
-    # the merge hint again: the size estimate of the grouped pieces is as low as that of the pieces
-    first = pieces.groupBy("key", *on).agg(F.min("ord").alias("ord")).hint("merge")
+        pairs = pairs.filter(allowed(F.col("key"), F.col("_whole")))
+    first = pairs.join(wholes, ["_whole", *on]).groupBy("key", *on).agg(F.min("ord").alias("ord"))
     return left.join(first, ["key", *on]).select("lid", "ord")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,19 +42,33 @@ def local_session(cores: int | str = 8, app: str = "meritgrid", **conf: str) ->
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read, named by ``spark.checkpoint.dir``.
+
+    Only a local run without that setting gets a scratch folder; on a cluster a missing setting is an
+    error, because executors do not share a machine-local folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = context.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="meritgrid-ckpt-")
+    return _LOCAL_FOLDERS[app]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+    """``df`` written to the shared folder and read back: computed once, and it survives lost executors.
 
-    Only a local run without ``spark.checkpoint.dir`` gets a scratch folder; on a cluster a
-    missing setting is an error, because executors do not share a machine-local folder.
+    A reliable checkpoint would compute its rows twice, once for the count that triggers it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="meritgrid-ckpt-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark)}/meritgrid-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
