@@ -194,6 +194,16 @@ def similar_name_match(incoming: DataFrame, base: DataFrame) -> DataFrame:
     )
 
 
+def laboratory_match(incoming: DataFrame, base: DataFrame, brand: str | None = None) -> DataFrame:
+    """The similar-name match; rows whose name holds the brand match the first base row that holds it."""
+    if not brand:
+        return similar_name_match(incoming, base)
+    branded = F.contains(lower_name("name"), F.lit(brand))
+    first = base.filter(branded).agg(F.min("seq")).scalar()
+    own = incoming.filter(branded).select("seq", first.alias("match_seq")).filter("match_seq IS NOT NULL")
+    return similar_name_match(incoming.filter(~branded), base).unionByName(own)
+
+
 def sub_brand_match(labs: DataFrame, base: DataFrame, parent: str, qualifiers: Sequence[str]) -> DataFrame:
     """Base rows of the parent brand with the same qualifier, or the bare parent name."""
     name = F.lower(filled("name"))

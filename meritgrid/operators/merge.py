@@ -18,7 +18,7 @@ from meritgrid.functions import text
 from meritgrid.functions.exprs import has
 from meritgrid.functions.nested import richness
 from meritgrid.functions.text import filled, lower_name
-from meritgrid.operators import blocking
+from meritgrid.operators import batches, blocking
 from meritgrid.operators.ordering import first_rows
 
 # --- duplicates ----------------------------------------------------------------------------
@@ -424,34 +424,41 @@ def laboratory_flags(seqs: DataFrame) -> DataFrame:
 
 
 def pathology_upsert(
-    base: DataFrame, incoming: DataFrame, matches: DataFrame, certs: DataFrame, flags: DataFrame
+    base: DataFrame, incoming: DataFrame, matches: DataFrame, certs: DataFrame, flags: DataFrame, brand: str | None = None
 ) -> dict[str, DataFrame]:
     """Pathology-body feed: one fixed certification per matching laboratory, flags, last lab info.
 
-    Unmatched laboratories are inserted once per normalised name. ``certs(seq, pos, name, ...)``,
-    ``flags(seq, flag, value)``. Tables: ``orgs``, every base row and the inserted ones with
+    Laboratories without a match in the base are compared with those inserted before them: similar ones
+    join the first, others are inserted (``batches.in_batch``, with its ``brand``). ``certs(seq, pos,
+    name, ...)``, ``flags(seq, flag, value)``. Tables: ``orgs``, every base row and the inserted ones with
     ``action``; ``certs``, the held ones and one per laboratory behind them; ``flags``.
     """
     matched, fresh = split_matched(incoming, matches)
-    per_target = matched.groupBy("match_seq").agg(
-        F.count("*").alias("added_certs"), F.max_by("name", "seq").alias("lab_name")
+    settled = batches.in_batch(fresh, brand).routes
+    routes = matched.select(F.col("match_seq").alias("seq"), F.col("seq").alias("source_seq")).union(
+        settled.select(F.col("target_seq"), F.col("seq"))
+    )
+    joined = routes.filter("seq <> source_seq").join(incoming.select(F.col("seq").alias("source_seq"), "name"), "source_seq")
+    per_target = joined.groupBy("seq").agg(
+        F.count("*").alias("added_certs"), F.max_by("name", "source_seq").alias("lab_name")
     )
     held = F.coalesce("data_source", F.lit(""))
     tagged = F.when(held == "", "CAP").when(held.contains("CAP"), held).otherwise(F.concat(held, F.lit(", CAP")))
     hit = F.col("added_certs").isNotNull()
-    merged = base.join(per_target.withColumnRenamed("match_seq", "seq"), "seq", "left").select(
+    merged = base.join(per_target, "seq", "left").select(
         "seq",
         F.when(hit, tagged).otherwise(F.col("data_source")).alias("data_source"),
         F.coalesce("added_certs", F.lit(0)).alias("added_certs"),
         "lab_name",
         F.when(hit, "updated").otherwise("kept").alias("action"),
     )
-    firsts = batch_first(fresh, text.lab_key("name")).filter("seq = target_seq").select("seq")
-    inserted = fresh.join(firsts, "seq").select(
-        "seq", F.lit("CAP 15189"), F.lit(0).cast("long"), "name", F.lit("inserted")
-    )
-    routes = matched.select(F.col("match_seq").alias("seq"), F.col("seq").alias("source_seq")).union(
-        firsts.select("seq", "seq")
+    firsts = fresh.join(settled.filter("seq = target_seq").select("seq"), "seq", "left_semi")
+    inserted = firsts.join(per_target, "seq", "left").select(
+        "seq",
+        F.lit("CAP 15189"),
+        F.coalesce("added_certs", F.lit(0)),
+        F.coalesce("lab_name", "name"),
+        F.lit("inserted"),
     )
     extra = routes.withColumns(
         {"pos": F.lit(0).cast("long"), "name": F.lit("College of American Pathologists (CAP)"), "status": F.lit("Active"), "score_impact": F.lit(18.0)}

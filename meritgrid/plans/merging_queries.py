@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meritgrid.functions import nested, text
 from meritgrid.functions.exprs import num
-from meritgrid.operators import filters, match, merge
+from meritgrid.operators import batches, filters, match, merge
 from meritgrid.plans.matching_queries import base, incoming
 from meritgrid.plans.registry import Views, query
 from meritgrid.session import small_table
@@ -296,6 +296,12 @@ def pathology_tables(v: Views) -> dict[str, DataFrame]:
     return merge.pathology_upsert(held, labs, match.similar_name_match(labs, held), certs.join(held.select("seq"), "seq"), flags)
 
 
+@query("batch_matches")
+def _batch_matches(v: Views) -> DataFrame:
+    """All organisations as one batch that meets an empty table."""
+    return batches.in_batch(v.orgs.select("seq", "name"), "apex hospital").routes
+
+
 @query("pathology_upsert")
 def _pathology(v: Views) -> DataFrame:
     return pathology_tables(v)["orgs"].filter("action <> 'kept'")

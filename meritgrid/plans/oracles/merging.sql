@@ -98,9 +98,21 @@ SELECT count(DISTINCT match_seq) AS updated, count(*) - count(DISTINCT match_seq
 -- cte: o_similar uses: o_pairs
 SELECT aseq AS seq, min(bseq) AS match_seq FROM o_pairs WHERE contains(ak, bk) OR contains(bk, ak)
  OR len(list_filter(list_intersect(list_distinct(string_split(ak, ' ')), list_distinct(string_split(bk, ' '))), lambda x: length(x) > 3)) >= 2 GROUP BY 1
--- query: pathology_upsert uses: o_in o_base o_similar o_keys
+-- query: batch_matches uses: o_keys
+WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, lab_key AS k, contains(lower(name), 'apex hospital') AS b, list_filter(list_distinct(string_split(lab_key, ' ')), lambda x: length(x) > 3) AS w FROM o_keys),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS target_seq, CAST([] AS STRUCT(seq BIGINT, k VARCHAR, b BOOLEAN, w VARCHAR[])[]) AS held
+ UNION ALL SELECT i, seq, coalesce(hit, seq), CASE WHEN hit IS NULL THEN list_append(held, {'seq': seq, 'k': k, 'b': b, 'w': w}) ELSE held END
+ FROM (SELECT r.i, r.seq, r.k, r.b, r.w, s.held, list_filter(s.held, lambda h: CASE WHEN r.b THEN h.b ELSE contains(h.k, r.k) OR contains(r.k, h.k) OR len(list_intersect(h.w, r.w)) >= 2 END)[1].seq AS hit FROM s JOIN r ON r.i = s.i + 1))
+SELECT seq, target_seq FROM s WHERE i > 0
+-- cte: o_arrived uses: o_in o_keys o_similar
+WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, lab_key AS k, false AS b, list_filter(list_distinct(string_split(lab_key, ' ')), lambda x: length(x) > 3) AS w FROM o_keys WHERE data_source = 'supplier' AND seq NOT IN (SELECT seq FROM o_similar)),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS target_seq, CAST([] AS STRUCT(seq BIGINT, k VARCHAR, b BOOLEAN, w VARCHAR[])[]) AS held
+ UNION ALL SELECT i, seq, coalesce(hit, seq), CASE WHEN hit IS NULL THEN list_append(held, {'seq': seq, 'k': k, 'b': b, 'w': w}) ELSE held END
+ FROM (SELECT r.i, r.seq, r.k, r.b, r.w, s.held, list_filter(s.held, lambda h: CASE WHEN r.b THEN h.b ELSE contains(h.k, r.k) OR contains(r.k, h.k) OR len(list_intersect(h.w, r.w)) >= 2 END)[1].seq AS hit FROM s JOIN r ON r.i = s.i + 1))
+SELECT seq, target_seq FROM s WHERE i > 0
+-- query: pathology_upsert uses: o_in o_base o_similar o_arrived
 SELECT b.seq, concat(b.data_source, ', CAP') AS data_source, m.n AS added_certs, m.lab_name, 'updated' AS action FROM o_base b JOIN (SELECT match_seq, count(*) AS n, arg_max(name, seq) AS lab_name FROM o_similar JOIN o_in USING (seq) GROUP BY 1) m ON m.match_seq = b.seq
-UNION ALL SELECT min(i.seq), 'CAP 15189', 0, arg_min(i.name, i.seq), 'inserted' FROM o_in i JOIN o_keys k USING (seq) WHERE i.seq NOT IN (SELECT seq FROM o_similar) GROUP BY k.lab_key
+UNION ALL SELECT target_seq, 'CAP 15189', count(*) - 1, arg_max(i.name, i.seq), 'inserted' FROM o_arrived JOIN o_in i USING (seq) GROUP BY target_seq
 -- query: branded_lab_upsert uses: o_in o_base
 WITH m AS (SELECT a.seq, a.hospital_type, min(b.seq) AS t FROM o_in a JOIN o_base b ON contains(lower(b.name), 'apex') AND ((contains(lower(a.name), 'hospital') AND contains(lower(b.name), 'hospital'))
   OR (contains(lower(a.name), 'clinic') AND contains(lower(b.name), 'clinic')) OR (contains(lower(a.name), 'institute') AND contains(lower(b.name), 'institute'))) GROUP BY 1, 2)

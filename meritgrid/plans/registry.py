@@ -68,8 +68,8 @@ def expand(name: str, blocks: dict[str, SqlBlock]) -> str:
     if not done:
         return sql
     ctes = ",\n".join(f"{key} AS (\n{text}\n)" for key, text in done.items())
-    if re.match(r"(?i)with\s", sql):
-        return f"WITH {ctes},\n{sql[4:].lstrip()}"
+    if own := re.match(r"(?i)with(\s+recursive)?\s+", sql):
+        return f"WITH{own[1] or ''} {ctes},\n{sql[own.end():]}"
     return f"WITH {ctes}\n{sql}"
 
 

@@ -59,9 +59,10 @@ def test_pathology_returns_the_whole_table(spark):
     flags = spark.createDataFrame([(2, "verified", True)], "seq long, flag string, value boolean")
     out = merge.pathology_upsert(held, labs, matches, certs, flags)
     assert rows_by(out["orgs"], "seq", "data_source", "added_certs", "action") == [
-        (1, "customer, CAP", 2, "updated"), (2, "customer", 0, "kept"), (13, "CAP 15189", 0, "inserted")
-    ]
-    assert [r[0] for r in rows_by(out["certs"], "seq")] == [1, 1, 2, 13]
+        (1, "customer, CAP", 2, "updated"), (2, "customer", 0, "kept"), (13, "CAP 15189", 1, "inserted")
+    ]  # 14 finds 13, which was inserted before it
+    assert rows_by(out["orgs"].filter("seq = 13"), "lab_name") == [("quiet lab",)]
+    assert [r[0] for r in rows_by(out["certs"], "seq")] == [1, 1, 2, 13, 13]
     assert out["flags"].count() == 11
 
 
