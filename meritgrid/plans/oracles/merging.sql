@@ -113,10 +113,62 @@ SELECT seq, target_seq FROM s WHERE i > 0
 -- query: pathology_upsert uses: o_in o_base o_similar o_arrived
 SELECT b.seq, concat(b.data_source, ', CAP') AS data_source, m.n AS added_certs, m.lab_name, 'updated' AS action FROM o_base b JOIN (SELECT match_seq, count(*) AS n, arg_max(name, seq) AS lab_name FROM o_similar JOIN o_in USING (seq) GROUP BY 1) m ON m.match_seq = b.seq
 UNION ALL SELECT target_seq, 'CAP 15189', count(*) - 1, arg_max(i.name, i.seq), 'inserted' FROM o_arrived JOIN o_in i USING (seq) GROUP BY target_seq
+-- cte: o_flags uses: fx_orgs
+SELECT seq, 'jci_accredited' AS flag, seq % 3 = 0 AS value FROM fx_orgs UNION ALL SELECT seq, 'verified', CASE WHEN seq % 4 <> 0 THEN seq % 4 = 1 END FROM fx_orgs
+-- cte: o_cap_routes uses: o_similar o_arrived
+SELECT seq AS source_seq, match_seq AS seq FROM o_similar UNION ALL SELECT seq, target_seq FROM o_arrived
+-- query: pathology_upsert_table uses: o_in o_base o_similar o_arrived
+SELECT b.seq, CASE WHEN m.n IS NULL THEN b.data_source ELSE concat(b.data_source, ', CAP') END AS data_source, coalesce(m.n, 0) AS added_certs, m.lab_name, CASE WHEN m.n IS NULL THEN 'kept' ELSE 'updated' END AS action
+FROM o_base b LEFT JOIN (SELECT match_seq, count(*) AS n, arg_max(name, seq) AS lab_name FROM o_similar JOIN o_in USING (seq) GROUP BY 1) m ON m.match_seq = b.seq
+UNION ALL SELECT target_seq, 'CAP 15189', count(*) - 1, arg_max(i.name, i.seq), 'inserted' FROM o_arrived JOIN o_in i USING (seq) GROUP BY target_seq
+-- query: pathology_upsert_certs uses: fx_certs o_base o_cap_routes
+WITH h AS (SELECT c.seq, c.pos, c.name, c.status, CAST(c.score_impact AS DOUBLE) AS score_impact FROM fx_certs c JOIN o_base USING (seq))
+SELECT * FROM h UNION ALL SELECT r.seq, coalesce((SELECT max(pos) FROM h WHERE h.seq = r.seq), 0) + 1 + r.source_seq, 'College of American Pathologists (CAP)', 'Active', 18 FROM o_cap_routes r
+-- query: pathology_upsert_flags uses: o_flags o_base o_cap_routes
+SELECT seq, flag, value FROM o_flags JOIN o_base USING (seq)
+UNION ALL SELECT r.seq, f.flag, true FROM (SELECT DISTINCT seq FROM o_cap_routes) r CROSS JOIN (VALUES ('cap_accredited'), ('iso_15189_accredited'), ('laboratory_accreditation'), ('international_accreditation'), ('accreditation_valid')) f(flag)
+-- cte: o_registry_changed uses: o_in o_base o_place_pairs
+WITH m AS (SELECT seq, min(bseq) AS target FROM o_place_pairs GROUP BY 1),
+r AS (SELECT i.seq, m.target AS target_seq, 'updated' AS action FROM o_in i JOIN m USING (seq)
+ UNION ALL SELECT i.seq, min(i.seq) OVER (PARTITION BY lower(i.name)), 'inserted' FROM o_in i WHERE i.seq NOT IN (SELECT seq FROM m) AND lower(i.name) NOT IN (SELECT lower(name) FROM o_base))
+SELECT target_seq AS seq, action, max(r.seq) AS last_seq, count(*) AS n_incoming FROM r GROUP BY 1, 2
+-- query: registry_upsert_table uses: fx_orgs o_base o_registry_changed
+SELECT o.seq AS target_seq, o.data_source, o.name, o.city, o.state, o.country, o.region, o.hospital_type, o.website, o.phone, coalesce(c.action, 'kept') AS action, coalesce(c.n_incoming, 0) AS n_incoming,
+ CASE WHEN c.seq IS NULL THEN NULL WHEN last_seq % 3 = 0 THEN 'Expired' ELSE 'Active' END AS status, CASE WHEN c.seq IS NOT NULL THEN concat('PEH-', last_seq % 1000) END AS accreditation_no, CASE WHEN c.seq IS NOT NULL THEN '2027-01-01' END AS valid_upto,
+ CAST(CASE WHEN c.seq IS NULL THEN NULL WHEN last_seq % 3 = 0 THEN 0 ELSE 15 END AS DOUBLE) AS score_impact, CASE WHEN c.seq IS NULL THEN NULL WHEN last_seq % 3 = 0 THEN 0 ELSE 1 END AS accreditation_current
+FROM fx_orgs o LEFT JOIN o_registry_changed c USING (seq) WHERE o.data_source = 'customer' OR c.action = 'inserted'
+-- query: registry_upsert_certs uses: fx_certs o_base o_registry_changed
+WITH h AS (SELECT c.seq, c.pos, c.name, CASE WHEN c.pos % 7 = 0 THEN 'NABH Entry Level' ELSE 'Other' END AS cert_type, c.status, CAST(c.score_impact AS DOUBLE) AS score_impact FROM fx_certs c JOIN o_base USING (seq)),
+f AS (SELECT seq, min(pos) AS pos FROM h WHERE cert_type = 'NABH Entry Level' GROUP BY 1), l AS (SELECT seq, max(pos) AS pos FROM h GROUP BY 1)
+SELECT h.*, CAST(NULL AS VARCHAR) AS accreditation_no, CAST(NULL AS VARCHAR) AS valid_upto FROM h WHERE NOT EXISTS (SELECT 1 FROM f JOIN o_registry_changed c USING (seq) WHERE f.seq = h.seq AND f.pos = h.pos)
+UNION ALL SELECT c.seq, coalesce(f.pos, coalesce(l.pos, 0) + 1), 'National Accreditation Board for Hospitals & Healthcare Providers (NABH) - Entry Level', 'NABH Entry Level', CASE WHEN last_seq % 3 = 0 THEN 'Expired' ELSE 'Active' END,
+ CASE WHEN last_seq % 3 = 0 THEN 0 ELSE 15 END, concat('PEH-', last_seq % 1000), '2027-01-01' FROM o_registry_changed c LEFT JOIN f USING (seq) LEFT JOIN l USING (seq)
+-- query: registry_upsert_flags uses: o_flags o_base o_registry_changed
+SELECT seq, flag, value FROM o_flags JOIN o_base USING (seq)
+UNION ALL SELECT c.seq, f.flag, f.flag <> 'accreditation_current' OR last_seq % 3 <> 0 FROM o_registry_changed c CROSS JOIN (VALUES ('nabh_accredited'), ('nabh_entry_level'), ('accreditation_current')) f(flag)
 -- query: branded_lab_upsert uses: o_in o_base
 WITH m AS (SELECT a.seq, a.hospital_type, min(b.seq) AS t FROM o_in a JOIN o_base b ON contains(lower(b.name), 'apex') AND ((contains(lower(a.name), 'hospital') AND contains(lower(b.name), 'hospital'))
   OR (contains(lower(a.name), 'clinic') AND contains(lower(b.name), 'clinic')) OR (contains(lower(a.name), 'institute') AND contains(lower(b.name), 'institute'))) GROUP BY 1, 2)
 SELECT b.seq, round(least(100, b.prior_score_src / 100 + 18.0 * count(*)), 6) AS quality_score, 'Clinic|Pathology' AS specialties, count(*) AS n_labs FROM m JOIN o_base b ON b.seq = m.t GROUP BY b.seq, b.prior_score_src
+-- cte: o_brand uses: o_in o_base
+SELECT a.seq, a.hospital_type, min(b.seq) AS t FROM o_in a JOIN o_base b ON contains(lower(b.name), 'apex') AND ((contains(lower(a.name), 'hospital') AND contains(lower(b.name), 'hospital'))
+  OR (contains(lower(a.name), 'clinic') AND contains(lower(b.name), 'clinic')) OR (contains(lower(a.name), 'institute') AND contains(lower(b.name), 'institute'))) GROUP BY 1, 2
+-- query: branded_lab_upsert_table uses: o_in o_base o_brand
+SELECT b.seq, round(CASE WHEN m.n IS NULL THEN b.prior_score_src / 100 ELSE least(100, b.prior_score_src / 100 + 18.0 * m.n) END, 6) AS quality_score, CASE WHEN m.n IS NULL THEN 'Clinic' ELSE 'Clinic|Pathology' END AS specialties, coalesce(m.n, 0) AS n_labs, CASE WHEN m.n IS NULL THEN 'kept' ELSE 'updated' END AS action
+FROM o_base b LEFT JOIN (SELECT t, count(*) AS n FROM o_brand GROUP BY 1) m ON m.t = b.seq
+UNION ALL SELECT seq, 95, concat('Pathology|', hospital_type), 0, 'inserted' FROM o_in WHERE seq NOT IN (SELECT seq FROM o_brand)
+-- query: branded_lab_upsert_certs uses: o_in o_base o_brand fx_certs
+WITH h AS (SELECT c.seq, c.pos, c.name FROM fx_certs c JOIN o_base USING (seq))
+SELECT * FROM h UNION ALL SELECT t, coalesce((SELECT max(pos) FROM h WHERE h.seq = t), 0) + 1 + seq * 2 + 1, 'CAP 15189' FROM o_brand
+UNION ALL SELECT seq, 1, 'CAP 15189' FROM o_in WHERE seq NOT IN (SELECT seq FROM o_brand)
+-- query: branded_lab_upsert_initiatives uses: o_in o_base o_brand fx_initiatives
+WITH h AS (SELECT i.seq, i.pos, i.category FROM fx_initiatives i JOIN o_base USING (seq)), n(pos, category) AS (VALUES (1, 'Laboratory Quality'), (2, 'Research'))
+SELECT * FROM h UNION ALL SELECT t, coalesce((SELECT max(pos) FROM h WHERE h.seq = t), 0) + 1 + seq * 3 + n.pos, n.category FROM o_brand CROSS JOIN n
+UNION ALL SELECT seq, n.pos, n.category FROM o_in CROSS JOIN n WHERE seq NOT IN (SELECT seq FROM o_brand)
+-- query: branded_lab_upsert_flags uses: o_flags o_in o_base o_brand
+SELECT seq, flag, value FROM o_flags JOIN o_base USING (seq)
+UNION ALL SELECT r.seq, f.flag, true FROM (SELECT t AS seq FROM o_brand UNION SELECT seq FROM o_in WHERE seq NOT IN (SELECT seq FROM o_brand)) r
+ CROSS JOIN (VALUES ('cap_accredited'), ('iso_15189_accredited'), ('laboratory_accreditation'), ('international_accreditation'), ('accreditation_valid')) f(flag)
 -- cte: o_global uses: o_keys o_in o_base
 SELECT i.seq, min(b.seq) AS t FROM o_keys i JOIN o_keys b ON i.data_source = 'supplier' AND b.data_source = 'customer' AND i.company_key = b.company_key AND i.company_key <> '' GROUP BY 1
 -- query: global_upsert uses: o_base o_in o_global
