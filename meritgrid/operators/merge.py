@@ -20,6 +20,7 @@ from meritgrid.functions.nested import richness
 from meritgrid.functions.text import filled, lower_name
 from meritgrid.operators import batches, blocking
 from meritgrid.operators.ordering import first_rows
+from meritgrid.session import cut_lineage
 
 # --- duplicates ----------------------------------------------------------------------------
 
@@ -308,7 +309,8 @@ def registry_upsert(
     Tables: ``orgs``, every base row and the inserted ones with ``action``; ``certs``, where the
     first entry-level certification of a target is replaced, else one is appended; ``flags``.
     """
-    matched, fresh = split_matched(incoming, matches)
+    # the match and its outcome are stored, as three tables are built from them
+    matched, fresh = split_matched(incoming, cut_lineage(matches.select("seq", "match_seq")))
     name = lower_name("name")
     known = base.select(name.alias("_key")).distinct()
     fresh = fresh.withColumn("_key", name).join(known, "_key", "left_anti").drop("_key")
@@ -328,6 +330,7 @@ def registry_upsert(
         F.when(active, 15.0).otherwise(0.0).alias("score_impact"),
         F.coalesce(active, F.lit(False)).cast("int").alias("accreditation_current"),
     )
+    changed = cut_lineage(changed)
     details = set(changed.columns) - {"seq"}
     columns = [c for c in base.columns if c in incoming.columns and c not in details]
     first = inserted.filter("seq = target_seq")
@@ -433,7 +436,7 @@ def pathology_upsert(
     name, ...)``, ``flags(seq, flag, value)``. Tables: ``orgs``, every base row and the inserted ones with
     ``action``; ``certs``, the held ones and one per laboratory behind them; ``flags``.
     """
-    matched, fresh = split_matched(incoming, matches)
+    matched, fresh = split_matched(incoming, cut_lineage(matches.select("seq", "match_seq")))
     settled = batches.in_batch(fresh, brand).routes
     routes = matched.select(F.col("match_seq").alias("seq"), F.col("seq").alias("source_seq")).union(
         settled.select(F.col("target_seq"), F.col("seq"))
