@@ -19,10 +19,12 @@ from pyspark.sql.window import Window
 from meritgrid.functions import text
 from meritgrid.functions.exprs import first_rule, has
 from meritgrid.functions.text import filled, lower_name, word_list, words
-from meritgrid.operators import blocking
-from meritgrid.operators.ordering import first_rows
+from meritgrid.operators import blocking, search
+from meritgrid.operators.containment import contained_pairs
+from meritgrid.operators.ordering import first_rows, global_rank, place
+from meritgrid.operators.search import Texts, asked_texts, edit_similarity
 from meritgrid.rules import names as rules
-from meritgrid.session import small_table
+from meritgrid.session import cut_lineage
 
 
 def _left(incoming: DataFrame, key: Column, **extra: Column) -> DataFrame:
@@ -313,73 +315,96 @@ def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-QUERY_BLOCK = 1000  # search texts that meet the organisations in one pass
+QUERY_BLOCK = 1000  # search texts that meet the organisations in one pass, where no index helps
 
 
-def in_blocks(orgs: DataFrame, queries: Sequence[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def in_blocks(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``search`` over the numbered texts (``query_no, query``), a block of bounded size at a time.
 
-    Every block is one pass over the organisations; blank texts are left out.
+    Every block is one pass over the organisations; it is for thresholds too low for the indexes.
     """
-    found = None
-    for start in range(0, max(len(queries), 1), QUERY_BLOCK):
-        block = enumerate(queries[start : start + QUERY_BLOCK], start)
-        rows = [(i, q.strip().lower()) for i, q in block if q.strip()]
-        part = search(small_table(orgs.sparkSession, rows, query_no="bigint", query="string"))
+    if asked.isEmpty():
+        return search(asked)
+    numbered = cut_lineage(global_rank(place(asked, "query_no", "query"), "_place").drop("_pid", "_pos"))
+    last, found = numbered.agg(F.max("_place")).first()[0], None
+    for start in range(0, last, QUERY_BLOCK):
+        block = numbered.filter((F.col("_place") > start) & (F.col("_place") <= start + QUERY_BLOCK))
+        part = search(block.select("query_no", "query"))
         found = part if found is None else found.union(part)
     return found
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 minus the edit distance over the longer length; two empty texts are equal."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / F.nullif(longest, F.lit(0)))
-
-
-def _similarity_bound(a: Column, b: Column) -> Column:
-    """What ``edit_similarity`` reaches at most, by the lengths alone."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(F.least(F.length(a), F.length(b)) / F.nullif(longest, F.lit(0)))
-
-
 def _either_contains(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.col(name).alias("text")).distinct()
+
+
 ALIAS = ("john hopkins", "johns hopkins")
 TIERS = ["exact", "contained", "original_name", "fuzzy"]
-SLACK = 1e-9  # bounds and scores add the same parts in another order
 
 
-def lookup_names(orgs: DataFrame, queries: Sequence[str], threshold: float = 0.6) -> DataFrame:
+def lookup_names(orgs: DataFrame, queries: Texts, threshold: float = 0.6) -> DataFrame:
     """Best organisation per search text: equal, contained, contained in the original name, fuzzy.
 
-    The fuzzy tier is 0.4 character similarity + 0.6 word overlap, at least 0.9 for the alias.
-    The first tier with a hit decides; in it the best score, then file order.
+    ``queries``: a table ``query_no, query`` or a list of texts. The fuzzy tier is 0.4 character
+    similarity + 0.6 word overlap, at least 0.9 for the alias. The first tier with a hit decides; in it
+    the best score, then file order. Texts meet names through the containment automaton and the
+    indexes of ``search``: a pair that shares none of the rarer half of the text's words has an overlap
+    of a half at most, so its characters must be similar to (threshold - 0.3) / 0.4. Below 0.7 there
+    all pairs are compared, a block at a time.
     """
     named = orgs.filter((filled("name") != "") | (filled("original_name") != "")).select(
-        "seq", lower_name("name").alias("_n"), lower_name("original_name").alias("_o"), words(lower_name("name")).alias("_w")
+        "seq", lower_name("name").alias("_n"), lower_name("original_name").alias("_o")
     )
-
-    def search(asked: DataFrame) -> DataFrame:
-        texts = F.broadcast(asked.withColumn("_qw", words("query")))
-        q, n, o = F.col("query"), F.col("_n"), F.col("_o")
-        overlap = text.word_overlap(F.col("_qw"), F.col("_w")) * 0.6
+    asked = cut_lineage(asked_texts(orgs.sparkSession, queries))
+    left = asked.select(F.col("query_no").alias("lid"), F.col("query").alias("key"))
+
+    def right(column: str) -> DataFrame:
+        return named.filter(F.col(column) != "").select(F.col("seq").alias("ord"), F.col(column).alias("key"))
+
+    found, rest = None, left
+    for tier, hits in enumerate(
+        (
+            lambda: blocking.equal_key(rest, named.select(F.col("seq").alias("ord"), F.col("_n").alias("key"))),
+            lambda: blocking.best_of(blocking.either_contains(rest, right("_n"))),
+            lambda: blocking.best_of(blocking.either_contains(rest, right("_o"))),
+        )
+    ):
+        got = cut_lineage(hits())
+        rows = got.select("lid", F.lit(TIERS[tier]).alias("method"), "ord", F.lit(1.0).alias("score"))
+        found = rows if found is None else found.unionByName(rows)
+        rest = cut_lineage(rest.join(got.select("lid"), "lid", "left_anti"))
+    texts = named.filter("_n <> ''").groupBy(F.col("_n").alias("text")).agg(F.min("seq").alias("ord"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        q, n = F.col("a"), F.col("b")
         alias = F.contains(q, F.lit(ALIAS[0])) & F.contains(n, F.lit(ALIAS[1]))
-        base = edit_similarity(q, n) * 0.4 + overlap
-        fuzzy = F.when(alias, F.greatest(base, F.lit(0.9))).otherwise(base)
-        bound = _similarity_bound(q, n) * 0.4 + overlap
-        inside, original = (n != "") & _either_contains(n, q), (o != "") & _either_contains(o, q)
-        likely = inside | original | ((n != "") & (alias | (bound >= threshold - SLACK)))
-        tier = F.when(n == q, 0).when(inside, 1).when(original, 2).when(fuzzy >= threshold, 3)
-        hits = named.join(texts, likely).select("query_no", "seq", tier.alias("_t"), fuzzy.alias("_s"))
-        score = F.when(F.col("_t") < 3, 1.0).otherwise(F.col("_s"))
-        order = F.struct(F.col("_t"), (-score).alias("s"), "seq")
-        best = hits.filter("_t IS NOT NULL").groupBy("query_no").agg(F.min(order).alias("_b"))
-        method = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("_b._t") + 1)
-        return best.select("query_no", method.alias("method"), F.col("_b.seq").alias("match_seq"), (-F.col("_b.s")).alias("score"))
-
-    return in_blocks(orgs, queries, search)
+        base = edit_similarity(q, n) * 0.4 + text.word_overlap(words("a"), words("b")) * 0.6
+        score = F.when(alias, F.greatest(base, F.lit(0.9))).otherwise(base)
+        return pairs.withColumn("s", score).filter(F.col("s") >= threshold)
+
+    open_, names = _once(rest, "key"), texts.select("text")
+    least = (threshold - 0.3) / 0.4
+    if least >= search.LEAST:
+        known = names.filter(F.contains("text", F.lit(ALIAS[1]))).withColumn("_j", F.lit(1))
+        alias = open_.filter(F.contains("text", F.lit(ALIAS[0]))).withColumn("_j", F.lit(1))
+        by_alias = alias.select(F.col("text").alias("a"), "_j").join(known.select(F.col("text").alias("b"), "_j"), "_j")
+        near = search.similar_texts(open_, names, least).union(search.texts_sharing_words(open_, names))
+        pairs = scored(near.union(by_alias.select("a", "b")).distinct())
+    else:
+        other = names.select(F.col("text").alias("b"))
+        pairs = in_blocks(
+            rest.select(F.col("lid").alias("query_no"), F.col("key").alias("query")),
+            lambda block: scored(F.broadcast(_once(block, "query").select(F.col("text").alias("a"))).join(other)),
+        )
+    best = pairs.join(texts.withColumnRenamed("text", "b"), "b").groupBy(F.col("a").alias("key")).agg(
+        F.min(F.struct((-F.col("s")).alias("s"), F.col("ord").alias("o"))).alias("_b")
+    )
+    fuzzy = rest.join(best, "key").select("lid", F.lit(TIERS[3]).alias("method"), F.col("_b.o").alias("ord"), (-F.col("_b.s")).alias("score"))
+    return found.unionByName(fuzzy).select(F.col("lid").alias("query_no"), "method", F.col("ord").alias("match_seq"), "score")
 
 
 SEARCH_WEIGHTS = {  # fixed values: weight of each part of the search score
@@ -392,39 +417,61 @@ SEARCH_WEIGHTS = {  # fixed values: weight of each part of the search score
 }
 
 
-def ranked_search(orgs: DataFrame, queries: Sequence[str], threshold: float = 0.6) -> DataFrame:
+def ranked_search(orgs: DataFrame, queries: Texts, threshold: float = 0.6) -> DataFrame:
     """All organisations whose weighted similarity to a search text reaches the threshold.
 
-    Pairs that cannot reach it by lengths, words and containment are dropped before any edit
-    distance is computed.
+    ``queries``: a table ``query_no, query`` or a list of texts. A pair without containment that shares
+    none of the rarer half of the text's words must be similar in name or key to (threshold - 0.2) /
+    0.55: candidates come from the containment automaton and the indexes of ``search``, and scores are
+    computed on those. Below 0.7 there all pairs are compared, a block at a time.
     """
     named = orgs.filter(filled("name") != "").select(
         "seq",
         F.lower("name").alias("_n"),
         F.lower(text.search_key("name")).alias("_k"),
         F.lower(filled("original_name")).alias("_o"),
-        words(F.lower("name")).alias("_w"),
     )
+    parts_of = ["_n", "_k", "_o"]
+    kinds = named.select(*parts_of).distinct()
+    asked = cut_lineage(asked_texts(orgs.sparkSession, queries))
+    key = F.lower(text.search_key("query"))
 
-    def search(asked: DataFrame) -> DataFrame:
-        key = F.lower(text.search_key("query"))
-        texts = F.broadcast(asked.withColumns({"_qk": key, "_qw": words("query")}))
+    def scored(pairs: DataFrame) -> DataFrame:
         q, n, o, w = F.col("query"), F.col("_n"), F.col("_o"), SEARCH_WEIGHTS
         inside = lambda t: F.when(_either_contains(t, q), 1.0).otherwise(0.0)
         parts = lambda alike: (
             alike(q, n) * w["direct"]
             + alike(F.col("_qk"), F.col("_k")) * w["normalized"]
-            + text.word_overlap(F.col("_qw"), F.col("_w")) * w["overlap"]
+            + text.word_overlap(words("query"), words("_n")) * w["overlap"]
             + inside(n) * w["substring"]
             + F.when(o == "", 0.0).otherwise(alike(q, o) * w["original"] + inside(o) * w["original_substring"])
         )
-        likely = F.contains(n, q) | (parts(_similarity_bound) >= threshold - SLACK)
+        likely = F.contains(n, q) | (parts(search.length_bound) >= threshold - search.SLACK)
         total = parts(edit_similarity)
         score = F.when(n == q, 1.0).when(F.contains(n, q), F.greatest(total, F.lit(0.9))).otherwise(total)
-        scored = named.join(texts, likely).select("query_no", "seq", score.alias("score"))
-        return scored.filter(F.col("score") >= threshold)
-
-    return in_blocks(orgs, queries, search)
+        return pairs.filter(likely).withColumn("score", score).filter(F.col("score") >= threshold)
+
+    texts = asked.select("query").distinct().withColumn("_qk", key)
+    least = (threshold - 0.2) / 0.55
+    if least >= search.LEAST:
+        asked_once, names = _once(texts, "query"), _once(kinds, "_n")
+        as_part = contained_pairs(names.withColumnRenamed("text", "_whole"), asked_once.withColumnRenamed("text", "key"))
+        as_whole = contained_pairs(asked_once.withColumnRenamed("text", "_whole"), names.withColumnRenamed("text", "key"))
+        by_name = (
+            search.similar_texts(asked_once, names, least)
+            .union(search.texts_sharing_words(asked_once, names))
+            .union(as_part.select(F.col("key").alias("a"), F.col("_whole").alias("b")))
+            .union(as_whole.select(F.col("_whole").alias("a"), F.col("key").alias("b")))
+            .distinct()
+        )
+        by_key = search.similar_texts(_once(texts, "_qk"), _once(kinds, "_k"), least)
+        joined = by_name.select(F.col("a").alias("query"), F.col("b").alias("_n")).join(kinds, "_n").join(texts, "query")
+        more = by_key.select(F.col("a").alias("_qk"), F.col("b").alias("_k")).join(kinds, "_k").join(texts, "_qk")
+        columns = ["query", "_qk", *parts_of]
+        hits = scored(joined.select(*columns).union(more.select(*columns)).distinct())
+    else:
+        hits = in_blocks(asked, lambda block: scored(F.broadcast(block.select("query").distinct().withColumn("_qk", key)).join(kinds)))
+    return hits.join(named, parts_of).join(asked, "query").select("query_no", "seq", "score")
 
 
 def branch_group(name: Column | str) -> Column:

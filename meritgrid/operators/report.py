@@ -12,8 +12,10 @@ from meritgrid.functions import cleaning
 from meritgrid.functions.exprs import band, first_rule, has
 from meritgrid.functions.text import filled, lower_name
 from meritgrid.operators import blocking
-from meritgrid.operators.match import in_blocks
+from meritgrid.operators.containment import contained_pairs
 from meritgrid.operators.ordering import first_rows
+from meritgrid.operators.search import Texts, asked_texts
+from meritgrid.session import cut_lineage
 
 # --- counts --------------------------------------------------------------------------------
 
@@ -510,30 +512,32 @@ def largest(df: DataFrame, column: str, k: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(column), *ties).limit(k)
 
 
-def suggestions(orgs: DataFrame, typed: Sequence[str], k: int = 10) -> DataFrame:
+def suggestions(orgs: DataFrame, typed: Texts, k: int = 10) -> DataFrame:
     """Suggestions for typed texts: name start, then name part, then original name.
 
-    One per name and location key (better class, then shorter name, then file order), ordered by
-    class and name. Texts under two letters are left out.
+    ``typed``: a table ``query_no, query`` or a list of texts. One per name and location key (better
+    class, then shorter name, then file order), ordered by class and name. Texts under two letters are
+    left out. Typed texts find the names that hold them through the containment automaton.
     """
     name, original = lower_name("name"), lower_name("original_name")
     held = orgs.filter(name != "").select(
-        "seq", "name", "location", name.alias("_n"), original.alias("_o"), cleaning.suggestion_key("name", "location").alias("_key")
-    )
-
-    def search(texts: DataFrame) -> DataFrame:
-        asked = F.broadcast(texts.filter(F.length("query") >= 2))
-        n, o, q = F.col("_n"), F.col("_o"), F.col("query")
-        kind = F.when(F.startswith(n, q), 0).when(F.contains(n, q), 1).otherwise(2)
-        hits = held.join(asked, F.contains(n, q) | F.contains(o, q)).withColumn("_kind", kind)
-        best = first_rows(hits, ["query_no", "_key"], ["_kind", F.length("name"), "seq"])
-        w = Window.partitionBy("query_no").orderBy("_kind", cleaning.unify_company(F.trim("name")), "seq")
-        names = F.element_at(F.array(F.lit("name_start"), F.lit("name_contains"), F.lit("original_name")), F.col("_kind") + 1)
-        return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(
-            "query_no", "place", "seq", names.alias("match_type")
-        )
-
-    return in_blocks(orgs, typed, search)
+        "seq", "name", name.alias("_n"), original.alias("_o"), cleaning.suggestion_key("name", "location").alias("_key")
+    )
+    asked = cut_lineage(asked_texts(orgs.sparkSession, typed).filter(F.length("query") >= 2))
+    texts = held.select(F.col("_n").alias("_whole")).union(held.select("_o")).distinct()
+    pairs = contained_pairs(texts, asked.select(F.col("query").alias("key")).distinct())
+    n, q = F.col("_n"), F.col("key")
+    in_name = pairs.withColumnRenamed("_whole", "_n").join(held, "_n")
+    in_name = in_name.withColumn("_kind", F.when(F.startswith(n, q), 0).otherwise(1))
+    in_original = pairs.withColumnRenamed("_whole", "_o").join(held, "_o").filter(~F.contains(n, q))
+    hits = in_name.unionByName(in_original.withColumn("_kind", F.lit(2)))
+    best = first_rows(hits, ["key", "_key"], ["_kind", F.length("name"), "seq"])
+    w = Window.partitionBy("key").orderBy("_kind", cleaning.unify_company(F.trim("name")), "seq")
+    names = F.element_at(F.array(F.lit("name_start"), F.lit("name_contains"), F.lit("original_name")), F.col("_kind") + 1)
+    placed = best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return placed.join(asked.withColumnRenamed("query", "key"), "key").select(
+        "query_no", "place", "seq", names.alias("match_type")
+    )
 
 
 def merged_suggestions(first: DataFrame, second: DataFrame, k: int = 8) -> DataFrame:

@@ -46,3 +46,9 @@ SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderpriority AS cert_
 
 -- cte: fx_registry uses: fx_orgs
 SELECT seq, name, city, country, seq%3=0 AS verification_required FROM fx_orgs WHERE data_source='supplier'
+
+-- cte: fx_asked uses: fx_orgs
+SELECT seq AS query_no, CASE CAST(floor(seq/50) AS BIGINT)%4 WHEN 0 THEN name WHEN 1 THEN concat(substr(name,1,1),substr(name,3)) WHEN 2 THEN concat(name,' branch') ELSE concat(country,' ',substr(name,1,8)) END AS query FROM fx_orgs WHERE seq%50=0
+
+-- cte: fx_typed uses: fx_orgs
+SELECT seq AS query_no, CASE CAST(floor(seq/50) AS BIGINT)%3 WHEN 0 THEN substr(name,1,4) WHEN 1 THEN substr(name,3,5) ELSE concat(substr(name,1,2),' ') END AS query FROM fx_orgs WHERE seq%50=0

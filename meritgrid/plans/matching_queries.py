@@ -152,27 +152,16 @@ def _cascade(v: Views) -> DataFrame:
     return match.match_cascade(v.orgs, registry)
 
 
-SEARCH_TEXTS = [
-    "apex nursing home",
-    "Royal Institute",
-    "cardiac hospital group",
-    "Unity Care Network extra long branch name",
-    "lotus labs pathology",
-    "Kidny Institute",
-    "no such place",
-]
-
-
 @query("lookup_names")
 def _lookup(v: Views) -> DataFrame:
     orgs = v.orgs.withColumn("original_name", F.concat_ws(" ", "country", "name"))
-    return match.lookup_names(orgs, SEARCH_TEXTS).select("query_no", "method", "match_seq", num("score").alias("score"))
+    return match.lookup_names(orgs, v.asked).select("query_no", "method", "match_seq", num("score").alias("score"))
 
 
 @query("ranked_search")
 def _ranked_search(v: Views) -> DataFrame:
     orgs = v.orgs.withColumn("original_name", F.concat_ws(" ", "country", "name"))
-    return match.ranked_search(orgs, SEARCH_TEXTS).select("query_no", "seq", num("score").alias("score"))
+    return match.ranked_search(orgs, v.asked).select("query_no", "seq", num("score").alias("score"))
 
 
 @query("scored_lookup")

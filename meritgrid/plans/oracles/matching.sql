@@ -118,9 +118,8 @@ SELECT subject, peer, row_number() OVER (PARTITION BY subject ORDER BY s DESC, p
 SELECT seq, CASE WHEN seq % 4 = 0 THEN CASE WHEN contains(lower(split_part(name, ' ', 1)), 'max') THEN 'max healthcare' ELSE 'narayana health' END WHEN seq % 4 = 1 THEN 'max healthcare' END AS group_name,
  CAST(CASE WHEN seq % 4 = 0 THEN 23 WHEN seq % 4 = 1 THEN 17 ELSE 0 END AS BIGINT) AS branches,
  CASE WHEN seq % 4 < 2 THEN 'multi_location' WHEN seq % 4 = 2 THEN 'specific_location' ELSE 'single_location' END AS search_type FROM fx_orgs
--- cte: o_search
-SELECT query_no, q, list_distinct(list_filter(string_split(q, ' '), lambda x: x <> '')) AS qw, lower(trim(regexp_replace(regexp_replace(regexp_replace(q, '\b(hospital|medical|center|centre|institute|research|health|care|system|ltd|limited|pvt|private|inc|corporation|corp)\b', '', 'gi'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS qk FROM (SELECT query_no, lower(t) AS q FROM (VALUES
- (0, 'apex nursing home'), (1, 'Royal Institute'), (2, 'cardiac hospital group'), (3, 'Unity Care Network extra long branch name'), (4, 'lotus labs pathology'), (5, 'Kidny Institute'), (6, 'no such place')) v(query_no, t))
+-- cte: o_search uses: fx_asked
+SELECT query_no, q, list_distinct(list_filter(string_split(q, ' '), lambda x: x <> '')) AS qw, lower(trim(regexp_replace(regexp_replace(regexp_replace(q, '\b(hospital|medical|center|centre|institute|research|health|care|system|ltd|limited|pvt|private|inc|corporation|corp)\b', '', 'gi'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS qk FROM (SELECT query_no, lower(trim(query)) AS q FROM fx_asked) WHERE q <> ''
 -- cte: o_searched uses: fx_orgs o_search
 SELECT *, contains(n, q) OR contains(q, n) AS within, contains(o, q) OR contains(q, o) AS within_original FROM o_search, (SELECT seq, lower(trim(name)) AS n, lower(trim(concat(country, ' ', name))) AS o,
  list_distinct(list_filter(string_split(lower(trim(name)), ' '), lambda x: x <> '')) AS nw, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '\b(hospital|medical|center|centre|institute|research|health|care|system|ltd|limited|pvt|private|inc|corporation|corp)\b', '', 'gi'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS nk FROM fx_orgs WHERE name <> '')

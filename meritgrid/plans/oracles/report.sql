@@ -119,8 +119,8 @@ SELECT seq, count(*) AS n_reviews FROM fx_reviews WHERE seq IN (SELECT seq FROM
 WITH k AS (SELECT * FROM (VALUES (1, 'apex hospital', 1, 'Hand Hygiene'), (1, 'apex hospital', 2, 'Research'), (2, 'royal', 1, 'Green Campus'), (3, 'no such', 1, 'Nothing')) t(no, key, pos, initiative)),
 r AS (SELECT o.seq, coalesce(min(k.no) FILTER (lower(o.name) = k.key), min(k.no)) AS no FROM fx_orgs o JOIN k ON contains(lower(o.name), k.key) OR contains(k.key, lower(o.name)) GROUP BY 1)
 SELECT seq, initiative, min(prio) AS prio FROM (SELECT seq, category AS initiative, 0 AS prio FROM fx_initiatives UNION ALL SELECT r.seq, k.initiative, 1 FROM r JOIN k ON k.no = r.no) GROUP BY 1, 2
--- query: suggestions uses: fx_orgs o_sugg_key
-WITH q AS (SELECT * FROM (VALUES (0, 'apex'), (1, 'hosp'), (2, 'uni')) t(query_no, q)),
+-- query: suggestions uses: fx_orgs fx_typed o_sugg_key
+WITH q AS (SELECT query_no, lower(trim(query)) AS q FROM fx_typed WHERE length(trim(query)) >= 2),
 h AS (SELECT q.query_no, o.seq, o.name, k.key, CASE WHEN starts_with(lower(o.name), q.q) THEN 0 WHEN contains(lower(o.name), q.q) THEN 1 ELSE 2 END AS kind FROM fx_orgs o JOIN o_sugg_key k USING (seq) JOIN q ON contains(lower(concat(o.name, ' ', o.region)), q.q)),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_no, key ORDER BY kind, length(name), seq) = 1)
 SELECT CAST(query_no AS BIGINT) AS query_no, place, seq, ['name_start', 'name_contains', 'original_name'][kind + 1] AS match_type FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY kind, replace(replace(lower(name), 'private limited', 'pvt. ltd.'), 'pvt ltd', 'pvt. ltd.'), seq) AS place FROM b) WHERE place <= 10

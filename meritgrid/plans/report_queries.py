@@ -313,13 +313,10 @@ def _org_initiatives(v: Views) -> DataFrame:
     return report.initiatives_of(v.orgs, found, known).select("seq", "initiative", "prio")
 
 
-TYPED = ["apex", "Hosp", "uni", "x"]
-
-
 @query("suggestions")
 def _suggestions(v: Views) -> DataFrame:
     orgs = v.orgs.select("seq", "name", F.concat_ws(" ", "name", "region").alias("original_name"), F.concat_ws(", ", "city", "state").alias("location"))
-    return report.suggestions(orgs, TYPED, 10).select("query_no", F.col("place").cast("long").alias("place"), "seq", "match_type")
+    return report.suggestions(orgs, v.typed, 10).select("query_no", F.col("place").cast("long").alias("place"), "seq", "match_type")
 
 
 @query("merged_suggestions")
