@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from meritgrid.functions import cleaning
 from meritgrid.functions.exprs import col, first_rule, has, hits
 from meritgrid.functions.text import filled, squeeze
-from meritgrid.operators import merge, score_more
+from meritgrid.operators import markup, merge, score_more
 from meritgrid.operators.ordering import first_rows
 from meritgrid.rules import extraction as rules
 from meritgrid.rules import scoring as score_rules
@@ -145,10 +145,35 @@ def page_initiatives(
     return first_rows(rows, ["page_id", "place"], ["rule", "node"]).drop("_n")
 
 
+def class_element(html: Column, classes: Sequence[str]) -> Column:
+    """Raw HTML of the first element whose class holds one of the words; empty without one.
+
+    Its end is the closing tag of its own name at its depth.
+    """
+    marked = rf'(?is)^<[a-z][a-z0-9]*\b[^>]*\bclass="[^"]*\b(?:{"|".join(classes)})\b[^"]*"'
+    parts = markup.chunks(html)
+    places = F.transform(parts, lambda c, i: F.when(c.rlike(marked), i + 1))
+    first = F.array_min(places)
+    # chunks from the first one on: the fold stops counting when depth is back at zero
+    rest = F.slice(parts, first, F.size(parts))
+    tag = F.lower(F.regexp_extract(F.element_at(rest, F.lit(1)), r"^<([A-Za-z][A-Za-z0-9]*)", 1))
+    name = lambda c: F.lower(F.regexp_extract(c, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    step = lambda c: F.when(name(c) != tag, 0).when(F.startswith(c, F.lit("</")), -1).otherwise(1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def count(state: Column, chunk: Column) -> Column:
+        depth = state["depth"] + step(chunk)
+        moved = F.struct(depth.alias("depth"), (state["n"] + 1).alias("n"), (depth <= 0).alias("done"))
+        return F.when(state["done"], state).otherwise(moved)
+
+    end = F.aggregate(rest, start, count)
+    held = F.when(end["done"], end["n"] - 1).otherwise(end["n"])  # without the closing tag
+    return F.when(first.isNull(), "").otherwise(F.array_join(F.slice(rest, F.lit(1), held), ""))
+
+
 def contact_details(pages: DataFrame, *keep: str) -> DataFrame:
     """Phone, email, address, city and state of every page."""
-    classes = "|".join(rules.ADDRESS_CLASSES)
-    block = F.regexp_extract("_clean", rf'(?is)<[a-z]+[^>]*class="[^"]*\b(?:{classes})\b[^"]*"[^>]*>(.*?)</', 1)
+    block = class_element(F.col("_clean"), rules.ADDRESS_CLASSES)
     found = staged(pages, *keep).select(
         "page_id",
         *keep,
@@ -238,8 +263,12 @@ def _cells(row: Column) -> Column:
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
-    tables = F.regexp_extract_all(filled("html"), F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))
-    return pages.select("page_id", F.posexplode(tables).alias("table_no", "_table"))
+    """Every table in the order of its start; a table inside a cell is one of its own."""
+    split = pages.select("page_id", markup.chunks(without_code("html")).alias("_parts"))
+    spanned = split.withColumn("_spans", markup.spans(F.col("_parts"), "table"))
+    each = spanned.select("page_id", "_parts", "_spans", F.posexplode("_spans").alias("table_no", "_span"))
+    own = markup.own_text_of(F.col("_parts"), F.col("_span"), F.col("_spans"))
+    return each.select("page_id", "table_no", own.alias("_table"))
 
 
 def table_rows(pages: DataFrame, columns: Sequence[str], table_id: str | None = None) -> DataFrame:
@@ -298,13 +327,39 @@ def json_ld_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+BLOCK_TAGS = ("div", "li", "article", "section", "tr")
+BLOCK_CLASSES = ("organization", "hospital", "result", "card", "listing")
+
+
+def page_blocks(pages: DataFrame, tags: Sequence[str] = BLOCK_TAGS, classes: Sequence[str] = BLOCK_CLASSES) -> DataFrame:
+    """Repeated blocks: elements whose class holds one of the words, by tag depth.
+
+    An element that holds several blocks of one class is their container and no block itself; a
+    block inside another block that is none is a part of it. Nested elements stay in their block.
+    """
+    split = pages.select("page_id", markup.chunks(without_code("html")).alias("_parts"))
+    css = lambda s: F.regexp_extract(F.element_at("_parts", s["first"]), r'(?is)^<[a-z0-9]+\b[^>]*\bclass="([^"]*)"', 1)
+    named = [
+        F.transform(markup.spans(F.col("_parts"), t), lambda s: F.struct(s["first"], s["last"], css(s).alias("css")))
+        for t in tags
+    ]
+    wanted = F.filter(F.concat(*named), lambda s: s["css"].rlike(rf"(?i)(?:{'|'.join(classes)})"))
+    found = split.withColumn("_all", F.array_sort(wanted))
+    inside = lambda a, b: (a["first"] > b["first"]) & (a["last"] < b["last"])
+    kinds = lambda s: F.transform(F.filter("_all", lambda x: inside(x, s)), lambda x: x["css"])
+    single = F.filter("_all", lambda s: F.size(kinds(s)) == F.size(F.array_distinct(kinds(s))))
+    kept = found.withColumn("_single", single)
+    outer = F.filter("_single", lambda s: ~F.exists("_single", lambda x: inside(s, x)))
+    each = kept.select("page_id", "_parts", F.posexplode(outer).alias("block_no", "_span"))
+    return each.select("page_id", "block_no", markup.text_of(F.col("_parts"), F.col("_span")).alias("_b"))
+
+
 def directory_blocks(
-    pages: DataFrame, block_pattern: str = r'(?is)<(?:div|li|article)\b[^>]*class="[^"]*(?:organization|hospital|result|card|listing)[^"]*".*?</(?:div|li|article)>',
+    pages: DataFrame, tags: Sequence[str] = BLOCK_TAGS, classes: Sequence[str] = BLOCK_CLASSES,
     state: str = "Unknown", category: str = "Unknown",
 ) -> DataFrame:
     """Repeated blocks (cards, list items) -> organisation rows; search parameters fill gaps."""
-    blocks = F.regexp_extract_all(filled("html"), F.lit(block_pattern), F.lit(0))
-    each = pages.select("page_id", F.posexplode(blocks).alias("block_no", "_b"))
+    each = page_blocks(pages, tags, classes)
     plain = lambda c: squeeze(written_out(F.regexp_replace(c, r"(?s)<[^>]*>", "")))
     lines = written_out(F.regexp_replace(F.regexp_replace("_b", r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|span)>", "\n"), r"(?s)<[^>]*>", ""))
     within = each.withColumn("_t", F.trim(lines))

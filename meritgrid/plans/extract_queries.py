@@ -56,12 +56,12 @@ def _initiatives(v: Views) -> DataFrame:
 
 @query("contact_details")
 def _contacts(v: Views) -> DataFrame:
+    """Contacts of the pages as they are, every one with an address block of nested tags at its end."""
     extra = F.concat(
-        F.lit('<div class="contact-address">'), F.col("page_id").cast("string"), F.lit(" High Street, Springfield, Ohio</div><p>Call (555) 010-"),
+        F.lit('<div class="contact-address"><div><b>'), F.col("page_id").cast("string"), F.lit(" High</b> Street,</div> <span>Springfield</span>, Ohio</div><p>Call (555) 010-"),
         F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"), F.lit(" or desk@site"), (F.col("page_id") % 7).cast("string"), F.lit(".example.org</p>"),
     )
-    html = F.concat(F.lit("<html><body>"), extra, F.col("url"), F.lit("</body></html>"))
-    return extract.contact_details(v.pages.select("page_id", html.alias("html")))
+    return extract.contact_details(v.pages.select("page_id", F.concat("html", extra).alias("html")))
 
 
 @query("page_basics")
