@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meritgrid.llm.common import remove, row_key, small_batches, stored, stored_at
+from meritgrid.llm.near import text_word_lists
 
 LENGTH = 400
 GRAM = 64
@@ -440,7 +441,86 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, batches: int) -> Da
     )
 
 
+WORDS = 51  # a passage of over 50 words
+WORD_GRAM = 25
+
+
+def _word_windows(words: np.ndarray, sizes: list[int], length: int, gram: int):
+    """Row, hash and smallest gram of every window of ``length`` words inside one text."""
+    sizes = np.array(sizes, np.int64)
+    begins = np.cumsum(sizes) - sizes
+    if len(words) < length:
+        return (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2)
+    roll = rolling(0)
+    roll._grow(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * roll.powers[: len(words)], out=sums[1:])
+    places = np.arange(len(words) - gram + 1)
+    grams = _mix(roll.between(sums, places, places + gram))
+    smallest = window_minima(grams, length - gram + 1)
+    row = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - length + 1))
+    at = np.concatenate([np.arange(b, b + max(0, n - length + 1)) for b, n in zip(begins, sizes)])
+    return row, _mix(roll.between(sums, at, at + length)), smallest[at]
+
+
+def _each_words(batches: Iterator[pa.RecordBatch], length: int, gram: int):
+    """Batches of bounded text with the windows of their texts (see ``_word_windows``)."""
+    for batch in small_batches(batches):
+        words, sizes = text_word_lists(batch.column("text").to_pylist())
+        yield batch, *_word_windows(words, sizes, length, gram)
+
+
+def shared_windows(docs: DataFrame, length: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """``key, n_shared_windows``: windows of ``length`` words that another document has too.
+
+    Words are lower-cased runs between spaces. Equal windows have the same smallest gram, so only the
+    windows of grams that several documents have are compared, by their 64-bit hashes.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(row_key("doc_id", "text").alias("key"), "text")
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, _, smallest in _each_words(batches, length, gram):
+            turn = np.ones(len(row), bool)  # neighbouring windows mostly have the same smallest gram
+            turn[1:] = (row[1:] != row[:-1]) | (smallest[1:] != smallest[:-1])
+            keys = batch.column("key").to_numpy()[row[turn]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(smallest[turn].view(np.int64))], names=["key", "gram"]
+            )
+
+    grams, grams_path = stored_at(keyed.mapInArrow(grams_of, "key long, gram long"), "word-grams")
+    several = grams.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
+    lists = grams.join(several.select("gram"), "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, window, smallest in _each_words(batches, length, gram):
+            wanted = batch.column("grams").to_pylist()
+            held = np.zeros(len(row), bool)
+            cuts = np.searchsorted(row, np.arange(len(wanted) + 1))
+            for i, own in enumerate(wanted):
+                part = slice(cuts[i], cuts[i + 1])
+                held[part] = np.isin(smallest[part].view(np.int64), np.array(own, np.int64))
+            keys = batch.column("key").to_numpy()[row[held]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(window[held].view(np.int64))], names=["key", "window"]
+            )
+
+    some = keyed.join(lists, "key").mapInArrow(windows_of, "key long, window long")
+    counted, counted_path = stored_at(
+        some.groupBy("window", "key").agg(F.count("*").alias("n")), "word-windows"
+    )
+    remove(spark, grams_path)
+    release_shuffles(spark)
+    shared = counted.groupBy("window").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
+    found = counted.join(shared.select("window"), "window").groupBy("key").agg(F.sum("n").alias("n_shared_windows"))
+    out = stored(found, "shared-windows")
+    remove(spark, counted_path)
+    release_shuffles(spark)
+    return out
+
+
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SHARED = ", n_shared_windows long"
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -465,7 +545,9 @@ def remove_passages(
 
     Texts are judged as UTF-8 bytes on the input; matches stay inside a document but may repeat in
     the same one; overlapping strings all count. Returns doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs) and kept_sha256; ``with_text`` adds spans (start, stop) and the remaining bytes.
+    removed runs), kept_sha256 and n_shared_windows (windows of 51 words that a document of another id or
+    text has too, which may be shorter than ``length`` bytes and then stay); ``with_text`` adds spans
+    (start, stop) and the remaining bytes.
     A null text counts as empty; repeated rows are copies of each other and lose all but what is
     shorter than ``length``; null ids are documents like others; an empty table gives an empty
     result; other columns are ignored.
@@ -475,8 +557,10 @@ def remove_passages(
     lists = ranges.distinct().groupBy("key").agg(
         F.collect_list(F.struct("start", "stop")).alias("ranges")
     )
+    facts = lists.join(shared_windows(docs), "key", "full")
     texts = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
-    joined = texts.join(lists, "key", "left").select("doc_id", "text", "ranges")
+    counted = F.coalesce("n_shared_windows", F.lit(0).cast("long")).alias("n_shared_windows")
+    joined = texts.join(facts, "key", "left").select("doc_id", "text", "ranges", counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -498,8 +582,8 @@ def remove_passages(
                 kept_bytes.append(b"".join(kept))
             columns = list(zip(*rows)) if rows else [()] * 4
             arrays = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]]]
-            arrays.append(pa.array(columns[3], pa.string()))
-            names = [part.split()[0] for part in REMOVED.split(", ")]
+            arrays += [pa.array(columns[3], pa.string()), batch.column("n_shared_windows")]
+            names = [part.split()[0] for part in (REMOVED + SHARED).split(", ")]
             if with_text:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 arrays += [pa.array(spans, kind), pa.array(kept_bytes, pa.binary())]
@@ -507,4 +591,4 @@ def remove_passages(
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     extra = ", spans array<struct<start:long,stop:long>>, kept binary" if with_text else ""
-    return joined.mapInArrow(run, REMOVED + extra)
+    return joined.mapInArrow(run, REMOVED + SHARED + extra)

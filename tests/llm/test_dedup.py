@@ -205,3 +205,30 @@ def test_equal_hashes_of_other_bytes_are_told_apart():
     )
     flat = lambda found: sorted((int(a), int(d)) for h in found for a, x, y in zip(*h) for d in range(x, y + 1))
     assert flat(hits) == flat(plain) == [(0, 0), (1, 0)]
+
+
+def shared_by_force(rows, length):
+    lists = [(t or "").lower().encode().split() for _, t in rows]
+    found = [[tuple(ws[i : i + length]) for i in range(len(ws) - length + 1)] for ws in lists]
+    holders = {}
+    for (doc_id, text), windows in zip(rows, found):
+        for w in windows:
+            holders.setdefault(w, set()).add((doc_id, text))
+    return sorted(sum(len(holders[w]) > 1 for w in windows) for windows in found if any(len(holders[w]) > 1 for w in windows))
+
+
+def test_windows_of_words_shared_by_documents(spark, odd_docs, no_docs):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    passages_ = [" ".join(word() for _ in range(n)) for n in (50, 51, 52, 80)]
+    texts = [" ".join([*(word() for _ in range(rng.randrange(70))), *rng.sample(passages_, rng.randrange(3)), word()]) for _ in range(60)]
+    plain = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string")
+    for docs, length, gram in ((plain, 51, 25), (plain, 12, 5), (odd_docs, 51, 25), (odd_docs, 8, 3)):
+        rows = passages.shared_windows(docs, length, gram).collect()
+        got = {r.key: r.n_shared_windows for r in rows}
+        keyed = docs.select("doc_id", "text", passages.row_key("doc_id", "text").alias("key")).distinct().collect()
+        want = shared_by_force([(r.doc_id, r.text) for r in keyed], length)
+        assert sorted(got.values()) == want
+    counts = {r.doc_id: r.n_shared_windows for r in passages.remove_passages(plain).collect()}
+    assert len(counts) == 63 and sorted(c for c in counts.values() if c) == shared_by_force([(i, t) for i, t in enumerate(texts + texts[:3])], 51)
+    assert passages.shared_windows(no_docs).count() == 0
