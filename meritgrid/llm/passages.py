@@ -471,52 +471,60 @@ def _each_words(batches: Iterator[pa.RecordBatch], length: int, gram: int):
 
 
 def shared_windows(docs: DataFrame, length: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
-    """``key, n_shared_windows``: windows of ``length`` words that another document has too.
+    """``key, copied, n_shared_windows``: windows of ``length`` words that another document has too.
 
     Words are lower-cased runs between spaces. Equal windows have the same smallest gram, so only the
-    windows of grams that several documents have are compared, by their 64-bit hashes.
+    windows of grams that several texts have are compared, by their 64-bit hashes, and each text once:
+    where another document has the whole text (``copied``) all its windows are shared, and the number
+    says only how many of them other texts have.
     """
     spark = docs.sparkSession
-    keyed = docs.select(row_key("doc_id", "text").alias("key"), "text")
+    rows = docs.select(row_key("doc_id", "text").alias("key"), F.xxhash64("text").alias("whole"), "text")
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, row, _, smallest in _each_words(batches, length, gram):
             turn = np.ones(len(row), bool)  # neighbouring windows mostly have the same smallest gram
             turn[1:] = (row[1:] != row[:-1]) | (smallest[1:] != smallest[:-1])
-            keys = batch.column("key").to_numpy()[row[turn]]
+            keys = batch.column("whole").to_numpy()[row[turn]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(smallest[turn].view(np.int64))], names=["key", "gram"]
+                [pa.array(keys), pa.array(smallest[turn].view(np.int64))], names=["whole", "gram"]
             )
 
-    grams, grams_path = stored_at(keyed.mapInArrow(grams_of, "key long, gram long"), "word-grams")
-    several = grams.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
-    lists = grams.join(several.select("gram"), "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    grams, grams_path = stored_at(rows.select("whole", "text").mapInArrow(grams_of, "whole long, gram long"), "word-grams")
+    several = grams.groupBy("gram").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
+    lists = grams.join(several.select("gram"), "gram").groupBy("whole").agg(F.collect_set("gram").alias("grams"))
+    ends = [F.min("key").alias("first"), F.max("key").alias("last")]
+    texts = stored(rows.select("key", "whole").groupBy("whole").agg(*ends), "word-texts")
+    read = lists.join(texts.select("whole", F.col("first").alias("key")), "whole")
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, row, window, smallest in _each_words(batches, length, gram):
             wanted = batch.column("grams").to_pylist()
-            held = np.zeros(len(row), bool)
             cuts = np.searchsorted(row, np.arange(len(wanted) + 1))
-            for i, own in enumerate(wanted):
-                part = slice(cuts[i], cuts[i + 1])
-                held[part] = np.isin(smallest[part].view(np.int64), np.array(own, np.int64))
-            keys = batch.column("key").to_numpy()[row[held]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(window[held].view(np.int64))], names=["key", "window"]
-            )
-
-    some = keyed.join(lists, "key").mapInArrow(windows_of, "key long, window long")
-    counted, counted_path = stored_at(
-        some.groupBy("window", "key").agg(F.count("*").alias("n")), "word-windows"
-    )
+            found = []
+            for own, i, j in zip(wanted, cuts, cuts[1:]):
+                held = np.isin(smallest[i:j].view(np.int64), np.array(own, np.int64))
+                found.append(np.unique(window[i:j][held].view(np.int64), return_counts=True))
+            whole = np.repeat(batch.column("whole").to_numpy(), [len(n) for _, n in found])
+            different, n = (np.concatenate(c) for c in zip(*found))
+            columns = [pa.array(whole), pa.array(different), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["whole", "window", "n"])
+
+    # a row may come twice, with the same id and text: its windows are the same then
+    some = rows.select("key", "text").join(read, "key").select("whole", "grams", "text")
+    windows = some.mapInArrow(windows_of, "whole long, window long, n int")
+    windows, windows_path = stored_at(windows, "word-windows")
     remove(spark, grams_path)
     release_shuffles(spark)
-    shared = counted.groupBy("window").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
-    found = counted.join(shared.select("window"), "window").groupBy("key").agg(F.sum("n").alias("n_shared_windows"))
-    out = stored(found, "shared-windows")
-    remove(spark, counted_path)
+    shared = windows.groupBy("window").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
+    found = windows.join(shared.select("window"), "window").distinct().groupBy("whole").agg(F.sum("n").alias("n"))
+    found = stored(found, "shared-windows")
+    remove(spark, windows_path)
     release_shuffles(spark)
-    return out
+    facts = texts.join(found, "whole", "left").where("n IS NOT NULL OR first <> last")
+    facts = facts.select("whole", (F.col("first") != F.col("last")).alias("copied"), "n")
+    counted = F.coalesce("n", F.lit(0)).cast("long").alias("n_shared_windows")
+    return rows.select("key", "whole").distinct().join(facts, "whole").select("key", "copied", counted)
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -559,8 +567,7 @@ def remove_passages(
     )
     facts = lists.join(shared_windows(docs), "key", "full")
     texts = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
-    counted = F.coalesce("n_shared_windows", F.lit(0).cast("long")).alias("n_shared_windows")
-    joined = texts.join(facts, "key", "left").select("doc_id", "text", "ranges", counted)
+    joined = texts.join(facts, "key", "left").select("doc_id", "text", "ranges", "copied", "n_shared_windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -582,7 +589,9 @@ def remove_passages(
                 kept_bytes.append(b"".join(kept))
             columns = list(zip(*rows)) if rows else [()] * 4
             arrays = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]]]
-            arrays += [pa.array(columns[3], pa.string()), batch.column("n_shared_windows")]
+            own = zip(*[batch.column(c).to_pylist() for c in ("text", "copied", "n_shared_windows")])
+            windows = [max(0, len((t or "").encode().split()) - WORDS + 1) if copied else n or 0 for t, copied, n in own]
+            arrays += [pa.array(columns[3], pa.string()), pa.array(windows, pa.int64())]
             names = [part.split()[0] for part in (REMOVED + SHARED).split(", ")]
             if with_text:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
