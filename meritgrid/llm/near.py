@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with a MinHash index and exact verification.
 
 Texts with equal shingle sets are one node. Each node has a label of several min-hashes in every
-tree of the forest; the labels of a tree form a prefix trie. Matched prefixes are shortened from the
-full label until two texts at the wanted similarity share one in some tree with the target
-probability. Nodes under a common prefix are joined into blocks, and inside a block every pair is
-compared exactly, many at a time: large blocks are divided into tiles, pairs never leave a task.
+tree, cut to one length: the longest at which two texts at the wanted similarity share a label in some
+tree with the target probability. Nodes with an equal label are candidates; candidates are united into
+blocks, and inside a block every pair is compared exactly, many at a time: large blocks are divided
+into tiles, pairs never leave a task.
 """
 
 from __future__ import annotations
