@@ -1,7 +1,7 @@
 """Histogram sort into shards of equal bytes, with DataFrame operations only.
 
-Documents are ordered by a 128-bit key, the hash of the text and then the hash of the id, so equal
-texts lie together. Splitters are found by rounds of exact byte counts: each round counts the bytes
+Documents are ordered by a 128-bit key: the hash of the text, 44 bits of the hash of the id and 20 bits
+of the hash of a row number, so equal texts lie together and even equal rows can be divided. Splitters are found by rounds of exact byte counts: each round counts the bytes
 of every key cell that still holds a wanted boundary, eight key bits finer, until the bytes below a
 cell edge are within the tolerance. The rows then cross the network once, to their cell.
 """
@@ -16,6 +16,7 @@ from meritgrid.llm.common import filled, stored
 KEY_BITS = 64
 STEP = 8
 SMALLEST = -(1 << 63)
+ROW_BITS = (1 << 20) - 1
 
 Splitter = tuple[int, int]
 
@@ -137,18 +138,20 @@ def histogram_shards(
 
     A document's size is its UTF-8 bytes plus 8; a null text counts as empty. Shards differ by
     ``tolerance`` of a shard and one document at most. Equal texts are neighbours; a group of them
-    that crosses a boundary is divided by id. Rows equal in text and id stay together. A null id is
-    a value like any other. Slots number a shard's rows from 0 without a gap. An empty table gives
+    that crosses a boundary is divided by id, and rows equal in text and id by a row number, which
+    the stored key table fixes. A null id is a value like any other. Slots number a shard's rows from 0 without a gap. An empty table gives
     an empty result; other columns of ``docs`` play no part.
     """
     text = filled(text_col)
+    by_id = F.xxhash64(F.col(id_col), F.lit("order")).bitwiseAND(~ROW_BITS)
+    by_row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(ROW_BITS)
     keys = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("first_key"),
-            F.xxhash64(F.col(id_col), F.lit("order")).alias("second_key"),
+            by_id.bitwiseOR(by_row).alias("second_key"),
         ),
         "shard-keys",
     )
