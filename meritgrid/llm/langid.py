@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meritgrid.llm.common import small_batches, text_slices
 
@@ -25,6 +26,7 @@ HASHED = 1 << 16
 LEXICON_WORDS = 20_000
 LEXICON_COUNT = 3
 WINDOW_WORDS = 32
+SPLICED = 8
 UNKNOWN = "und"
 NOT_LETTERS = regex.compile(r"[^\p{L}\n]+")
 MEMO_WORDS = 150_000
@@ -176,10 +178,26 @@ def text_words(text: str | None) -> list[str]:
     return [w for w in cleaned.split("\n") if w]
 
 
+def spliced_pairs(gold: list[int], every: int = SPLICED) -> list[tuple[int, int]]:
+    """Places of windows to join: every ``every``-th one with the next of another label, cyclically."""
+    out = []
+    for n, a in enumerate(range(0, len(gold), every)):
+        start = a + 1 + n % 97  # the next window itself is mostly of the same text
+        others = (i % len(gold) for i in range(start, start + len(gold)))
+        b = next((i for i in others if gold[i] != gold[a]), None)
+        if b is not None:
+            out.append((a, b))
+    return out
+
+
 def fit(
     texts: list[str], labels: list[str], windows: int = 6, rounds: int = 25, rate: float = 0.5
 ) -> Model:
-    """Fit the field on windows of words spread over each labelled text."""
+    """Fit the field on windows of words spread over each labelled text.
+
+    Every ``SPLICED``-th window is joined, half and half, with one of another language as well, so that
+    the transitions learn how often and between which languages a text switches.
+    """
     languages = sorted(set(labels))
     k = len(languages)
     counts: Counter = Counter()
@@ -195,6 +213,11 @@ def fit(
             if part:
                 sequences.append(part)
                 gold.append(languages.index(label))
+    tags = [np.full(len(part), label) for part, label in zip(sequences, gold)]
+    for a, b in spliced_pairs(gold):
+        half, rest = len(sequences[a]) // 2, len(sequences[b]) // 2
+        sequences.append(sequences[a][:half] + sequences[b][rest:])
+        tags.append(np.concatenate([tags[a][:half], tags[b][rest:]]))
     often = [w for w, n in counts.most_common(LEXICON_WORDS) if n >= LEXICON_COUNT]
     lexicon = {w: i for i, w in enumerate(often)}
     weights = np.zeros((HASHED + len(lexicon), k))
@@ -208,11 +231,10 @@ def fit(
     sizes = np.array([len(s) for s in sequences])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     truth = np.zeros((len(order), k))
-    truth[np.arange(len(order)), np.repeat(gold, sizes)] = 1
+    truth[np.arange(len(order)), np.concatenate(tags)] = 1
     true_pairs = np.zeros((k, k))
-    for label in range(k):
-        own = np.array(gold) == label
-        true_pairs[label, label] = (sizes[own] - 1).sum()
+    for tag in tags:
+        np.add.at(true_pairs, (tag[:-1], tag[1:]), 1)
     owners, features = word_features(vocabulary, lexicon)
     square, square_t = np.full(weights.shape, 1e-8), np.full((k, k), 1e-8)
     total = len(order)
@@ -307,21 +329,24 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, sample_docs: int = 300, max_chars: int = 20_000) -> Model:
-    """Fit a model on about ``sample_docs`` documents of each language, chosen by hash.
+    """Fit a model on ``sample_docs`` different texts of each language, chosen by hash.
 
     Only documents that are not held out and have a language count, of at most ``max_chars``
-    characters. The driver holds about ``sample_docs * max_chars`` characters per language.
+    characters. The texts with the smallest hashes are taken, each once, whatever ids they have and
+    however often they come, so the driver holds ``sample_docs * max_chars`` characters per language at
+    most, and a language with fewer different texts gives all of them.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    labelled = labelled.where(F.length("text") <= max_chars).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        share = min(1.0, sample_docs / n)
-        chosen |= (F.col("lang") == lang) & (place < int(share * (1 << 40)))
-    rows = labelled.where(chosen).select("doc_id", "text", "lang").collect() if sizes else []
-    rows.sort(key=lambda r: (r.lang, r.doc_id if r.doc_id is not None else -1, r.text))
+    labelled = labelled.where(F.length("text") <= max_chars)
+    labelled = labelled.select("doc_id", "text", "lang", F.xxhash64("text", F.lit("sample")).alias("place"))
+    places = labelled.groupBy("lang", "place").agg(F.min("doc_id").alias("pick"))
+    order = Window.partitionBy("lang").orderBy("place")
+    first = places.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
+    first = F.broadcast(first.select(F.col("lang").alias("of"), F.col("place").alias("at"), "pick"))
+    same = (F.col("lang") == F.col("of")) & (F.col("place") == F.col("at"))
+    chosen = labelled.join(first, same & F.col("doc_id").eqNullSafe(F.col("pick")), "left_semi")
+    rows = chosen.dropDuplicates(["lang", "place"]).select("text", "lang", "place").collect()
+    rows.sort(key=lambda r: (r.lang, r.place))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
