@@ -2,8 +2,10 @@
 
 Strict patterns give the base spans. Looser patterns give more candidates; regex, gazetteer and
 context labelers vote on all of them. Counts of vote patterns over the whole table feed an
-expectation-maximisation that estimates each labeler's reliability without labels; its posteriors
-train a span classifier on the form of a span, which decides on the added spans.
+expectation-maximisation over the loose candidates that estimates each labeler's reliability without
+labels; base spans count as real, an abstention says nothing, and priors keep every labeler better
+than chance, so that one class cannot swallow all. The posteriors train a span classifier on the form
+of a span, which decides on the added spans.
 """
 
 from __future__ import annotations
@@ -42,13 +44,37 @@ LOOSE_PHONE = re.compile(
 )
 HAS_DIGIT = re.compile("[0-9]")
 
-#: Gazetteer: words that announce a kind in the languages at hand.
-CUES = {
-    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|courriel|correo|write to)\b"),
-    "ip": re.compile(r"(?i)\b(?:ip|host|server|address|adresse|serveur|servidor)\b"),
-    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|carte|karte|tarjeta|credit)\b"),
-    "phone": re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|telefon|teléfono|téléphone)\b"),
+#: Gazetteer: words that announce a kind, in the languages at hand; a parameter of the operator.
+CUE_WORDS = {
+    "email": (
+        "e-mail email mail contact contacto contatto kontakt courriel correo correio posta reply "
+        "schreiben écrire escribir address adresse"
+    ).split(),
+    "ip": (
+        "ip ipv4 ipv6 host hostname server serveur servidor gateway router proxy subnet dns node "
+        "address adresse dirección"
+    ).split(),
+    "card": (
+        "card cards visa mastercard amex maestro discover credit debit carte karte kreditkarte "
+        "tarjeta cartão carta crédito crédit payment paiement zahlung pago"
+    ).split(),
+    "phone": (
+        "tel telephone phone call fax mobile cell whatsapp hotline telefon handy anruf téléphone "
+        "appel portable teléfono llame móvil telefone telefono"
+    ).split(),
 }
+
+
+def cue_patterns(words: dict[str, list[str]]) -> dict[str, re.Pattern]:
+    """One pattern for each kind that finds its gazetteer words, whole and in any case."""
+    out = {}
+    for kind in KINDS:
+        listed = sorted(words.get(kind, ()), key=lambda w: (-len(w), w))
+        out[kind] = re.compile(rf"(?i)\b(?:{'|'.join(map(re.escape, listed))})\b" if listed else r"(?!)")
+    return out
+
+
+CUES = cue_patterns(CUE_WORDS)
 CUE_REACH = 40
 SECRET_BEFORE = re.compile(r"""(?:=|["'`/_#]|\bkey|\btoken|\bid|\bno\.?) ?["'`]?$""")
 
@@ -124,21 +150,37 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _votes(text: str, kind: int, start: int, stop: int, base: bool) -> int:
+DATE_LIKE = re.compile(r"(?:19|20)[0-9]{2}[ .-][0-9]{1,2}[ .-][0-9]{1,2}(?![0-9])")
+NAME_END = re.compile(r"[A-Za-z]{2,}$")
+
+
+def _in_a_list(text: str, start: int, stop: int) -> bool:
+    """Whether more digits stand right before or after, as in a list of numbers."""
+    around = text[max(0, start - 2) : start] + text[stop : stop + 2]
+    return HAS_DIGIT.search(around) is not None
+
+
+def _sound(text: str, kind: int, start: int, stop: int) -> bool:
+    """Whether a loose candidate of a kind passes what can be checked about it."""
     span = text[start:stop]
+    if kind == 0:
+        return NAME_END.search(span) is not None
+    if kind == 1:  # eight groups of two decimals are a row of numbers
+        return any(c.isalpha() for c in span) or max(map(len, span.split(":"))) > 2
+    if kind == 2:
+        return valid_card(span)
+    return valid_phone(span) and not DATE_LIKE.match(span) and not _in_a_list(text, start, stop)
+
+
+def _votes(text: str, kind: int, start: int, stop: int, base: bool, cues: dict) -> int:
     before, after = text[max(0, start - CUE_REACH) : start], text[stop : stop + 1]
     name = KINDS[kind]
-    sound = {
-        "email": base or "dot" in span or "." in span,
-        "ip": base or span.count(":") == 7,
-        "card": valid_card(span),
-        "phone": valid_phone(span),
-    }[name]
+    sound = base or _sound(text, kind, start, stop)
     standing = not (before[-1:].isalnum() or after.isalnum())
     votes = (
         1 if base else 0,
         1 if sound else -1,
-        1 if CUES[name].search(before) else 0,
+        1 if cues[name].search(before) else 0,
         1 if standing else -1,
         -1 if SECRET_BEFORE.search(before) else 1,
     )
@@ -172,7 +214,7 @@ def _form(text: str, kind: int, start: int, stop: int) -> int:
 FORM_SIZES = (4, 11, 8, 4, 2, 2, 2)
 
 
-def candidate_spans(text: str | None) -> list[dict]:
+def candidate_spans(text: str | None, cues: dict = CUES) -> list[dict]:
     """Base spans, then loose candidates that touch no base span, with votes and form."""
     if not text:
         return []
@@ -196,35 +238,28 @@ def candidate_spans(text: str | None) -> list[dict]:
             "start": a,
             "stop": b,
             "base": own,
-            "votes": _votes(text, k, a, b, own),
+            "votes": _votes(text, k, a, b, own, cues),
             "form": _form(text, k, a, b),
         }
         for k, a, b, own in rows
     ]
 
 
-def _span_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(
-        pa.struct(
-            [
-                ("kind", pa.int32()),
-                ("start", pa.int32()),
-                ("stop", pa.int32()),
-                ("base", pa.bool_()),
-                ("votes", pa.int32()),
-                ("form", pa.int32()),
-            ]
-        )
-    )
-    for batch in small_batches(batches):
-        lists = [candidate_spans(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(lists, kind)], names=["doc_id", "found"]
-        )
+def find_candidates(docs: DataFrame, cue_words: dict[str, list[str]] = CUE_WORDS) -> DataFrame:
+    """doc_id and the candidate spans of every row, with votes and form."""
+    numbers = [(name, pa.int32()) for name in ("kind", "start", "stop")]
+    votes = [("votes", pa.int32()), ("form", pa.int32())]
+    kind = pa.list_(pa.struct([*numbers, ("base", pa.bool_()), *votes]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cues = cue_patterns(cue_words)
+        for batch in small_batches(batches):
+            lists = [candidate_spans(t, cues) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(lists, kind)], names=["doc_id", "found"]
+            )
 
-def find_candidates(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_span_lists, f"doc_id long, found {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, found {SPANS}")
 
 
 def vote_counts(found: DataFrame) -> pd.DataFrame:
@@ -239,27 +274,42 @@ def _digits(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // places % 3
 
 
-def estimate_reliabilities(votes: np.ndarray, weights: np.ndarray, rounds: int = 50) -> np.ndarray:
+#: Expected share of yes votes of every labeler but the first, on real and on false candidates (context
+#: says yes to most of what it sees), and the weight of that expectation: votes at least, and a share
+#: of the loose candidates.
+YES_REAL = (0.95, 0.9, 0.9, 0.9)
+YES_FALSE = (0.1, 0.3, 0.6, 0.6)  # one random number in ten passes the checksum
+PRIOR_VOTES, PRIOR_SHARE = 20.0, 0.25
+
+
+def estimate_reliabilities(votes: np.ndarray, weights: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Posterior that a candidate is real, for each row of vote codes, by EM over two classes.
 
-    Each labeler has a distribution over its three votes in either class; the start is the mean
-    vote. Counts are smoothed, so no vote ever decides alone.
+    A yes of the first labeler, the strict pattern, marks a base span, which is real. Each other
+    labeler has a share of yes votes in either class; abstentions carry no evidence. The class share is
+    that of loose candidates. The priors grow with the candidates, so that a labeler who says yes to
+    all of them is never taken as proof and one who can say no keeps its meaning.
     """
     digits = _digits(votes)
-    real = np.clip(0.5 + 0.45 * (digits - 1).mean(axis=1), 0.02, 0.98)
+    strict, rest = digits[:, 0] == 2, digits[:, 1:]
+    yes, no = (rest == 2).astype(float), (rest == 0).astype(float)
+    loose = np.where(strict, 0.0, weights)
+    prior = max(PRIOR_VOTES, PRIOR_SHARE * loose.sum())
+    share = 0.5
+    expected = np.array([YES_REAL, YES_FALSE])
+    rates = expected.copy()
+    real = np.where(strict, 1.0, 0.5)
     for _ in range(rounds):
-        share = np.clip((real * weights).sum() / max(weights.sum(), 1), 0.01, 0.99)
-        odds = np.full(len(real), np.log(share / (1 - share)))
-        for j in range(digits.shape[1]):
-            like = []
-            for belief in (real, 1 - real):
-                mass = np.bincount(digits[:, j], belief * weights, 3) + 1.0
-                like.append(mass / mass.sum())
-            odds += np.log(like[0] / like[1])[digits[:, j]]
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - real).max() < 1e-6:
+        odds = np.log(share / (1 - share)) + yes @ np.log(rates[0] / rates[1])
+        odds += no @ np.log((1 - rates[0]) / (1 - rates[1]))
+        new = np.where(strict, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+        if np.abs(new - real).max(initial=0.0) < 1e-6:
             return new
         real = new
+        share = ((real * loose).sum() + 1) / (loose.sum() + 2)
+        for c, belief in enumerate((real, 1 - real)):
+            said, against = (belief * weights) @ yes, (belief * weights) @ no
+            rates[c] = (said + prior * expected[c]) / (said + against + prior)
     return real
 
 
@@ -328,15 +378,15 @@ def _count_of_kind(kind: int) -> Column:
     return F.size(own).cast("long")
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, cue_words: dict[str, list[str]] = CUE_WORDS) -> DataFrame:
     """Personal data of every document.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (strict spans), base_sha256 of the strict spans
     and ``spans``, all spans with the added ones (kind:start:end in code points, end exclusive, by
     kind and start). A null text counts as empty; repeated rows are searched each; an empty table
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored. ``cue_words`` is the gazetteer.
     """
-    found = stored(find_candidates(docs), "pii-candidates")
+    found = stored(find_candidates(docs, cue_words), "pii-candidates")
     accepted = train(found)
     forms = [f for kind in sorted(accepted) for f in accepted[kind]]
     allowed = F.array(*[F.lit(f) for f in forms]).cast("array<int>")
@@ -364,7 +414,11 @@ def mask_text(text: str, accepted: dict[int, list[int]]) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data replaced by its kind in brackets and ``n_chars`` counted anew."""
+    """``docs`` with personal data replaced by its kind in brackets and ``n_chars`` counted anew.
+
+    A null text stays null with a null ``n_chars``, an empty one stays empty; repeated rows are masked
+    each; an empty table gives an empty result; other columns are passed on.
+    """
     accepted = train(find_candidates(docs))
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
