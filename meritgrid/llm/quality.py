@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritgrid.llm.common import stored
+from meritgrid.llm.common import small_batches, stored
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -88,11 +88,12 @@ def text_signals(text: str | None) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def _signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [part.split()[0] for part in SIGNALS.split(", ")]
-    for batch in batches:
-        values = pd.DataFrame([text_signals(t) for t in batch["text"]], columns=names[3:])
-        yield pd.concat([batch[names[:3]].reset_index(drop=True), values], axis=1)
+    for batch in small_batches(batches):
+        values = zip(*map(text_signals, batch.column("text").to_pylist()))
+        counts = [pa.array(column, pa.int64()) for column in values]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names[:3]), *counts], names=names)
 
 
 def signals(docs: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def signals(docs: DataFrame) -> DataFrame:
     plain = docs.select(
         "doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string")
     )
-    return plain.mapInPandas(_signals, SIGNALS)
+    return plain.mapInArrow(_signals, SIGNALS)
 
 
 def base_failed() -> Column:
