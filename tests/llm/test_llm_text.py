@@ -332,3 +332,41 @@ def test_shards(spark, docs, odd_docs, no_docs):
     )
     sizes = check_shards(shard.histogram_shards(hot), hot, 24)
     assert max(sizes) - min(sizes) < 0.03 * sum(sizes) / 24 + 40
+
+
+def test_rows_equal_in_text_and_id_are_divided(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text")
+    )
+    sizes = check_shards(shard.histogram_shards(rows), rows, 24)
+    assert max(sizes) - min(sizes) < 0.03 * sum(sizes) / 24 + 40
+
+
+def test_numbers_that_fail_their_checksum_are_refused(spark):
+    rows = [(i, f"card 4539 1488 0343 6467 of a{i}@b.org from 10.0.0.{i}") for i in range(20)]
+    rows += [(100 + i, f"seen near 21234656597892{40 + i} in the list") for i in range(8) if not pii.luhn(f"21234656597892{40 + i}")]
+    rows += [(200 + i, f"reach jane{i} [at] mail{i} [dot] org today") for i in range(6)]
+    rows += [(300, "two 4465758382889437 4465758382889437 in a row"), (301, "on 2021-05-12 10-11 or 1 555 0100 200 300 400 50")]
+    found = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == "" for i in found if 100 <= i < 200 or i == 301)
+    assert all(found[i].startswith("email:6:") for i in found if 200 <= i < 300)
+    assert found[300] == "card:4:20,card:21:37"
+
+
+def test_language_sample_does_not_depend_on_ids(spark, docs):
+    some = docs.where("lang IN ('en', 'de')").withColumn("doc_id", F.when(F.col("lang") == "de", 3).cast("long"))
+    hot = some.unionByName(spark.range(2000).join(some.where("lang = 'en'").limit(1)).drop("id"))
+    model = langid.train(hot, sample_docs=20)
+    assert model.languages == ["de", "en"]
+    found = langid.identify(docs.where("lang IN ('en', 'de')").select("doc_id", "text"), model)
+    right = found.join(docs.select("doc_id", "lang"), "doc_id")
+    assert right.where("lang = lang_pred").count() >= 0.95 * right.count()
+
+
+def test_transitions_learn_that_texts_switch():
+    english, german = "the and of with that have this from they".split(), "der und mit das nicht eine auch auf sich".split()
+    model = langid.fit([" ".join(english * 8)] * 12 + [" ".join(german * 8)] * 12, ["en"] * 12 + ["de"] * 12)
+    assert langid.spliced_pairs([0, 0, 1, 1], every=2) == [(0, 2), (2, 0)]
+    (_, post), = langid.Tagger(model).posteriors([" ".join(english + german + english)])
+    best = [model.languages[i] for i in post.argmax(axis=1)]
+    assert best == ["en"] * 9 + ["de"] * 9 + ["en"] * 9
