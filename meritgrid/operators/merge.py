@@ -9,16 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from meritgrid.functions import text
 from meritgrid.functions.exprs import has
 from meritgrid.functions.nested import richness
 from meritgrid.functions.text import filled, lower_name
-from meritgrid.operators import batches, blocking
+from meritgrid.operators import batches, blocking, near_names
 from meritgrid.operators.ordering import first_rows
 from meritgrid.session import cut_lineage
 
@@ -139,50 +137,16 @@ def best_certs(certs: DataFrame) -> DataFrame:
     )
 
 
-def distinct_certs(certs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def distinct_certs(certs: DataFrame, threshold: float = 0.8, measure: str = "blocks") -> DataFrame:
     """``best_certs`` without near-equal names, removed greedily pair by pair.
 
-    The rows of one organisation are already one per normalised name here, so its list is bounded
-    by the number of certification kinds, not by its rows.
+    ``measure`` is ``blocks`` (matching blocks) or ``edits`` (edit distance); see ``near_names``.
     """
-    best = best_certs(certs)
-    item = F.struct("pos", F.upper("name").alias("name"), "_q.a", "_q.b", "_q.c", "_q.d")
-    lists = best.groupBy("seq").agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    part = lambda f: F.transform("_i", lambda x: x[f])
-    quality = F.transform("_i", lambda x: F.array(*[x[f].cast("double") for f in "abcd"]))
-    kept = lists.select("seq", F.explode(_greedy_kept(threshold)(part("pos"), part("name"), quality)).alias("pos"))
-    return best.join(kept, ["seq", "pos"]).drop("_q")
-
-
-def _greedy_kept(threshold: float):
-    """Positions that stay when each item removes the worse of every later near-equal pair."""
-    ratios: dict[tuple[str, str], bool] = {}
-
-    def near(a: str, b: str) -> bool:
-        import difflib
-
-        if (a, b) not in ratios:
-            if 2 * min(len(a), len(b)) <= threshold * (len(a) + len(b)):
-                ratios[a, b] = False
-            else:
-                ratios[a, b] = difflib.SequenceMatcher(None, a, b).ratio() > threshold
-        return ratios[a, b]
-
-    def keep(positions, names, quality) -> list[int]:
-        ranks = [tuple(q) for q in quality]
-        gone: set[int] = set()
-        for i in range(len(names)):
-            if i in gone:
-                continue
-            for j in range(i + 1, len(names)):
-                if j not in gone and near(names[i], names[j]):
-                    gone.add(i if ranks[j] < ranks[i] else j)
-        return [p for i, p in enumerate(positions) if i not in gone]
-
-    def kept(positions: pd.Series, names: pd.Series, quality: pd.Series) -> pd.Series:
-        return pd.Series([keep(*row) for row in zip(positions, names, quality)])
-
-    return F.pandas_udf(kept, ArrayType(LongType()))
+    best = cut_lineage(best_certs(certs))
+    rank = F.struct("_q.a", "_q.b", "_q.c", "_q.d")
+    items = best.select(F.col("seq").alias("group"), "pos", F.upper("name").alias("name"), rank.alias("rank"))
+    gone = near_names.greedy_removed(items, threshold, measure).rows.withColumnRenamed("group", "seq")
+    return best.join(gone, ["seq", "pos"], "left_anti").drop("_q")
 
 
 def one_jci(certs: DataFrame) -> DataFrame:

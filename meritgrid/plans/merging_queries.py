@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meritgrid.functions import nested, text
 from meritgrid.functions.exprs import num
-from meritgrid.operators import batches, filters, match, merge
+from meritgrid.operators import batches, filters, match, merge, near_names
 from meritgrid.plans.matching_queries import base, incoming
 from meritgrid.plans.registry import Views, query
 from meritgrid.session import small_table
@@ -156,6 +156,21 @@ def _distinct_certs(v: Views) -> DataFrame:
     return merge.distinct_certs(unique_certs(v)).select("seq", "pos", "name")
 
 
+@query("distinct_certs_edit")
+def _distinct_certs_edit(v: Views) -> DataFrame:
+    """As ``distinct_certs``, by edit distance."""
+    return merge.distinct_certs(unique_certs(v), measure="edits").select("seq", "pos", "name")
+
+
+@query("near_equal_names")
+def _near_equal_names(v: Views) -> DataFrame:
+    """Organisations of one city whose name is near to a better rated or earlier one's."""
+    items = v.orgs.select(
+        F.concat_ws("|", "state", "city").alias("group"), F.col("seq").alias("pos"), F.lower("name").alias("name"), (-F.col("prior_score_src")).alias("rank")
+    )
+    return near_names.greedy_removed(items, measure="edits").rows.withColumnsRenamed({"group": "place", "pos": "seq"})
+
+
 def unique_certs(v: Views) -> DataFrame:
     """Certifications with a position that is unique inside the organisation."""
     return v.certs.groupBy("seq", "pos").agg(

@@ -54,6 +54,20 @@ FROM fx_certs GROUP BY 1, 2
 -- query: best_certs uses: o_unique_certs
 SELECT seq, cert_key, min(pos) OVER (PARTITION BY seq, cert_key) AS pos, name, CAST(score_impact AS BIGINT) AS score_impact FROM o_unique_certs
 QUALIFY row_number() OVER (PARTITION BY seq, cert_key ORDER BY coalesce(score_impact, 0) DESC, length(concat(name, status)) DESC, pos) = 1
+-- query: distinct_certs_edit uses: o_unique_certs
+WITH RECURSIVE b AS (SELECT seq, min(pos) OVER (PARTITION BY seq, cert_key) AS pos, name, coalesce(score_impact, 0) * 1000000 + length(concat(name, status)) AS q FROM o_unique_certs
+ QUALIFY row_number() OVER (PARTITION BY seq, cert_key ORDER BY coalesce(score_impact, 0) DESC, length(concat(name, status)) DESC, pos) = 1),
+p AS (SELECT seq AS k, list(pos ORDER BY pos) AS ids, list(upper(name) ORDER BY pos) AS names, list(-q ORDER BY pos) AS ranks FROM b GROUP BY 1),
+r AS (SELECT k, ids, names, ranks, 1 AS i, CAST([] AS BIGINT[]) AS gone FROM p UNION ALL
+ SELECT k, ids, names, ranks, i + 1, CASE WHEN list_contains(gone, i) THEN gone ELSE list_concat(gone, list_filter(near, lambda j: ranks[j] >= ranks[i]), CASE WHEN len(list_filter(near, lambda j: ranks[j] < ranks[i])) > 0 THEN [CAST(i AS BIGINT)] ELSE [] END) END
+ FROM (SELECT *, list_filter(range(i + 1, len(ids) + 1), lambda j: NOT list_contains(gone, j) AND names[i] <> '' AND names[j] <> '' AND 1 - levenshtein(names[j], names[i]) * 1.0 / greatest(length(names[j]), length(names[i])) > 0.8) AS near FROM r WHERE i <= len(ids)))
+SELECT seq, pos, name FROM b ANTI JOIN (SELECT k AS seq, unnest(list_transform(gone, lambda g: ids[g])) AS pos FROM r WHERE i = len(ids) + 1) USING (seq, pos)
+-- query: near_equal_names uses: fx_orgs
+WITH RECURSIVE p AS (SELECT concat_ws('|', state, city) AS k, list(seq ORDER BY seq) AS ids, list(lower(name) ORDER BY seq) AS names, list(-prior_score_src ORDER BY seq) AS ranks FROM fx_orgs GROUP BY 1),
+r AS (SELECT k, ids, names, ranks, 1 AS i, CAST([] AS BIGINT[]) AS gone FROM p UNION ALL
+ SELECT k, ids, names, ranks, i + 1, CASE WHEN list_contains(gone, i) THEN gone ELSE list_concat(gone, list_filter(near, lambda j: ranks[j] >= ranks[i]), CASE WHEN len(list_filter(near, lambda j: ranks[j] < ranks[i])) > 0 THEN [CAST(i AS BIGINT)] ELSE [] END) END
+ FROM (SELECT *, list_filter(range(i + 1, len(ids) + 1), lambda j: NOT list_contains(gone, j) AND names[i] <> '' AND names[j] <> '' AND 1 - levenshtein(names[j], names[i]) * 1.0 / greatest(length(names[j]), length(names[i])) > 0.8) AS near FROM r WHERE i <= len(ids)))
+SELECT k AS place, unnest(list_transform(gone, lambda g: ids[g])) AS seq FROM r WHERE i = len(ids) + 1
 -- query: one_jci uses: o_unique_certs
 SELECT seq, count(*) FILTER (NOT j) + CASE WHEN count(*) FILTER (j) > 0 THEN 1 ELSE 0 END AS n, CASE WHEN count(*) FILTER (j) > 1 THEN 1 ELSE 0 END AS moved_last
 FROM (SELECT *, upper(name) LIKE '%JCI%' AS j FROM o_unique_certs) GROUP BY seq
