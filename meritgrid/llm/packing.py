@@ -164,8 +164,8 @@ def pack_documents(docs: DataFrame, vocab_path: str, length: int = LENGTH) -> Da
 
     A document is the ids of its text and then id 1 (a null text: id 1 alone). Documents keep the
     order they have in their partition; each partition is packed on its own, so sequence ids are
-    unique but not gapless, and a partition's last sequence may be short. Returns doc_id, start,
-    length, ids_crc32, doc_tokens, sequence_id, offset. Each id lies in exactly one piece; repeated
+    unique but not gapless, and a partition's last sequence may be short. Cuts are planned over
+    ``CHUNK_WINDOWS`` windows at a time, the last of which stays open. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Each id lies in exactly one piece; repeated
     rows and null ids are packed like others; an empty table gives an empty result.
     """
 

@@ -370,3 +370,28 @@ def test_transitions_learn_that_texts_switch():
     (_, post), = langid.Tagger(model).posteriors([" ".join(english + german + english)])
     best = [model.languages[i] for i in post.argmax(axis=1)]
     assert best == ["en"] * 9 + ["de"] * 9 + ["en"] * 9
+
+
+def test_plans_over_many_windows_leave_the_last_one_open():
+    rng = np.random.default_rng(5)
+    enders = np.array([False] * 9 + [True])
+    length = 64  # cuts cost up to 24, so padding is only small for windows well above that
+    stream, given, pieces, plans = packing.Stream(3, length, enders), {}, [], 0
+    for doc in range(5000):
+        given[doc] = np.append(rng.integers(0, 10, rng.integers(0, 9) if doc % 500 else 9000), 1).astype(np.uint32)
+        stream.add(doc, given[doc])
+        if stream.ready():
+            plans += 1
+            pieces += stream.cut(last=False)
+            assert 0 < stream.size <= length
+    pieces += stream.cut(last=True)
+    assert plans > 2 and not stream.size and stream.cut(last=True) == []
+    held, filled_to = Counter(), Counter()
+    for doc, start, size, digest, tokens, sequence, offset in pieces:
+        assert start == held[doc] and offset == filled_to[sequence] and tokens == len(given[doc])
+        assert digest == zlib.crc32(given[doc][start : start + size].astype("<u4").tobytes())
+        held[doc] += size
+        filled_to[sequence] += size
+    assert all(held[doc] == len(ids) for doc, ids in given.items())
+    assert max(filled_to.values()) <= length and sorted(filled_to) == [(3 << 33) | i for i in range(len(filled_to))]
+    assert sum(filled_to.values()) >= 0.9 * length * len(filled_to)
