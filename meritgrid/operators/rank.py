@@ -99,7 +99,7 @@ def similar_performers(scored: DataFrame, width: float = 5.0, k: int = 10) -> Da
         F.explode(F.sequence(F.col("_ahead") + 1, F.col("_ahead") + k + 1)).alias("_idx"),
     )
     peers = indexed.select("_idx", F.col("seq").alias("peer"), F.col("total_score").alias("peer_score"))
-    near = subject.join(peers, "_idx").filter(
+    near = subject.join(peers.hint("merge"), "_idx").filter(
         (F.col("peer") != F.col("subject")) & (F.round(F.abs(F.col("peer_score") - F.col("subject_score")), 9) <= width)
     )
     w = Window.partitionBy("subject").orderBy("_idx")
@@ -124,7 +124,7 @@ def benchmark_window(scored: DataFrame, reach: int = 20) -> DataFrame:
     # positions among the others: the subject itself is skipped
     subject = subject.withColumn("_idx", F.when(F.col("_i") + 1 < F.col("_self"), F.col("_i") + 1).otherwise(F.col("_i") + 2))
     peers = indexed.select("_idx", F.col("seq").alias("peer"), F.col("total_score").alias("peer_score"))
-    return subject.filter("_i >= 0").join(peers, "_idx").select(
+    return subject.filter("_i >= 0").join(peers.hint("merge"), "_idx").select(
         "subject",
         "peer",
         F.when(F.col("_i") < F.col("_p"), "above").otherwise("below").alias("side"),
@@ -134,15 +134,19 @@ def benchmark_window(scored: DataFrame, reach: int = 20) -> DataFrame:
 
 
 def rank_neighbours(ranked: DataFrame, reach: int = 10) -> DataFrame:
-    """Organisations up to ``reach`` places above and below by stored unique rank."""
-    offsets = [o for o in range(-reach, reach + 1) if o]
-    subject = ranked.select(
-        F.col("seq").alias("subject"),
-        F.col("overall_rank").alias("subject_rank"),
-        F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_offset"),
-    ).withColumn("neighbour_rank", F.col("subject_rank") + F.col("_offset"))
-    peers = ranked.select(F.col("overall_rank").alias("neighbour_rank"), F.col("seq").alias("neighbour"))
-    return subject.join(peers, "neighbour_rank").drop("_offset")
+    """Organisations up to ``reach`` places above and below by stored unique rank.
+
+    Ranks meet in blocks of ``reach``: a subject in its own block, a peer in its own and the two beside it.
+    """
+    block = F.floor(F.col("overall_rank") / reach)
+    subject = ranked.select(F.col("seq").alias("subject"), F.col("overall_rank").alias("subject_rank"), block.alias("_block"))
+    peers = ranked.select(
+        F.col("overall_rank").alias("neighbour_rank"),
+        F.col("seq").alias("neighbour"),
+        F.explode(F.array(block - 1, block, block + 1)).alias("_block"),
+    )
+    apart = F.abs(F.col("neighbour_rank") - F.col("subject_rank"))
+    return subject.join(peers.hint("merge"), "_block").filter(apart.between(1, reach)).drop("_block")
 
 
 TIERS = [(80, "Excellent (80-100)"), (60, "Good (60-79)"), (40, "Average (40-59)")]
@@ -200,7 +204,7 @@ def percentile_peers(ranked: DataFrame, width: float = 5.0, k: int = 10) -> Data
         F.explode(F.sequence(start, start + k + 2)).alias("_idx"),
     )
     peers = base.select(F.col("overall_rank").alias("_idx"), F.col("seq").alias("peer"), F.col("_pct").alias("peer_pct"))
-    near = subject.join(peers, "_idx").filter(
+    near = subject.join(peers.hint("merge"), "_idx").filter(
         (F.col("peer") != F.col("subject"))
         & F.col("peer_pct").between(F.col("subject_pct") - width, F.col("subject_pct") + width)
     )
