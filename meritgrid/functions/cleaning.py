@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meritgrid.functions.exprs import col, first_rule, has, lookup
+from meritgrid.functions.exprs import col, first_rule, has, lookup, once
 from meritgrid.functions.text import filled, lower_name, squeeze, without_parentheses, word_list
 from meritgrid.rules import cleaning as rules
 from meritgrid.rules.filters import CITIES
@@ -164,7 +164,7 @@ def tidy_location(text: Column) -> Column:
         F.array().cast(NOTHING),
         lambda acc, t: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(t)), acc).otherwise(F.array_append(acc, t)),
     )
-    return _last_two(distinct, "Unknown Location")
+    return once(distinct, lambda places: _last_two(places, "Unknown Location"))
 
 
 def location_of(city: Column, state: Column, *fallbacks: Column) -> Column:
@@ -185,17 +185,23 @@ def _name_tokens(text: Column) -> Column:
 
 def name_without_place(name: Column | str, location: Column | str, countries: Sequence[str] = ("india", "bharat")) -> Column:
     """Name tokens without the trailing ones that occur in the location, in any order."""
-    tokens = _name_tokens(squeeze(without_parentheses(filled(name))))
     places = F.concat(_name_tokens(filled(location)), F.array(*[F.lit(c) for c in countries]))
-    last = F.array_max(F.transform(tokens, lambda t, i: F.when(~F.array_contains(places, t), i)))
-    return F.array_join(F.slice(tokens, F.lit(1), F.coalesce(last + 1, F.lit(0))), " ")
+
+    def shortened(tokens: Column) -> Column:
+        other = once(places, lambda p: F.transform(tokens, lambda t, i: F.when(~F.array_contains(p, t), i)))
+        return F.array_join(F.slice(tokens, F.lit(1), F.coalesce(F.array_max(other) + 1, F.lit(0))), " ")
+
+    return once(_name_tokens(squeeze(without_parentheses(filled(name)))), shortened)
 
 
 def suggestion_key(name: Column | str, location: Column | str) -> Column:
     """Duplicate key of suggestions: name without place, and sorted location tokens."""
-    base = name_without_place(unify_company(filled(name)), unify_company(filled(location)), ("india",))
-    places = F.filter(_name_tokens(unify_company(filled(location))), lambda t: t != "india")
-    return F.concat_ws("|", unify_company(base), F.array_join(F.array_sort(places), " "))
+    def key(place: Column) -> Column:
+        base = name_without_place(unify_company(filled(name)), place, ("india",))
+        places = F.filter(_name_tokens(place), lambda t: t != "india")
+        return F.concat_ws("|", unify_company(base), F.array_join(F.array_sort(places), " "))
+
+    return once(unify_company(filled(location)), key)
 
 
 def unify_company(text: Column) -> Column:
@@ -206,9 +212,11 @@ def unify_company(text: Column) -> Column:
 def display_line(name: Column | str, location: Column | str) -> Column:
     """``name - city, state`` for suggestion lists."""
     kept = F.filter(_place_tokens(filled(location)), lambda t: ~F.lower(t).isin(rules.HOME_COUNTRIES))
-    where = _last_two(kept, "")
-    text = name_without_place(name, location)
-    return F.when(where != "", F.concat_ws(" - ", text, where)).otherwise(text)
+    where = once(kept, lambda tokens: _last_two(tokens, ""))
+    return once(
+        F.struct(name_without_place(name, location).alias("text"), where.alias("where")),
+        lambda x: F.when(x["where"] != "", F.concat_ws(" - ", x["text"], x["where"])).otherwise(x["text"]),
+    )
 
 
 def display_details(name: Column | str, address: Column | str, source: Column | str, rating: Column) -> Column:
@@ -251,7 +259,7 @@ def state_in_name(name: Column | str) -> Column:
 def cities_in(text: Column | str, gazetteer: Sequence[str] = tuple(CITIES)) -> Column:
     """Known cities found in the text, in list order."""
     lowered = F.lower(filled(text))
-    return F.filter(F.array(*[F.lit(c) for c in gazetteer]), lambda c: F.contains(lowered, F.lower(c)))
+    return once(lowered, lambda t: F.filter(F.array(*[F.lit(c) for c in gazetteer]), lambda c: F.contains(t, F.lower(c))))
 
 
 def country_of_name(name: Column | str) -> Column:

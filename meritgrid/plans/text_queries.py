@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritgrid.functions import cleaning, dates, text
-from meritgrid.functions.exprs import num
+from meritgrid.functions.exprs import computed_once, num
 from meritgrid.operators import match, validate
 from meritgrid.plans.registry import Views, query
 
@@ -79,12 +79,13 @@ def _place_parts(v: Views) -> DataFrame:
 def _tidy_locations(v: Views) -> DataFrame:
     address = F.concat_ws(" / ", "country", "region", F.lit("India"), "country", F.lit("x u003cbr"))
     where = cleaning.location_of(F.col("city"), F.col("state"), address)
-    return v.orgs.select(
+    placed = computed_once(v.orgs, location=where, located=located_name())
+    return placed.select(
         "seq",
-        where.alias("location"),
-        cleaning.name_without_place(located_name(), where).alias("bare_name"),
-        cleaning.display_line(located_name(), where).alias("display_line"),
-        cleaning.suggestion_key(located_name(), where).alias("suggestion_key"),
+        "location",
+        cleaning.name_without_place("located", "location").alias("bare_name"),
+        cleaning.display_line("located", "location").alias("display_line"),
+        cleaning.suggestion_key("located", "location").alias("suggestion_key"),
     )
 
 
