@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meritgrid.functions import cleaning
-from meritgrid.functions.exprs import col, first_rule, has, hits
+from meritgrid.functions.exprs import col, computed_once, first_rule, has, hits, once
 from meritgrid.functions.text import filled, squeeze
 from meritgrid.operators import markup, merge, score_more
 from meritgrid.operators.ordering import first_rows
@@ -264,11 +264,11 @@ def _cells(row: Column) -> Column:
 
 def page_tables(pages: DataFrame) -> DataFrame:
     """Every table in the order of its start; a table inside a cell is one of its own."""
-    split = pages.select("page_id", markup.chunks(without_code("html")).alias("_parts"))
-    spanned = split.withColumn("_spans", markup.spans(F.col("_parts"), "table"))
+    split = computed_once(pages.select("page_id", "html"), _parts=markup.chunks(without_code("html"))).drop("html")
+    spanned = computed_once(split, _spans=markup.spans(F.col("_parts"), "table"))
     each = spanned.select("page_id", "_parts", "_spans", F.posexplode("_spans").alias("table_no", "_span"))
     own = markup.own_text_of(F.col("_parts"), F.col("_span"), F.col("_spans"))
-    return each.select("page_id", "table_no", own.alias("_table"))
+    return computed_once(each, _table=own).select("page_id", "table_no", "_table")
 
 
 def table_rows(pages: DataFrame, columns: Sequence[str], table_id: str | None = None) -> DataFrame:
@@ -278,7 +278,7 @@ def table_rows(pages: DataFrame, columns: Sequence[str], table_id: str | None =
         tables = tables.filter(F.col("_table").rlike(rf'(?is)^<table\b[^>]*\bid="{table_id}"'))
     rows = F.regexp_extract_all("_table", F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
     each = tables.select("page_id", "table_no", F.posexplode(rows).alias("row_number", "_row")).filter("row_number > 0")
-    split = each.select("page_id", "table_no", "row_number", _cells(F.col("_row")).alias("_c"))
+    split = computed_once(each, _c=_cells(F.col("_row")))
     return split.filter(F.size("_c") >= len(columns)).select(
         "page_id", "table_no", "row_number", *[F.col("_c")[i].alias(c) for i, c in enumerate(columns)]
     )
@@ -290,15 +290,16 @@ PORTAL_COLUMNS = ["serial_number", "reference_number", "name", "accreditation_nu
 def table_profile(pages: DataFrame) -> DataFrame:
     """Per table: id, rows, columns, headers and whether it speaks about hospitals."""
     rows = F.regexp_extract_all("_table", F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
-    headers = _cells(F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit("")))
+    headers = _cells(F.coalesce(F.try_element_at("_rows", F.lit(1)), F.lit("")))
     text = F.lower(F.regexp_replace("_table", r"(?s)<[^>]*>", ""))
-    return page_tables(pages).select(
+    tables = computed_once(computed_once(page_tables(pages), _rows=rows), _headers=headers)
+    return tables.select(
         "page_id",
         "table_no",
         F.regexp_extract("_table", r'(?is)^<table\b[^>]*\bid="([^"]*)"', 1).alias("table_id"),
-        F.size(rows).alias("n_rows"),
-        F.size(headers).alias("n_columns"),
-        F.array_join(headers, "|").alias("headers"),
+        F.size("_rows").alias("n_rows"),
+        F.size("_headers").alias("n_columns"),
+        F.array_join("_headers", "|").alias("headers"),
         has(text, *rules.TABLE_WORDS).cast("int").alias("has_hospital_data"),
     )
 
@@ -337,21 +338,21 @@ def page_blocks(pages: DataFrame, tags: Sequence[str] = BLOCK_TAGS, classes: Seq
     An element that holds several blocks of one class is their container and no block itself; a
     block inside another block that is none is a part of it. Nested elements stay in their block.
     """
-    split = pages.select("page_id", markup.chunks(without_code("html")).alias("_parts"))
+    split = computed_once(pages.select("page_id", "html"), _parts=markup.chunks(without_code("html"))).drop("html")
     css = lambda s: F.regexp_extract(F.element_at("_parts", s["first"]), r'(?is)^<[a-z0-9]+\b[^>]*\bclass="([^"]*)"', 1)
     named = [
         F.transform(markup.spans(F.col("_parts"), t), lambda s: F.struct(s["first"], s["last"], css(s).alias("css")))
         for t in tags
     ]
     wanted = F.filter(F.concat(*named), lambda s: s["css"].rlike(rf"(?i)(?:{'|'.join(classes)})"))
-    found = split.withColumn("_all", F.array_sort(wanted))
+    found = computed_once(split, _all=F.array_sort(wanted))
     inside = lambda a, b: (a["first"] > b["first"]) & (a["last"] < b["last"])
     kinds = lambda s: F.transform(F.filter("_all", lambda x: inside(x, s)), lambda x: x["css"])
-    single = F.filter("_all", lambda s: F.size(kinds(s)) == F.size(F.array_distinct(kinds(s))))
-    kept = found.withColumn("_single", single)
+    single = F.filter("_all", lambda s: once(kinds(s), lambda k: F.size(k) == F.size(F.array_distinct(k))))
+    kept = computed_once(found, _single=single)
     outer = F.filter("_single", lambda s: ~F.exists("_single", lambda x: inside(s, x)))
     each = kept.select("page_id", "_parts", F.posexplode(outer).alias("block_no", "_span"))
-    return each.select("page_id", "block_no", markup.text_of(F.col("_parts"), F.col("_span")).alias("_b"))
+    return computed_once(each, _b=markup.text_of(F.col("_parts"), F.col("_span"))).select("page_id", "block_no", "_b")
 
 
 def directory_blocks(
@@ -362,25 +363,28 @@ def directory_blocks(
     each = page_blocks(pages, tags, classes)
     plain = lambda c: squeeze(written_out(F.regexp_replace(c, r"(?s)<[^>]*>", "")))
     lines = written_out(F.regexp_replace(F.regexp_replace("_b", r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|span)>", "\n"), r"(?s)<[^>]*>", ""))
-    within = each.withColumn("_t", F.trim(lines))
+    within = computed_once(each, _t=F.trim(lines))
+    filled_in = lambda c: once(c, lambda x: F.nullif(x, F.lit("")))
     heading = plain(F.regexp_extract("_b", r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", 1))
     by_class = plain(F.regexp_extract("_b", r'(?is)<[a-z]+[^>]*class="[^"]*(?:name|title)[^"]*"[^>]*>(.*?)</', 1))
     strong = plain(F.regexp_extract("_b", r"(?is)<(?:strong|b)>(.*?)</", 1))
     attribute = F.trim(F.regexp_extract("_b", r'(?is)data-(?:name|hospital|organization)="([^"]*)"', 1))
     line = F.trim(F.split("_t", r"\n")[0])
     first_line = F.left(F.when(F.length(line) > 5, line).otherwise(F.col("_t")), F.lit(100))
-    name = F.coalesce(*[F.nullif(c, F.lit("")) for c in (heading, by_class, strong, attribute, first_line)])
+    name = F.coalesce(*[filled_in(c) for c in (heading, by_class, strong, attribute, first_line)])
     find = lambda patterns: F.coalesce(
-        *[F.nullif(stripped(F.regexp_extract("_t", p, 1)), F.lit("")) for p in patterns], F.lit("")
+        *[filled_in(stripped(F.regexp_extract("_t", p, 1))) for p in patterns], F.lit("")
     )
     address = find(rules.BLOCK_ADDRESS)
     place = r"([A-Za-z\s]+),\s*([A-Za-z\s]+)$"
-    days = F.regexp_extract_all("_t", F.lit(r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"), F.lit(1))
-    rows = within.select(
+    dates_of = F.regexp_extract_all("_t", F.lit(r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"), F.lit(1))
+    days = F.col("_days")
+    named = computed_once(within, name=name).filter(F.length("name") > 2)
+    rows = computed_once(named, address=address, _days=dates_of).select(
         "page_id",
         "block_no",
-        name.alias("name"),
-        address.alias("address"),
+        "name",
+        "address",
         find([rules.BLOCK_PHONE]).alias("phone"),
         F.regexp_extract("_t", rules.EMAIL_PATTERN, 0).alias("email"),
         F.regexp_extract("_b", r'(?is)<a\b[^>]*href="(http[^"]*)"', 1).alias("website"),
@@ -392,8 +396,7 @@ def directory_blocks(
     )
     city, region = F.trim(F.regexp_extract("address", place, 1)), F.trim(F.regexp_extract("address", place, 2))
     return (
-        rows.filter(F.length("name") > 2)
-        .withColumn("city", F.when(city != "", city).otherwise("Unknown"))
+        rows.withColumn("city", F.when(city != "", city).otherwise("Unknown"))
         .withColumn("state", F.when((region != "") & F.lit(state == "Unknown"), region).otherwise(state))
     )
 
@@ -410,9 +413,8 @@ def names_in_text(texts: DataFrame, patterns: Sequence[str] = tuple(rules.NAME_P
 
 def lines_of(texts: DataFrame) -> DataFrame:
     """Trimmed lines with their number."""
-    return texts.select("doc_id", F.posexplode(F.split(filled("text"), r"\n")).alias("line_no", "_l")).select(
-        "doc_id", "line_no", stripped(F.col("_l")).alias("line")
-    )
+    each = texts.select("doc_id", F.posexplode(F.split(filled("text"), r"\n")).alias("line_no", "_l"))
+    return computed_once(each, line=stripped(F.col("_l"))).drop("_l")
 
 
 def document_rows(texts: DataFrame, cities: Sequence[str] | None = None) -> DataFrame:
@@ -435,9 +437,9 @@ def document_rows(texts: DataFrame, cities: Sequence[str] | None = None) -> Data
 def _piped_rows(lines: DataFrame, gazetteer: Sequence[str]) -> DataFrame:
     """Pipe rows: the first text cell is the name, other cells are told apart by pattern."""
     cells = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-    rows = lines.select("doc_id", "line_no", cells.alias("_c")).filter(F.size("_c") >= 2)
+    rows = computed_once(lines.select("doc_id", "line_no", "line"), _c=cells).drop("line").filter(F.size("_c") >= 2)
     at = F.array_min(F.array_compact(F.transform("_c", lambda c, i: F.when(~c.rlike(r"^\d+$"), i))))
-    rows = rows.withColumn("_at", at)
+    rows = computed_once(rows, _at=at)
     others = F.filter(
         F.transform("_c", lambda c, i: F.when((i != F.col("_at")) & ~((i == 0) & c.rlike(r"^\d+$")), c)), lambda c: c.isNotNull()
     )
@@ -452,13 +454,14 @@ def _piped_rows(lines: DataFrame, gazetteer: Sequence[str]) -> DataFrame:
             .when(c.rlike(rules.LINE_SCOPE), "scope")
         )
 
-    rows = rows.withColumn("_o", F.transform(others, lambda c: F.struct(c.alias("c"), kind(c).alias("k"))))
+    name = cleaning.document_name(F.try_element_at("_c", F.col("_at") + 1))
+    rows = computed_once(rows, name=name).filter(F.length("name") > 3)
+    rows = computed_once(rows, _o=F.transform(others, lambda c: F.struct(c.alias("c"), kind(c).alias("k"))))
     of_kind = lambda k: F.transform(F.filter("_o", lambda o: o["k"] == k), lambda o: o["c"])
     last = lambda k: F.try_element_at(of_kind(k), F.lit(-1))
-    name = cleaning.document_name(F.try_element_at("_c", F.col("_at") + 1))
     spots = F.array_join(of_kind("place"), " ")
-    out = rows.select(
-        "doc_id", "line_no", name.alias("name"),
+    return rows.select(
+        "doc_id", "line_no", "name",
         F.coalesce(last("number"), F.lit("")).alias("accreditation_number"),
         F.coalesce(last("iso"), F.lit("ISO 15189")).alias("iso_standard"),
         F.coalesce(last("date"), F.lit("")).alias("validity_date"),
@@ -466,7 +469,6 @@ def _piped_rows(lines: DataFrame, gazetteer: Sequence[str]) -> DataFrame:
         F.array_join(cleaning.cities_in(spots, gazetteer), "|").alias("locations"),
         F.lit("table").alias("method"),
     )
-    return out.filter(F.length("name") > 3)
 
 
 def _line_rows(lines: DataFrame, gazetteer: Sequence[str]) -> DataFrame:
@@ -474,8 +476,9 @@ def _line_rows(lines: DataFrame, gazetteer: Sequence[str]) -> DataFrame:
     usable = lines.filter(~has(F.lower("line"), *rules.LINE_SKIPS) & F.col("line").rlike(rules.LINE_NAME))
     find = lambda p: F.regexp_extract("line", p, 0)
     iso = find(rules.LINE_ISO)
-    out = usable.select(
-        "doc_id", "line_no", cleaning.document_name(F.regexp_extract("line", rules.LINE_NAME, 0)).alias("name"),
+    named = computed_once(usable, name=cleaning.document_name(find(rules.LINE_NAME)))
+    return named.filter(F.length("name") >= 4).select(
+        "doc_id", "line_no", "name",
         find(rules.LINE_NUMBER).alias("accreditation_number"),
         F.when(iso != "", iso).otherwise("ISO 15189").alias("iso_standard"),
         find(rules.LINE_DATE).alias("validity_date"),
@@ -483,7 +486,6 @@ def _line_rows(lines: DataFrame, gazetteer: Sequence[str]) -> DataFrame:
         F.array_join(cleaning.cities_in("line", gazetteer), "|").alias("locations"),
         F.lit("line").alias("method"),
     )
-    return out.filter(F.length("name") >= 4)
 
 
 def laboratory_entries(texts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meritgrid.functions.exprs import col
+from meritgrid.functions.exprs import col, once
 
 SPAN = "array<struct<first:int,last:int,depth:int>>"
 
@@ -47,9 +47,11 @@ def spans(parts: Column, tag: str) -> Column:
         closed = F.struct(F.slice(stack, F.lit(1), F.greatest(depth - 1, F.lit(0))).alias("stack"), F.array_append(done, element).alias("done"))
         return F.when(event["kind"] == 1, opened).when(depth > 0, closed).otherwise(state)
 
-    end = F.aggregate(_events(parts, tag), start, step)
-    rest = F.transform(end["stack"], lambda at, i: F.struct(at.alias("first"), (F.size(parts) + 1).alias("last"), (i + 1).alias("depth")))
-    return F.array_sort(F.concat(end["done"], rest.cast(SPAN)))
+    def closed_with_page(end: Column) -> Column:
+        rest = F.transform(end["stack"], lambda at, i: F.struct(at.alias("first"), (F.size(parts) + 1).alias("last"), (i + 1).alias("depth")))
+        return F.array_sort(F.concat(end["done"], rest.cast(SPAN)))
+
+    return once(F.aggregate(_events(parts, tag), start, step), closed_with_page)
 
 
 def _closing(parts: Column, at: Column) -> Column:
@@ -71,11 +73,12 @@ def own_text_of(parts: Column, span: Column, all_spans: Column) -> Column:
     inner = F.filter(all_spans, lambda s: (s["first"] > span["first"]) & (s["last"] <= span["last"]) & (s["depth"] == span["depth"] + 1))
     numbers = F.sequence(span["first"], span["last"] - 1)
 
-    def kept(at: Column) -> Column:
+    def kept(at: Column, inner: Column) -> Column:
         chunk = F.element_at(parts, at)
         ends = F.exists(inner, lambda s: s["last"] == at)
         inside = F.exists(inner, lambda s: (s["first"] <= at) & (at < s["last"]))
         behind = F.regexp_replace(chunk, r"(?s)^<[^>]*>?", "")
         return F.when(inside, "").when(ends, behind).otherwise(chunk)
 
-    return F.concat(F.array_join(F.transform(numbers, kept), ""), _closing(parts, span["last"]))
+    chunks_of = once(inner, lambda nested: F.transform(numbers, lambda at: kept(at, nested)))
+    return F.concat(F.array_join(chunks_of, ""), _closing(parts, span["last"]))
