@@ -81,3 +81,38 @@ def test_a_row_that_goes_finishes_its_turn_and_a_chain_settles_in_rounds(spark):
     assert {r.pos for r in found.rows.collect()} == {p for _, p in plain_loop(chain, edit_ratio)} and found.rounds > 1
     empty = near_names.greedy_removed(spark.createDataFrame([], kind))
     assert empty.rows.count() == 0 and empty.rounds == 0
+
+
+@pytest.mark.parametrize("measure", ["edits", "blocks"])
+@pytest.mark.parametrize("first_part", [3])
+def test_long_groups_settle_in_parts(spark, measure, first_part, monkeypatch):
+    monkeypatch.setattr(near_names, "FIRST_PART", first_part)
+    rows = random_rows(5, groups=12) + [("long", pos, name, rank) for pos, (_, _, name, rank) in enumerate(random_rows(6, groups=8))]
+    table = spark.createDataFrame(rows, "group string, pos long, name string, rank int")
+    found = near_names.greedy_removed(table, measure=measure)
+    assert {(r.group, r.pos) for r in found.rows.collect()} == plain_loop(rows, RATIOS[measure])
+
+
+def test_a_group_of_alike_names_writes_no_table_of_all_pairs(spark, monkeypatch):
+    written, cut = [], near_names.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_names, "cut_lineage", counted)
+    rng = random.Random(3)
+    rows = [("g", pos, f"general hospital of the north {pos}", rng.random()) for pos in range(900)]
+    table = spark.createDataFrame(rows, "group string, pos long, name string, rank double")
+    near_names.greedy_removed(table, measure="edits")
+    assert max(written) < 900 * 900 / 8
+
+
+def test_texts_of_many_groups_meet_once(spark):
+    rows = [(g, name) for g in range(300) for name in ("iso 45001 2018", "iso 9001 2015", "green seal award", "green seal awards")]
+    names = spark.createDataFrame(rows, "group int, text string")
+    index = near_names.NearTexts.of(names, 0.8, "blocks")
+    assert index.near is not None and index.near.count() == 4
+    pairs = index.pairs(names, names)
+    assert pairs.count() == 300 * (4 + 4) and near_names.near_pairs(names).exceptAll(pairs).count() == 0
