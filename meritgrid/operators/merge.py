@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritgrid.functions import text
-from meritgrid.functions.exprs import has
+from meritgrid.functions.exprs import computed_once, has
 from meritgrid.functions.nested import richness
 from meritgrid.functions.text import filled, lower_name
 from meritgrid.operators import batches, blocking, near_names
@@ -127,7 +127,7 @@ def _jci_order(certs: DataFrame) -> Column:
 
 def best_certs(certs: DataFrame) -> DataFrame:
     """One certification per normalised name: the most complete one, at the first one's place."""
-    keyed = certs.withColumn("cert_key", text.cert_key("name")).filter("cert_key != ''")
+    keyed = computed_once(certs, cert_key=text.cert_key("name")).filter("cert_key != ''")
     rest = [c for c in certs.columns if c not in ("seq", "pos")]
     return (
         keyed.withColumn("_q", _quality(certs))

@@ -142,3 +142,14 @@ def test_one_jci_prefers_the_larger_certificate_number(spark):
     )
     kept = {r.pos: r.moved_last for r in merge.one_jci(certs).collect()}
     assert kept == {2: 1, 3: 0}
+
+
+def test_certification_keys_are_computed_once_a_row(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, "ISO-9001", "Active", 1), (1, 1, "iso 9001 ", "Active", 5), (1, 2, " ", "Active", 1)],
+        "seq long, pos long, name string, status string, score_impact int",
+    )
+    best = merge.best_certs(rows)
+    assert [(r.cert_key, r.pos, r.name) for r in best.collect()] == [("ISO9001", 0, "iso 9001 ")]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"ISO\s*-\s*(\d+)") == 1
