@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from meritgrid.functions import text
 from meritgrid.operators import match, search
 from test_blocking import similarity
 
@@ -75,3 +76,35 @@ def test_searches_with_a_table_equal_plain_loops(spark, threshold):
     high = match.ranked_search(orgs, table, threshold)
     key = lambda df: sorted((r.query_no, r.seq, round(r.score, 9)) for r in df.collect())
     assert key(low) == key(high) and key(high)
+
+
+def test_bounds_are_never_below_the_score(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice(LETTERS + "xz09") for _ in range(rng.randrange(0, 14))) for _ in range(60)] + ["", "eee eee", "é", "日本"]
+    left = spark.createDataFrame([(n,) for n in names], "a string")
+    a, b = F.col("a"), F.col("b")
+    marks = search.letter_marks
+    mine, theirs = text.words("a"), text.words("b")
+    rows = left.crossJoin(left.withColumnRenamed("a", "b")).select(
+        search.edit_similarity(a, b).alias("s"),
+        search.edit_bound(F.length(a), F.length(b), marks(a), marks(b)).alias("most"),
+        text.word_overlap(mine, theirs).alias("w"),
+        search.overlap_bound(F.size(mine), search.word_marks(mine), search.word_marks(theirs)).alias("most_w"),
+        F.contains(a, b).alias("holds"),
+        search.may_hold(marks(a), marks(b)).alias("may"),
+    ).collect()
+    assert all(r.s <= r.most + 1e-12 and r.w <= r.most_w + 1e-12 and (r.may or not r.holds) for r in rows)
+    assert sum(r.most < 0.7 for r in rows) > len(rows) / 2 and sum(not r.may for r in rows) > len(rows) / 2
+
+
+def test_ranked_search_moves_no_pairs(spark, monkeypatch):
+    """Pairs are scored where they meet: nothing above the join is shuffled; numbers repeat or are null."""
+    monkeypatch.setattr(match, "SEARCH_BLOCK", 2)
+    names = [(1, "Apollo Clinic", ""), (1, "Apollo Clinic", ""), (None, "Apollo Clinic", ""), (4, "Fortis Labs", "x")]
+    orgs = spark.createDataFrame(names, "seq long, name string, original_name string")
+    table = spark.createDataFrame([(5, "apollo clinic"), (5, "Apollo Clinic"), (None, "fortis labs"), (9, "zzz")], "query_no long, query string")
+    found = match.ranked_search(orgs, table)
+    above = found._jdf.queryExecution().executedPlan().toString().split("BroadcastNestedLoopJoin")
+    assert len(above) > 2 and "Exchange" not in above[0] and "SortMergeJoin" not in above[0]
+    got = sorted((str(r.query_no), str(r.seq), r.score) for r in found.collect())
+    assert got == sorted([("5", "1", 1.0)] * 4 + [("5", "None", 1.0)] * 2 + [("None", "4", 1.0)])
