@@ -110,6 +110,17 @@ class NearTexts:
         return met.select("group", "a", "b").unionByName(same)
 
 
+    def with_partner(self, items: DataFrame) -> DataFrame:
+        """Rows of ``items`` (``group, name``) that some other row may be near to; all where texts were not compared."""
+        if self.near is None:
+            return items
+        texts = self.near.select(F.col("a").alias("name")).distinct()
+        others = items.join(texts, "name", "left_anti")
+        twins = others.groupBy("group", "name").agg(F.count("*").alias("n")).filter("n > 1").select("group", "name")
+        alike = items.join(texts, "name", "left_semi").select(*items.columns)
+        return cut_lineage(alike.unionByName(others.join(twins, ["group", "name"], "left_semi").select(*items.columns)))
+
+
 def near_pairs(names: DataFrame, threshold: float = LEAST, measure: str = "blocks") -> DataFrame:
     """``group, a, b``: ordered pairs of texts of one group with a similarity above ``threshold``.
 
@@ -185,6 +196,7 @@ def greedy_removed(items: DataFrame, threshold: float = LEAST, measure: str = "b
     items = items.filter("name <> '' AND group IS NOT NULL AND pos IS NOT NULL").select("group", "pos", "name", "rank")
     open_ = cut_lineage(items)
     index = NearTexts.of(open_.select("group", F.col("name").alias("text")), threshold, measure)
+    open_ = index.with_partner(open_)
     gone, rounds, length = [open_.select("group", "pos").limit(0)], 0, FIRST_PART
     while open_ is not None:
         part, later = _part(open_, length)

@@ -116,3 +116,14 @@ def test_texts_of_many_groups_meet_once(spark):
     assert index.near is not None and index.near.count() == 4
     pairs = index.pairs(names, names)
     assert pairs.count() == 300 * (4 + 4) and near_names.near_pairs(names).exceptAll(pairs).count() == 0
+
+
+def test_rows_without_a_partner_leave_first(spark):
+    """Where texts were compared without their groups, only rows that some row may be near to go on."""
+    rows = [(g, p, n) for g in range(40) for p, n in enumerate(["ISO 9001:2015", "ISO 45001:2018", "NABL", "CAP", "Magnet"])]
+    rows += [(7, 90, "CAP"), (None, 91, "NABL")]
+    items = spark.createDataFrame(rows, "group long, pos long, name string")
+    index = near_names.NearTexts.of(items.select("group", F.col("name").alias("text")), 0.8, "blocks")
+    assert index.near is not None
+    got = {tuple(r) for r in index.with_partner(items).collect()}
+    assert got == {r for r in rows if r[2].startswith("ISO") or (r[0] == 7 and r[2] == "CAP")}
