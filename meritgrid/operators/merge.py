@@ -125,6 +125,24 @@ def _jci_order(certs: DataFrame) -> Column:
     )
 
 
+def certs_by_name(certs: DataFrame, **counts: Column) -> DataFrame:
+    """``seq, name, pos, _c`` and ``counts``: one row per name, its first place and its most complete row.
+
+    Names repeat, so what follows from a name alone is computed on fewer rows, and several steps can share them.
+    """
+    rest = [c for c in certs.columns if c not in ("seq", "pos")]
+    rated = certs.withColumn("_q", _quality(certs))
+    best = F.min_by(F.struct(*rest, "_q"), F.col("_q")).alias("_c")
+    return rated.groupBy("seq", "name").agg(F.min("pos").alias("pos"), best, *[c.alias(n) for n, c in counts.items()])
+
+
+def best_of_names(named: DataFrame) -> DataFrame:
+    """``best_certs`` from the rows of ``certs_by_name``."""
+    keyed = computed_once(named.select("seq", "pos", "_c", "name"), cert_key=text.cert_key("name")).filter("cert_key != ''")
+    best = keyed.groupBy("seq", "cert_key").agg(F.min("pos").alias("pos"), F.min_by("_c", F.col("_c._q")).alias("_c"))
+    return best.select("seq", "cert_key", "pos", "_c.*")
+
+
 def best_certs(certs: DataFrame) -> DataFrame:
     """One certification per normalised name: the most complete one, at the first one's place."""
     keyed = computed_once(certs, cert_key=text.cert_key("name")).filter("cert_key != ''")
@@ -142,7 +160,12 @@ def distinct_certs(certs: DataFrame, threshold: float = 0.8, measure: str = "blo
 
     ``measure`` is ``blocks`` (matching blocks) or ``edits`` (edit distance); see ``near_names``.
     """
-    best = cut_lineage(best_certs(certs))
+    return without_near_names(best_certs(certs), threshold, measure)
+
+
+def without_near_names(best: DataFrame, threshold: float = 0.8, measure: str = "blocks") -> DataFrame:
+    """``distinct_certs`` from the rows of ``best_certs``."""
+    best = cut_lineage(best)
     rank = F.struct("_q.a", "_q.b", "_q.c", "_q.d")
     items = best.select(F.col("seq").alias("group"), "pos", F.upper("name").alias("name"), rank.alias("rank"))
     gone = near_names.greedy_removed(items, threshold, measure).rows.withColumnRenamed("group", "seq")

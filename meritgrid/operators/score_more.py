@@ -9,6 +9,7 @@ from meritgrid.functions.exprs import col, first_rule, has, lookup
 from meritgrid.functions.text import filled
 from meritgrid.operators import merge, score
 from meritgrid.rules import scoring as rules
+from meritgrid.session import cut_lineage
 
 # --- public text ---------------------------------------------------------------------------
 
@@ -281,11 +282,12 @@ def batch_scores(orgs: DataFrame, certs: DataFrame, prior: DataFrame | None = No
     before duplicates are removed.
     """
     filled_certs = certs.withColumn("score_impact", F.coalesce(F.col("score_impact").cast("double"), F.lit(0.0)))
-    deduped = merge.distinct_certs(filled_certs) if fuzzy else merge.best_certs(filled_certs).drop("_q")
+    active = F.when(score.clean_status("status") == "Active", 1).otherwise(0)
+    named = cut_lineage(merge.certs_by_name(filled_certs, active=F.sum(active)))
+    best = merge.best_of_names(named)
+    deduped = merge.without_near_names(best) if fuzzy else best.drop("_q")
     nothing = filled_certs.limit(0).select("seq", "pos", F.lit("").alias("category"), F.lit(0).alias("impact_score"), "status")
-    counted = filled_certs.withColumn("_s", score.clean_status("status")).groupBy("seq").agg(
-        F.sum(F.when(F.col("_s") == "Active", 1).otherwise(0)).alias("certification_count")
-    )
+    counted = named.groupBy("seq").agg(F.sum("active").alias("certification_count"))
     scored = score.total_score(orgs, deduped.select("seq", "pos", "name", "status", "score_impact"), nothing, prior)
     return scored.join(counted, "seq", "left").fillna(0, subset=["certification_count"])
 
