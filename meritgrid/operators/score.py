@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritgrid.functions.exprs import any_of, band, col, first_rule, has, hits, lookup
+from meritgrid.functions.exprs import any_of, band, col, computed_once, first_rule, has, hits, lookup
 from meritgrid.rules import certification as rules
 from meritgrid.rules import places
 
@@ -43,7 +43,10 @@ def tier_and_type(name: Column | str) -> Column:
 
 def intl_cert_type(text: Column | str) -> Column:
     """International certification type of name, type and standard text; null when unknown."""
-    upper = F.upper(col(text))
+    return _intl_type(F.upper(col(text)))
+
+
+def _intl_type(upper: Column) -> Column:
     world = has(upper, "WHO") & has(upper, "CERTIFICATION", "STANDARD")
     lab = has(upper, "EA") & has(upper, "LABORATORY")
     return F.coalesce(
@@ -319,10 +322,10 @@ def older_penalty_score(orgs: DataFrame, certs: DataFrame) -> DataFrame:
 def intl_cert_score(orgs: DataFrame, certs: DataFrame) -> DataFrame:
     """Weighted current certifications, tier bonuses and mandatory-group penalties, cap 60."""
     texts = [F.coalesce(F.col(c), F.lit("")) if c in certs.columns else F.lit("") for c in ("name", "type", "standard")]
-    kind = intl_cert_type(F.concat_ws(" ", *texts))
     current = F.col("status").isin(rules.CURRENT_STATUSES)
     pick = lambda i: {k: float(v[i]) for k, v in rules.INTL_WEIGHTS.items()}
-    tagged = certs.select("seq", "score_impact", F.when(current, kind).alias("_kind"), current.alias("_current"))
+    read = computed_once(certs, _text=F.when(current, F.upper(F.concat_ws(" ", *texts))))
+    tagged = computed_once(read.select("seq", "score_impact", "_text"), _kind=F.when(F.col("_text").isNotNull(), _intl_type(F.col("_text"))))
     points = F.coalesce(F.col("score_impact").cast("double"), lookup("_kind", pick(1))) * lookup("_kind", pick(0))
     tier = lookup("_kind", pick(2))
     meets = {g: F.coalesce(F.col("_kind").isin(kinds), F.lit(False)) for g, (_, kinds) in rules.INTL_MANDATORY.items()}

@@ -153,3 +153,20 @@ def test_certification_keys_are_computed_once_a_row(spark):
     assert [(r.cert_key, r.pos, r.name) for r in best.collect()] == [("ISO9001", 0, "iso 9001 ")]
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"ISO\s*-\s*(\d+)") == 1
+
+
+def test_international_type_is_computed_once_a_row(spark):
+    certs = spark.createDataFrame([(1, "JCI", "Active", 3), (1, "ISO 9001", None, None)], "seq long, name string, status string, score_impact int")
+    orgs = spark.createDataFrame([(1,), (2,)], "seq long")
+    found = score.intl_cert_score(orgs, certs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert [(r.seq, r.cert_rows, r.counted) for r in found.orderBy("seq").collect()] == [(1, 2, 1), (2, 0, 0)]
+
+
+def test_batch_scores_reads_certifications_once(spark):
+    rows = [(1, 1, "ISO 9001", "Active", None), (1, 2, "iso 9001", "accredited", 4), (1, 3, "", "Active", 1), (2, 1, None, None, None)]
+    certs = spark.createDataFrame(rows, "seq long, pos long, name string, status string, score_impact int")
+    orgs = spark.createDataFrame([(i, "n", "India", "Asia", "Clinic") for i in (1, 2, 3)], "seq long, name string, country string, region string, hospital_type string")
+    found = score_more.batch_scores(orgs, certs, fuzzy=False)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # the organisations
+    assert {r.seq: r.certification_count for r in found.collect()} == {1: 3, 2: 0, 3: 0}
