@@ -18,7 +18,7 @@ from meritgrid.functions.nested import richness
 from meritgrid.functions.text import filled, lower_name
 from meritgrid.operators import batches, blocking, near_names
 from meritgrid.operators.ordering import first_rows
-from meritgrid.session import cut_lineage
+from meritgrid.session import cut_lineage, spread
 
 # --- duplicates ----------------------------------------------------------------------------
 
@@ -72,7 +72,7 @@ def valid_certs(certs: DataFrame, validity: DataFrame) -> DataFrame:
 
     ``validity(seq, registry_valid)``.
     """
-    keyed = certs.withColumn("_key", text.alnum_key("name")).filter("_key != ''")
+    keyed = computed_once(spread(certs, "seq"), _key=text.alnum_key("name")).filter("_key != ''")
     backed = keyed.join(validity.select("seq", "registry_valid"), "seq", "left").filter(
         ~is_jci_like("name") | (F.coalesce("registry_valid", F.lit(0)) == 1)
     )

@@ -1,9 +1,11 @@
 """Upserts over the whole base, against the pairwise SQL and hand-made cases."""
 
+import re
 import sys
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -88,3 +90,26 @@ def test_registry_replaces_or_appends_one_certification(spark):
     ]
     found = {(r.seq, r.flag): r.value for r in out["flags"].collect()}
     assert len(found) == 10 and found[1, "accreditation_current"] is False and found[3, "verified"]
+
+
+def tasks_of(df):
+    """How many tasks hold the rows of ``df``."""
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_valid_certs_keep_the_first_backed_one_and_stay_in_many_tasks(spark):
+    """Equal keys with and without the family phrase, null and repeated organisations, names without a key."""
+    names = ["JCI", "jci!", "Joint Commission", "Joint-Commission", "ISO 9001", "iso-9001", "--", None]
+    rows = [(s, p, names[(p * 5 + (s or 0)) % 8], f"x{p}") for s in [None, *range(40)] for p in range(12)]
+    backing = [(s, v) for s in range(0, 40, 2) for v in ([1, 0] if s % 4 else [None])]
+    key = lambda n: re.sub("[^a-z0-9]+", " ", (n or "").lower()).strip()
+    jci = lambda n: "JCI" in n.upper() or "JOINT COMMISSION" in n.upper()
+    valid, want = {s for s, v in backing if v}, {}
+    for s, p, n, x in rows:
+        if key(n) and (s in valid or not jci(n)):
+            want.setdefault((s, key(n)), (s, p, n, x))
+    certs = spark.createDataFrame(rows, "seq long, pos long, name string, extra string")
+    out = merge.valid_certs(certs, spark.createDataFrame(backing, "seq long, registry_valid int"))
+    assert out.columns == certs.columns
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want.values()))
+    assert tasks_of(out) == 4  # the shuffle partitions of the session, not one for so few rows
