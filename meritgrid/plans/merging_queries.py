@@ -10,7 +10,7 @@ from meritgrid.functions.exprs import num
 from meritgrid.operators import batches, filters, match, merge, near_names
 from meritgrid.plans.matching_queries import base, incoming
 from meritgrid.plans.registry import Views, query
-from meritgrid.session import small_table
+from meritgrid.session import small_table, spread
 
 FIELDS = ["name", "city", "state", "country", "hospital_type", "website", "phone"]
 
@@ -28,6 +28,11 @@ def jci_flags(v: Views) -> DataFrame:
     return v.orgs.select("seq", F.inline(flags))
 
 
+def of_base(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows whose organisation is held, dealt by organisation: certifications are many."""
+    return spread(rows, "seq").join(held.select("seq"), "seq")
+
+
 @query("cert_items_cleaned")
 def _cert_items(v: Views) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -245,7 +250,7 @@ def registry_tables(v: Views) -> dict[str, DataFrame]:
     kind = F.when(F.col("pos") % 7 == 0, merge.REGISTRY_CERT).otherwise("Other")
     certs = v.certs.select("seq", "pos", "name", kind.alias("cert_type"), "status", F.col("score_impact").cast("double").alias("score_impact"))
     flags = jci_flags(v).join(held.select("seq"), "seq")
-    return merge.registry_upsert(held, rows, match.same_place_match(rows, held), certs.join(held.select("seq"), "seq"), flags)
+    return merge.registry_upsert(held, rows, match.same_place_match(rows, held), of_base(certs, held), flags)
 
 
 @query("registry_upsert")
@@ -308,7 +313,7 @@ def pathology_tables(v: Views) -> dict[str, DataFrame]:
     labs, held = incoming(v), base(v)
     certs = v.certs.select("seq", "pos", "name", "status", F.col("score_impact").cast("double").alias("score_impact"))
     flags = jci_flags(v).join(held.select("seq"), "seq")
-    return merge.pathology_upsert(held, labs, match.similar_name_match(labs, held), certs.join(held.select("seq"), "seq"), flags)
+    return merge.pathology_upsert(held, labs, match.similar_name_match(labs, held), of_base(certs, held), flags)
 
 
 @query("batch_matches")
@@ -347,12 +352,11 @@ def branded_tables(v: Views) -> dict[str, DataFrame]:
     )
     one = F.struct(F.lit(1).cast("long").alias("pos"), F.lit("CAP 15189").alias("name"))
     both = [F.struct(F.lit(i).cast("long").alias("pos"), F.lit(c).alias("category")) for i, c in enumerate(["Laboratory Quality", "Research"], 1)]
-    mine = held.select("seq")
     return merge.branded_lab_upsert(
         held, labs, match.sub_brand_match(labs, held, "apex", ["hospital", "clinic", "institute"]),
-        v.certs.select("seq", "pos", "name").join(mine, "seq"), labs.select("seq", F.inline(F.array(one))),
-        v.initiatives.select("seq", "pos", "category").join(mine, "seq"), labs.select("seq", F.inline(F.array(*both))),
-        jci_flags(v).join(mine, "seq"),
+        of_base(v.certs.select("seq", "pos", "name"), held), labs.select("seq", F.inline(F.array(one))),
+        of_base(v.initiatives.select("seq", "pos", "category"), held), labs.select("seq", F.inline(F.array(*both))),
+        jci_flags(v).join(held.select("seq"), "seq"),
     )
 
 

@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as contract  # noqa: E402
 from meritgrid.operators import merge  # noqa: E402
+from meritgrid.plans import merging_queries  # noqa: E402
 from meritgrid.plans.registry import TABLES  # noqa: E402
 from tools.check import rows_of  # noqa: E402
 
@@ -113,3 +114,15 @@ def test_valid_certs_keep_the_first_backed_one_and_stay_in_many_tasks(spark):
     assert out.columns == certs.columns
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want.values()))
     assert tasks_of(out) == 4  # the shuffle partitions of the session, not one for so few rows
+
+
+def test_rows_of_the_base_stay_in_many_tasks(spark):
+    """Null and repeated organisations join as before."""
+    rows = [(s, p) for s in [None, *range(30), 7] for p in range(5)]
+    held = [None, *range(0, 30, 2), 4]
+    out = merging_queries.of_base(
+        spark.createDataFrame(rows, "seq long, pos long"), spark.createDataFrame([(s,) for s in held], "seq long")
+    )
+    want = [r for r in rows for s in held if s is not None and r[0] == s]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert tasks_of(out) == 4
