@@ -10,7 +10,7 @@ from meritgrid.functions.exprs import num
 from meritgrid.operators import batches, filters, match, merge, near_names
 from meritgrid.plans.matching_queries import base, incoming
 from meritgrid.plans.registry import Views, query
-from meritgrid.session import small_table, spread
+from meritgrid.session import cut_lineage, small_table, spread
 
 FIELDS = ["name", "city", "state", "country", "hospital_type", "website", "phone"]
 
@@ -295,18 +295,23 @@ def keyworded(orgs: DataFrame) -> DataFrame:
     return orgs.withColumn("search_keywords", F.array_distinct(F.split(F.lower("name"), " ")))
 
 
+def lab_tables(v: Views) -> dict[str, DataFrame]:
+    """The laboratory feed and the base; their names are made and written once, as every step reads them."""
+    orgs = cut_lineage(keyworded(v.orgs.select("seq", "name", "data_source")))
+    labs, held = orgs.filter("data_source = 'supplier'"), orgs.filter("data_source = 'customer'")
+    return merge.lab_upsert(held, labs, match.lab_name_match(labs, held))
+
+
 @query("lab_upsert")
 def _lab_upsert(v: Views) -> DataFrame:
-    labs, held = keyworded(incoming(v)), keyworded(base(v))
-    parts = merge.lab_upsert(held, labs, match.lab_name_match(labs, held))
+    parts = lab_tables(v)
     words = parts["keywords"].groupBy("seq").agg(F.count("*").alias("n_keywords"))
     return parts["sources"].join(words, "seq").select("seq", "data_source", "action", "n_keywords")
 
 
 @query("lab_upsert_stats")
 def _lab_stats(v: Views) -> DataFrame:
-    labs, held = keyworded(incoming(v)), keyworded(base(v))
-    return merge.lab_upsert(held, labs, match.lab_name_match(labs, held))["stats"]
+    return lab_tables(v)["stats"]
 
 
 def pathology_tables(v: Views) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as contract  # noqa: E402
-from meritgrid.operators import merge  # noqa: E402
+from meritgrid.operators import match, merge  # noqa: E402
 from meritgrid.plans import merging_queries  # noqa: E402
 from meritgrid.plans.registry import TABLES  # noqa: E402
 from tools.check import rows_of  # noqa: E402
@@ -126,3 +126,27 @@ def test_rows_of_the_base_stay_in_many_tasks(spark):
     want = [r for r in rows for s in held if s is not None and r[0] == s]
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert tasks_of(out) == 4
+
+
+def plan_of(df, capsys):
+    df.explain("extended")
+    return capsys.readouterr().out
+
+
+def test_laboratory_feed_makes_its_keys_once(spark, capsys):
+    """Equal, contained and foreign names, null and repeated ones; later steps read the written keys."""
+    words = lambda n: sorted(set((n or "").lower().split()))
+    held = [(1, "Apex Care", "JCI"), (2, "River", "customer"), (3, "apex care", "NABH"), (4, None, "customer")]
+    labs = [(11, "Apex  Care"), (12, "River"), (13, "apex care north"), (14, "Nothing alike"), (15, None), (16, "apex care")]
+    base = spark.createDataFrame([(*r, words(r[1])) for r in held], "seq long, name string, data_source string, search_keywords array<string>")
+    feed = spark.createDataFrame([(*r, words(r[1])) for r in labs], "seq long, name string, search_keywords array<string>")
+    matches = match.lab_name_match(feed, base)
+    assert rows_by(matches, "seq", "match_seq") == [(11, 1), (12, 2), (13, 1), (15, 4), (16, 1)]
+    out = merge.lab_upsert(base, feed, matches)
+    assert rows_by(out["sources"], "seq", "data_source", "action") == [
+        (1, "JCI+NABL", "updated"), (2, "NABL", "updated"), (3, "NABH", "kept"), (4, "NABL", "updated"), (14, "NABL", "added")
+    ]
+    assert rows_by(out["keywords"].filter("seq in (1, 14)"), "seq", "keyword") == [(1, "apex"), (1, "care"), (14, "alike"), (14, "nothing")]
+    assert tuple(out["stats"].first()) == (3, 2, 1)
+    assert "regexp_replace" not in plan_of(matches, capsys)
+    assert "MapCoGroups" not in plan_of(out["sources"], capsys)
