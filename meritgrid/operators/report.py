@@ -523,14 +523,15 @@ def suggestions(orgs: DataFrame, typed: Texts, k: int = 10) -> DataFrame:
     held = orgs.filter(name != "").select(
         "seq", "name", name.alias("_n"), original.alias("_o"), cleaning.suggestion_key("name", "location").alias("_key")
     )
+    held = cut_lineage(held)
     asked = cut_lineage(asked_texts(orgs.sparkSession, typed).filter(F.length("query") >= 2))
-    texts = held.select(F.col("_n").alias("_whole")).union(held.select("_o")).distinct()
-    pairs = contained_pairs(texts, asked.select(F.col("query").alias("key")).distinct())
+    # a row for the name and one for the original name, so that the pairs are found and joined once
+    both = F.array(*[F.struct(F.col(c).alias("_whole"), F.lit(c == "_o").alias("_orig")) for c in ("_n", "_o")])
+    sides = held.select("*", F.inline(both)).drop("_o")
+    pairs = contained_pairs(sides.select("_whole").distinct(), asked.select(F.col("query").alias("key")).distinct())
     n, q = F.col("_n"), F.col("key")
-    in_name = pairs.withColumnRenamed("_whole", "_n").join(held, "_n")
-    in_name = in_name.withColumn("_kind", F.when(F.startswith(n, q), 0).otherwise(1))
-    in_original = pairs.withColumnRenamed("_whole", "_o").join(held, "_o").filter(~F.contains(n, q))
-    hits = in_name.unionByName(in_original.withColumn("_kind", F.lit(2)))
+    hits = pairs.join(sides, "_whole").filter(~F.col("_orig") | ~F.contains(n, q))
+    hits = hits.withColumn("_kind", F.when(F.col("_orig"), 2).when(F.startswith(n, q), 0).otherwise(1))
     best = first_rows(hits, ["key", "_key"], ["_kind", F.length("name"), "seq"])
     w = Window.partitionBy("key").orderBy("_kind", cleaning.unify_company(F.trim("name")), "seq")
     names = F.element_at(F.array(F.lit("name_start"), F.lit("name_contains"), F.lit("original_name")), F.col("_kind") + 1)
