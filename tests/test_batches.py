@@ -86,3 +86,24 @@ def test_base_match_of_a_brand(spark):
     rows = [(11, "Mayo Clinic Labs River Care"), (12, "River Care North"), (13, "nothing alike")]
     got = match.laboratory_match(spark.createDataFrame(rows, "seq long, name string"), base, "mayo clinic")
     assert {r.seq: r.match_seq for r in got.collect()} == {11: 2, 12: 1}
+
+
+def test_later_rounds_read_the_edges_of_open_rows_only(spark, monkeypatch):
+    """Forty names hold the first one and settle at once, a chain without such names takes six rounds."""
+    read, least = [], batches.SimilarNames.least
+    monkeypatch.setattr(batches.SimilarNames, "least", lambda self, *a: (read.append(self.edges.count()), least(self, *a))[1])
+    rows = [(0, "core")] + [(i, f"core {i}zz") for i in range(1, 41)]
+    rows += [(50 + i, f"wordy{i} wordx{i} wordy{i + 1} wordx{i + 1}") for i in range(12)]
+    settled = batches.in_batch(spark.createDataFrame(rows, "seq long, name string"))
+    assert {r.seq: r.target_seq for r in settled.routes.collect()} == loop(rows, None)
+    assert settled.rounds == 6
+    assert read[:2] == [80, 80] and set(read[2:-1]) == {0} and read[-1] == 80  # the last step places all names
+
+
+@pytest.mark.parametrize("brand", [None, "mayo clinic"])
+def test_batches_equal_the_loop_when_every_round_narrows(spark, monkeypatch, brand):
+    monkeypatch.setattr(batches, "FEWER", 1)
+    rng = random.Random(5)
+    rows = list(enumerate(names(rng, 50, 6) + ["", None, "lab"]))
+    settled = batches.in_batch(spark.createDataFrame(rows, "seq long, name string"), brand)
+    assert {r.seq: r.target_seq for r in settled.routes.collect()} == loop(rows, brand)

@@ -51,3 +51,13 @@ def test_one_long_text_makes_rows_in_line_with_its_length(spark):
         spark.createDataFrame([(long,)], "_whole string"), spark.createDataFrame([(p,) for p in parts], "key string")
     )
     assert {p for _, p in pairs_of(got)} == parts - {"nothere"}
+
+
+def test_gram_counts_are_written_before_parts_meet_them(spark, monkeypatch):
+    """So that their size is known and the grams of all parts need not be shuffled by gram."""
+    written, cut = [], containment.cut_lineage
+    monkeypatch.setattr(containment, "cut_lineage", lambda df: (written.append(df.columns), cut(df))[1])
+    wholes = spark.createDataFrame([("abcd", "x"), ("bcde", "y")], "_whole string, city string")
+    parts = spark.createDataFrame([("bcd", "x"), ("bcd", "y"), ("abc", "y")], "key string, city string")
+    assert pairs_of(containment.contained_pairs(wholes, parts, ["city"])) == {("abcd", "bcd", "x"), ("bcde", "bcd", "y")}
+    assert written[0] == ["gram", "city", "n"]
