@@ -61,3 +61,15 @@ def test_gram_counts_are_written_before_parts_meet_them(spark, monkeypatch):
     parts = spark.createDataFrame([("bcd", "x"), ("bcd", "y"), ("abc", "y")], "key string, city string")
     assert pairs_of(containment.contained_pairs(wholes, parts, ["city"])) == {("abcd", "bcd", "x"), ("bcde", "bcd", "y")}
     assert written[0] == ["gram", "city", "n"]
+
+
+def test_rarest_grams_are_found_without_a_sort(spark, monkeypatch):
+    """The least of a struct sorts the grams of all parts; null places still pair with nothing."""
+    plans, cut = [], containment.cut_lineage
+    monkeypatch.setattr(
+        containment, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1]
+    )
+    wholes = spark.createDataFrame([("abcd", "x"), ("abcd", None), ("bcde", "y")], "_whole string, city string")
+    parts = spark.createDataFrame([("bcd", "x"), ("bcd", None), ("bcde", "y"), ("zzz", "x")], "key string, city string")
+    assert pairs_of(containment.contained_pairs(wholes, parts, ["city"])) == {("abcd", "bcd", "x"), ("bcde", "bcde", "y")}
+    assert "SortAggregate" not in plans[1]

@@ -45,3 +45,19 @@ def test_fuzzy_lookup_compares_no_pairs_without_a_shared_word(spark):
         score = lambda n: 0.4 * (1 - distance(q, n) / max(len(q), len(n))) + 0.6 * len({*q.split()} & {*n.split()}) / len({*q.split()})
         best, first = min((-round(score(n), 9), i) for i, n in enumerate(names))
         assert got.get(no) == (("fuzzy", first, -best) if -best >= 0.6 else None)
+
+
+def test_frequent_words_meet_texts_without_a_good_name_only(spark, monkeypatch):
+    """Names of a text's rarest word come first; what they score rules the names of its frequent words out."""
+    names = [f"{w} hospital private limited" for w in ("apollo", "fortis", "sankara", "manipal")] + ["royal clinic", "royal labs"]
+    asked = ["apllo hospital private limited", "fortis hospitals private limited", "royl clinics labs", "royal clinix"]
+    orgs = spark.createDataFrame([(i, n, "") for i, n in enumerate(names)], "seq long, name string, original_name string")
+    met, at = [], search.pairs_at_words
+    monkeypatch.setattr(search, "pairs_at_words", lambda *a: (met.append(at(*a)), met[-1])[1])
+    got = {r.query_no: (r.method, r.match_seq, round(r.score, 6)) for r in match.lookup_names(orgs, asked).collect()}
+    assert got[1] == ("fuzzy", 1, round(0.4 * (1 - 1 / 32) + 0.45, 6))
+    assert got[0] == ("fuzzy", 0, round(0.4 * (1 - 1 / 31) + 0.45, 6)) and got[3] == ("fuzzy", 4, round(0.4 * (1 - 1 / 12) + 0.3, 6))
+    assert 2 not in got
+    pairs = [{(r.a, r.b) for r in df.collect()} for df in met]
+    assert len(pairs) == 2 and (asked[1], names[1]) in pairs[0]
+    assert not any(a == asked[1] for a, _ in pairs[1])  # the three other names share too few words
